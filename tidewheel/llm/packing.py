@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections import defaultdict
 from dataclasses import dataclass
 
@@ -31,7 +31,7 @@ from ..plans.workers import map_arrow
 from .shared import materialise
 
 #: Length classes for the patterns, most pieces of a pattern, and words that a worker remembers.
-CLASSES, MOST_PIECES = 128, 4
+CLASSES, MOST_PIECES = 64, 4
 MEMORY_WORDS = 400_000
 LONG = np.int64
 #: str.split() also splits at these, which tokenizers do not take as white space.
@@ -217,22 +217,29 @@ def plan_packing(histogram: dict[int, int], limit: int, classes: int = CLASSES,
             for c in p:
                 a[c, j] += 1
         repeats = nnls(a, want)
+        there = sorted(left)
         for j in np.argsort(-repeats, kind="stable").tolist():
-            k = int(repeats[j])
-            p = found[j]
-            need = {c: p.count(c) for c in set(p)}
-            k = min(k, *(sum(left[n] for n in of_class[c]) // m for c, m in need.items()))
+            k, p = int(repeats[j]), found[j]
             while k > 0:
-                # as many sequences as can take the same exact lengths
+                # exact lengths from the classes, longest first; the last is the longest that still fits
                 take: list[int] = []
-                trial = dict.fromkeys(p, 0)
-                free = {n: left[n] for c in need for n in of_class[c] if left[n]}
-                for c in p:
-                    n = next(n for n in of_class[c] if free.get(n, 0) > 0)
-                    free[n] -= 1
+                count: dict[int, int] = defaultdict(int)
+                for c in p[:-1]:
+                    n = next((n for n in of_class[c] if left[n] > count.get(n, 0)), None)
+                    if n is None:
+                        break
                     take.append(n)
-                    trial[c] += 1
-                count = {n: take.count(n) for n in set(take)}
+                    count[n] += 1
+                room = limit - sum(take)
+                i = bisect_right(there, room) - 1
+                while i >= 0 and left[there[i]] <= count.get(there[i], 0):
+                    if not left[there[i]]:
+                        there.pop(i)
+                    i -= 1
+                if len(take) < len(p) - 1 or i < 0:
+                    break
+                take.append(there[i])
+                count[there[i]] += 1
                 run = min(k, *(left[n] // m for n, m in count.items()))
                 at = 0
                 for n in take:
