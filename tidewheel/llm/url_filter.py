@@ -85,12 +85,12 @@ def learn_templates(shapes: DataFrame) -> DataFrame:
     for level in range(DEPTH + 1):
         here = now.withColumn("s", F.coalesce(F.get("segments", F.lit(level)), F.lit("")))
         child = here.groupBy("host", "template", "s").agg(F.sum("pages").alias("n"), F.sum("allowed").alias("a"), F.sum("labelled").alias("l"))
-        parent = child.groupBy("host", "template").agg(F.count(F.lit(1)).alias("children"), F.sum("n").alias("N"), F.sum("a").alias("A"), F.sum("l").alias("L"))
-        rest = F.col("L") - F.col("l")
-        pooled = F.col("A") / F.nullif(F.col("L"), F.lit(0))
+        parent = child.groupBy("host", "template").agg(F.count(F.lit(1)).alias("children"), F.sum("n").alias("all_n"), F.sum("a").alias("all_a"), F.sum("l").alias("all_l"))
+        rest = F.col("all_l") - F.col("l")
+        pooled = F.col("all_a") / F.nullif(F.col("all_l"), F.lit(0))
         spread = F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1.0), F.col("l")) + F.try_divide(F.lit(1.0), rest)))
-        z = F.try_divide(F.abs(F.try_divide(F.col("a"), F.col("l")) - F.try_divide(F.col("A") - F.col("a"), rest)), spread)
-        rare = (F.col("children") > MANY_CHILDREN) & (F.col("n") < RARE_SHARE * F.col("N"))
+        z = F.try_divide(F.abs(F.try_divide(F.col("a"), F.col("l")) - F.try_divide(F.col("all_a") - F.col("a"), rest)), spread)
+        rare = (F.col("children") > MANY_CHILDREN) & (F.col("n") < RARE_SHARE * F.col("all_n"))
         similar = (F.col("children") > 1) & ~F.coalesce(z >= DIFFERENT, F.lit(False))
         names = child.join(parent, ["host", "template"]).select("host", "template", "s", F.when(F.col("s") == "", F.lit("")).when(rare | similar, F.lit("/*")).otherwise(F.concat(F.lit("/"), "s")).alias("step"))
         now = here.join(names, ["host", "template", "s"]).select("host", "shape", "pages", "allowed", "labelled", "segments", F.concat("template", "step").alias("template"))
