@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, embedding_dedup, packing, suffix_dedup, url_filter, warc
+from . import chat, decontaminate, embedding_dedup, packing, quality, suffix_dedup, toxicity, url_filter, warc
 from .ngram_join import link_groups
 
 
@@ -15,6 +15,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document by the convolutional classifier; one id in five is held out."""
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), folds=5, held_out=0)
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by pairwise ranking; one id in four is held out."""
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), folds=4, held_out=2)
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents linked at 85 % Jaccard of four-word shingles."""
     return link_groups(table(spark, sf_dir, "documents"), width=4, percent=85).select("doc_id", "n_shingles", "component_id")
@@ -103,7 +113,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_ngram_jaccard_join, op3_suffix_array_dedup, op4_best_fit_packing, op5_chat_formatting, op6_warc_conversion, op7_embedding_near_dedup, op8_url_filter, op10_benchmark_decontamination)}
+    return {f.__name__: f for f in (op1_toxicity, op2_ngram_jaccard_join, op3_suffix_array_dedup, op4_best_fit_packing, op5_chat_formatting, op6_warc_conversion, op7_embedding_near_dedup, op8_url_filter, op9_quality_classifier, op10_benchmark_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:

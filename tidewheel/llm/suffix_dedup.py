@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..plans.workers import map_arrow
 from .bytetext import RangeHash, U, chunks, column_bytes, mix
@@ -436,22 +437,40 @@ def _cut_rows(batches):
         )
 
 
+def _cut_all(texts: DataFrame, length: int) -> DataFrame:
+    """(key, n_bytes, n_removed, n_spans, kept_sha256, kept) of texts (text, key); key may be of any type."""
+    spark = texts.sparkSession
+    key = T.StructField("key", texts.schema["key"].dataType)
+    spans = repeated_spans(texts.select("text"), length)
+    mixed = map_arrow(spans.select("text").distinct(), _mix_keys, "core long")
+    hit = spark.sparkContext.broadcast(_bitmap(mixed, CORE_BITS))
+    long_ = lambda n: T.StructField(n, T.LongType())
+    string = lambda n: T.StructField(n, T.StringType())
+    tagged = materialise(map_arrow(texts, _tag(hit), T.StructType([key, long_("text"), long_("n_bytes"), string("sha"), T.StructField("bytes", T.BinaryType())])), "tagged")
+    whole = tagged.filter("bytes is null").select("key", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("sha").alias("kept_sha256"), F.lit(None).cast("string").alias("kept"))
+    lists = spans.groupBy("text").agg(F.collect_list(F.struct("begin", "end")).alias("r")).select("text", F.col("r.begin").alias("begins"), F.col("r.end").alias("ends"))
+    touched = tagged.filter("bytes is not null").select("key", "text", "n_bytes", "bytes").join(lists, "text", "left").select("key", "n_bytes", "bytes", "begins", "ends")
+    return whole.unionByName(map_arrow(touched, _cut_rows, T.StructType([key, long_("n_bytes"), long_("n_removed"), long_("n_spans"), string("kept_sha256"), string("kept")])))
+
+
 def dedup(docs: DataFrame, length: int = 400) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) for every row of ``docs`` (doc_id, text).
 
     ``kept`` is the remaining text of rows that lost bytes, else null; bytes of characters that were
     cut through are dropped from it (but not from the digest).
     """
-    spark = docs.sparkSession
-    texts = docs.select(F.col("text"), F.col("doc_id").cast("long").alias("doc_id"))
-    spans = repeated_spans(texts.select("text"), length)
-    mixed = map_arrow(spans.select("text").distinct(), _mix_keys, "core long")
-    hit = spark.sparkContext.broadcast(_bitmap(mixed, CORE_BITS))
-    tagged = materialise(map_arrow(texts, _tag(hit), "doc_id long, text long, n_bytes long, sha string, bytes binary"), "tagged")
-    whole = tagged.filter("bytes is null").select("doc_id", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("sha").alias("kept_sha256"), F.lit(None).cast("string").alias("kept"))
-    lists = spans.groupBy("text").agg(F.collect_list(F.struct("begin", "end")).alias("r")).select("text", F.col("r.begin").alias("begins"), F.col("r.end").alias("ends"))
-    touched = tagged.filter("bytes is not null").select("doc_id", "text", "n_bytes", "bytes").join(lists, "text", "left").select("doc_id", "n_bytes", "bytes", "begins", "ends")
-    return whole.unionByName(map_arrow(touched, _cut_rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"))
+    return _cut_all(docs.select("text", F.col("doc_id").cast("long").alias("key")), length).withColumnRenamed("key", "doc_id")
+
+
+def drop_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
+    """``docs`` with the remaining text as ``text``; all rows and columns stay, and n_chars, if any, is counted anew."""
+    names = docs.columns
+    # untouched texts come back from the row itself
+    row = F.struct(*[F.col(f"`{c}`") for c in names])
+    done = _cut_all(docs.select("text", row.alias("key")), length)
+    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("key.text"))
+    count = F.char_length(text).cast(docs.schema["n_chars"].dataType) if "n_chars" in names else None
+    return done.select(*[text.alias(c) if c == "text" else count.alias(c) if c == "n_chars" else F.col(f"key.`{c}`").alias(c) for c in names])
 
 
 def _mix_keys(batches):
