@@ -15,6 +15,8 @@ whatever its doc_id; empty tables give no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
+import os
 import re
 import zlib
 from bisect import bisect_left, bisect_right, insort
@@ -34,22 +36,36 @@ from .shared import materialise
 CLASSES, MOST_PIECES = 64, 4
 MEMORY_WORDS = 400_000
 LONG = np.int64
-#: str.split() also splits at these, which tokenizers do not take as white space.
-ODD_BLANKS = re.compile("[\x1c-\x1f]")
-BLANKS = re.compile(r"[^ \t\n\x0b\x0c\r]+")
+#: Words as the tokenizer's own splitting makes them of lower-cased text below U+0300.
+WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+#: Texts with these take the plain path: characters that Python and the tokenizer class or normalise
+#: differently, and special tokens.
+UNUSUAL = re.compile("[\x1c-\x1f\x85\xb2\xb3\xb9\xbc-\xbe\u0130\u0300-\U0010ffff]|<\\|(?:start|end)oftext\\|>")
+#: White space of the tokenizer below U+0300.
+PARTS = re.compile(r"[^ \t\n\x0b\x0c\r]+")
+
+#: Length classes for the patterns, most pieces of a pattern, and words that a worker remembers.
+CLASSES, MOST_PIECES = 64, 4
+MEMORY_WORDS = 500_000
+LONG = np.int64
 
 
 class WordTokenizer:
-    """Ids of texts under a tokenizer that never joins characters across white space.
+    """Ids of texts under a word-level BPE tokenizer (white space dropped, lower-cased, word ends marked).
 
-    Texts are split at white space and each distinct part is encoded once; parts are remembered up
-    to MEMORY_WORDS, then forgotten together.
+    Texts are split into the tokenizer's own words and each distinct word is encoded once, many in one
+    call; the marked word ends tell where each one's ids end. Words are remembered up to MEMORY_WORDS, then
+    forgotten together. Texts with unusual characters are split at white space only and encoded part by part.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.encoder = Tokenizer.from_file(path)
+        vocabulary = self.encoder.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
         self.known: dict[str, int] = {}
         self._clear()
 
@@ -60,29 +76,48 @@ class WordTokenizer:
         self.begin = np.zeros(1 << 16, LONG)
         self.size = np.zeros(1 << 16, LONG)
 
-    def _learn(self, parts: list[str]) -> None:
-        for k in range(0, len(parts), 20_000):
-            some = parts[k : k + 20_000]
-            got = [e.ids for e in self.encoder.encode_batch(some, add_special_tokens=False)]
-            sizes = np.array([len(g) for g in got], LONG)
-            flat = np.array([x for g in got for x in g], np.uint32)
-            while self.used + len(flat) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            n = len(self.known)
-            while n + len(some) > len(self.begin):
-                self.begin, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.size))
-            self.ids[self.used : self.used + len(flat)] = flat
-            self.begin[n : n + len(some)] = self.used + np.cumsum(sizes) - sizes
-            self.size[n : n + len(some)] = sizes
-            self.used += len(flat)
-            self.known.update(zip(some, range(n, n + len(some)), strict=True))
+    def _store(self, words: list[str], flat: np.ndarray, sizes: np.ndarray) -> None:
+        while self.used + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        n = len(self.known)
+        while n + len(words) > len(self.begin):
+            self.begin, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.size))
+        self.ids[self.used : self.used + len(flat)] = flat
+        self.begin[n : n + len(words)] = self.used + np.cumsum(sizes) - sizes
+        self.size[n : n + len(words)] = sizes
+        self.used += len(flat)
+        self.known.update(zip(words, range(n, n + len(words)), strict=True))
+
+    def _learn(self, words: list[str]) -> None:
+        for k in range(0, len(words), 5_000):
+            some = words[k : k + 5_000]
+            flat = np.array(self.encoder.encode(" ".join(some), add_special_tokens=False).ids, np.uint32)
+            ends = np.flatnonzero(self.ends[flat]) + 1
+            if len(ends) == len(some) and (not len(flat) or ends[-1] == len(flat)):
+                self._store(some, flat, np.diff(ends, prepend=0))
+            else:
+                self._learn_apart(some, some)
+
+    def _learn_apart(self, keys: list[str], texts: list[str]) -> None:
+        got = [self.encoder.encode(t, add_special_tokens=False).ids for t in texts]
+        self._store(keys, np.array([x for g in got for x in g], np.uint32), np.array([len(g) for g in got], LONG))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and the number of each text."""
-        parts = [BLANKS.findall(t) if ODD_BLANKS.search(t) else t.split() for t in texts]
-        flat = [w for p in parts for w in p]
         if len(self.known) > MEMORY_WORDS:
             self._clear()
+        words: list[list[str]] = []
+        for t in texts:
+            if UNUSUAL.search(t):
+                # keys with a leading blank: parts, encoded as they are
+                parts = [" " + w for w in PARTS.findall(t)]
+                new = list(dict.fromkeys(w for w in parts if w not in self.known))
+                if new:
+                    self._learn_apart(new, [w[1:] for w in new])
+                words.append(parts)
+            else:
+                words.append(WORDS.findall(t.lower()))
+        flat = [w for p in words for w in p]
         new = list(dict.fromkeys(w for w in flat if w not in self.known))
         if new:
             self._learn(new)
@@ -91,17 +126,22 @@ class WordTokenizer:
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0
         ids = self.ids[np.arange(total) + np.repeat(self.begin[which] - (ends - sizes), sizes)]
-        words = np.cumsum([0, *map(len, parts)])
-        at = np.concatenate([[0], ends])[words]
+        bounds = np.cumsum([0, *map(len, words)])
+        at = np.concatenate([[0], ends])[bounds]
         return ids, np.diff(at)
 
 
+@functools.cache
+def tokenizer_of(path: str) -> WordTokenizer:
+    """One for each tokenizer in a worker process: loading takes longer than many a task."""
+    return WordTokenizer(path)
+
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long"
 
 
 def _cut(path: str, limit: int, end_id: int):
     def run(batches):
-        tokenizer = WordTokenizer(path)
+        tokenizer = tokenizer_of(path)
         seen = np.zeros(limit + 1, LONG)
         part = TaskContext.get().partitionId()
         for batch in batches:
@@ -110,7 +150,7 @@ def _cut(path: str, limit: int, end_id: int):
             at = 0
             while at < len(texts):
                 room, to = 0, at
-                while to < len(texts) and (to == at or room + len(texts[to]) < 2_000_000):
+                while to < len(texts) and (to == at or room + len(texts[to]) < 1_000_000):
                     room += len(texts[to])
                     to += 1
                 ids, sizes = tokenizer.encode(texts[at:to])
