@@ -71,6 +71,8 @@ def impute_numeric(df: DataFrame, how: str = "median", cols: list[str] | None =
     cols = cols if cols is not None else column_groups(df).numeric
     if how == "zero":
         return _fill(df, dict.fromkeys(cols, 0))
+    holes = one_row(df, {c: F.count_if(q(c).isNull()) for c in cols})
+    cols = [c for c in cols if holes[c]]
     middle = lambda c: F.percentile_approx(q(c), 0.5, accuracy).cast("double") if accuracy else F.percentile(q(c), F.lit(0.5))
     return _fill(df, one_row(df, {c: F.avg(q(c)) if how == "mean" else middle(c) for c in cols}))
 
