@@ -190,7 +190,7 @@ def _to_arc(batches):
 
 
 def _write(rows: DataFrame, path: str, line_end: str) -> None:
-    rows.write.partitionBy("archive").option("lineSep", line_end).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(path)
+    rows.write.partitionBy("archive").option("lineSep", line_end).option("compression", "gzip").text(path)
 
 
 def _archives(spark: SparkSession, path: str) -> DataFrame:
