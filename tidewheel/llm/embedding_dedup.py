@@ -9,8 +9,8 @@
    most sqrt(2 - 2c) long, so slack = 2 * sqrt(2 - 2c) would be exact; the default is a quarter of that, at which
    a pair is missed only when noise pulls both points' homes apart by over ``slack``.
    Recall is measured in the tests against brute force.
-3. A cell is cut into tiles by hash, so a hot cell becomes many tile pairs. Tile pairs are compared in
-   double precision and give link counts for each point and a forest of links, never pairs.
+3. A cell's points at home and all its points are cut into tiles by hash, so a hot cell becomes many tile pairs.
+   They are compared in double precision and give link counts for each point and a forest of links, never pairs.
 
 Defined results: rows with the same vec_id stay apart unless their vectors are equal; a null
 vec_id takes part and never names a component unless alone; vectors of different lengths are
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from ..plans.workers import map_arrow, ship
 from .shared import components, materialise, union_find
 
-SAMPLE, MOST_CELLS, CELL_POINTS, TILE, STEPS = 20_000, 1024, 1024, 1024, 8
+SAMPLE, MOST_CELLS, CELL_POINTS, TILE, STEPS = 20_000, 1024, 4096, 4096, 8
 LONG = np.int64
 
 
@@ -79,9 +79,7 @@ def _compare(centres, least: float, slack: float):
         c = centres.value
         cell, point, home, side, many = (table.column(n).to_numpy() for n in ("cell", "point", "home", "side", "many"))
         x = _points(table.column("v").combine_chunks())
-        left, right = np.flatnonzero(side <= 0), np.flatnonzero(side != 0)
-        if (side < 0).all():
-            right = left
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         links, a_, b_ = np.zeros(len(point), LONG), [], []
         here = int(cell[0]) if len(cell) else 0
         near = x @ c.T
@@ -91,15 +89,10 @@ def _compare(centres, least: float, slack: float):
             a, b = np.nonzero(x[rows] @ x[right].T >= least)
             a, b = rows[a], right[b]
             # of points at home together this cell decides; otherwise the home of one, of both the lower cell
-            keep = point[a] != point[b]
-            if right is left:
-                keep &= point[a] < point[b]
-            at_a, at_b = home[a] == here, home[b] == here
-            keep &= at_a | at_b
-            other = np.where(at_a, home[b], home[a])
-            visitor = np.where(at_a, a, b)  # the one at home here: does it visit the other's home too?
-            both = ~(at_a & at_b) & (near[visitor, other] >= floor[visitor])
-            keep &= ~both | (here < other)
+            # a is at home here. A pair at home together is met twice, as is one whose a visits b's home, too: keep one.
+            together = home[b] == here
+            again = ~together & (near[a, home[b]] >= floor[a])
+            keep = np.where(together, point[a] < point[b], ~again | (here < home[b]))
             a, b = a[keep], b[keep]
             np.add.at(links, a, many[b])
             np.add.at(links, b, many[a])
@@ -157,10 +150,14 @@ def _links_of_size(points: DataFrame, least: float, slack: float) -> DataFrame:
     centres = spark.sparkContext.broadcast(spherical_kmeans(sample, cells))
     places = map_arrow(points.select("point", "v"), _assign(centres, slack), "cell int, point long, home int")
     places = materialise(places, "cells")
-    sizes = places.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("k"))
-    tiled = places.join(sizes, "cell").withColumn("i", F.pmod(F.xxhash64("point", F.lit(1)), F.col("k")).cast("int"))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda j: F.struct(F.least("i", j).alias("p"), F.greatest("i", j).alias("q"), F.when(j == F.col("i"), F.lit(-1)).when(F.col("i") < j, F.lit(0)).otherwise(F.lit(1)).alias("side")))
-    dealt = tiled.select("cell", "point", "home", F.explode(pairs).alias("t")).select("cell", "t.*", "point", "home").join(points.select("point", "many", "v"), "point")
+    at_home = F.col("home") == F.col("cell")
+    tiles = lambda n: F.greatest(F.lit(1), F.ceil(n / TILE)).cast("int")
+    sizes = places.groupBy("cell").agg(tiles(F.count_if(at_home)).alias("kp"), tiles(F.count(F.lit(1))).alias("kq"))
+    tiled = places.join(sizes, "cell").withColumn("h", F.xxhash64("point", F.lit(1)))
+    own = F.when(at_home, F.transform(F.sequence(F.lit(0), F.col("kq") - 1), lambda j: F.struct(F.pmod("h", F.col("kp")).cast("int").alias("p"), j.alias("q"), F.lit(0).alias("side"))))
+    all_ = F.transform(F.sequence(F.lit(0), F.col("kp") - 1), lambda i: F.struct(i.alias("p"), F.pmod("h", F.col("kq")).cast("int").alias("q"), F.lit(1).alias("side")))
+    none = F.expr("cast(array() as array<struct<p:int,q:int,side:int>>)")
+    dealt = tiled.select("cell", "point", "home", F.explode(F.concat(F.coalesce(own, none), all_)).alias("t")).select("cell", "t.*", "point", "home").join(points.select("point", "many", "v"), "point")
     ship(spark)
     return dealt.groupBy("cell", "p", "q").applyInArrow(_compare(centres, least, slack), "point long, links long, root long")
 
