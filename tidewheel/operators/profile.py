@@ -15,6 +15,8 @@ from .columns import column_groups, one_row, q
 
 def unpivot_row(one: DataFrame, cells: list[tuple[tuple, list[Column]]], names: list[str]) -> DataFrame:
     """A row of aggregates as rows: each cell gives literal keys and values for ``names``."""
+    if not cells:
+        return one.sparkSession.createDataFrame([], ", ".join(f"{n} {'string' if i == 0 else 'double'}" for i, n in enumerate(names)))
     rows = [F.struct(*[F.lit(k).alias(n) for k, n in zip(keys, names, strict=False)], *[v.alias(n) for v, n in zip(values, names[len(keys) :], strict=True)]) for keys, values in cells]
     return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
@@ -149,14 +151,14 @@ def detect_leakage(df: DataFrame, target: str, threshold: float = 0.99, cols: li
 
 
 def outlier_report_iqr(df: DataFrame, k: float = 1.5, cols: list[str] | None = None, over: str = "rows") -> DataFrame:
-    """(column, lower, upper, outliers, share); the share is over all rows or over the ``non-null`` ones."""
+    """(column, lower, upper, outliers, share), bounds null without values; the share is over all rows or over the ``non-null`` ones."""
     cols = cols if cols is not None else column_groups(df).numeric
     found = quartiles(df, cols)
-    cols = [c for c in cols if c in found]
-    bounds = {c: (found[c][0] - k * (found[c][2] - found[c][0]), found[c][2] + k * (found[c][2] - found[c][0])) for c in cols}
+    null = F.lit(None).cast("double")
+    bounds = {c: (F.lit(found[c][0] - k * (found[c][2] - found[c][0])), F.lit(found[c][2] + k * (found[c][2] - found[c][0]))) if c in found else (null, null) for c in cols}
     one = df.agg(F.count(F.lit(1)).alias("rows"), *[F.count_if(~q(c).between(*bounds[c])).alias(f"o{i}") for i, c in enumerate(cols)], *[F.count(q(c)).alias(f"n{i}") for i, c in enumerate(cols)])
     base = lambda i: F.col("rows") if over == "rows" else F.col(f"n{i}")
-    return unpivot_row(one, [((c, bounds[c][0], bounds[c][1]), [F.col(f"o{i}"), F.try_divide(F.col(f"o{i}"), base(i))]) for i, c in enumerate(cols)], ["column", "lower", "upper", "outliers", "share"])
+    return unpivot_row(one, [((c,), [*bounds[c], F.col(f"o{i}"), F.try_divide(F.col(f"o{i}"), base(i))]) for i, c in enumerate(cols)], ["column", "lower", "upper", "outliers", "share"])
 
 
 def outlier_flags(df: DataFrame, col: str, how: str = "iqr", threshold: float = 1.5) -> DataFrame:
