@@ -46,7 +46,7 @@ PARTS = re.compile(r"[^ \t\n\x0b\x0c\r]+")
 
 #: Length classes for the patterns, most pieces of a pattern, and words that a worker remembers.
 CLASSES, MOST_PIECES = 64, 4
-MEMORY_WORDS = 500_000
+MEMORY_WORDS = 300_000
 LONG = np.int64
 
 
@@ -67,10 +67,10 @@ class WordTokenizer:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
         self.known: dict[str, int] = {}
-        self._clear()
+        self.forget()
 
-    def _clear(self) -> None:
-        self.known.clear()
+    def forget(self) -> None:
+        self.known = {}
         self.ids = np.zeros(1 << 20, np.uint32)
         self.used = 0
         self.begin = np.zeros(1 << 16, LONG)
@@ -105,7 +105,7 @@ class WordTokenizer:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and the number of each text."""
         if len(self.known) > MEMORY_WORDS:
-            self._clear()
+            self.forget()
         words: list[list[str]] = []
         for t in texts:
             if UNUSUAL.search(t):
@@ -169,6 +169,7 @@ def _cut(path: str, limit: int, end_id: int):
                     [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), *(pa.array(c, pa.int64()) for c in out[2:5]), pa.array([part] * len(out[0]), pa.int32()), pa.array(out[5], pa.int64())],
                     names=["doc_id", "piece", "start", "length", "ids_crc32", "part", "rank"],
                 )
+        tokenizer.forget()  # workers live on and serve other work
 
     return run
 
