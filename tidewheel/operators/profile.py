@@ -37,7 +37,7 @@ def describe(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """(column, count, mean, std, min, q25, q50, q75, max) of numeric columns."""
     cols = cols if cols is not None else column_groups(df).numeric
     stats = lambda c: [F.count(q(c)), F.avg(q(c)), F.stddev_samp(q(c)), F.min(q(c)).cast("double"), *[F.percentile(q(c), F.lit(p)) for p in (0.25, 0.5, 0.75)], F.max(q(c)).cast("double")]
-    one = df.agg(*[e.alias(f"{i}_{j}") for i, c in enumerate(cols) for j, e in enumerate(stats(c))])
+    one = df.agg(F.count(F.lit(1)).alias("rows"), *[e.alias(f"{i}_{j}") for i, c in enumerate(cols) for j, e in enumerate(stats(c))])
     return unpivot_row(one, [((c,), [F.col(f"{i}_{j}") for j in range(8)]) for i, c in enumerate(cols)], ["column", "count", "mean", "std", "min", "q25", "q50", "q75", "max"])
 
 

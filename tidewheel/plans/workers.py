@@ -8,6 +8,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of an Arrow batch at most: some MB of documents instead of some tens of MB.
+BATCH_ROWS = 1000
 _shipped: set[str] = set()
 
 
@@ -26,6 +28,8 @@ def ship(spark: SparkSession) -> None:
 
 
 def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
-    """``df.mapInArrow`` whose function may use this package."""
+    """``df.mapInArrow`` whose function may use this package, in batches that suit rows of long texts."""
     ship(df.sparkSession)
+    if int(df.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return df.mapInArrow(function, schema)
