@@ -323,6 +323,31 @@ register("train_series", DAILY)(lambda df: E.train_series(df.select("ts", "y"),
 register("train_tabular", _SMALL)(lambda df: E.train_tabular(df, "price", "regression", ["id"], ["LinearRegression", "RandomForest"], 3).board)
 register("cluster_job", _EMB)(lambda df: E.cluster(df.select(*_E4), _E4, range(2, 4)).comparison)
 
+# --- more of the same families ---------------------------------------------------------------------
+_NAMES = "SELECT o_orderkey, o_orderstatus, o_totalprice FROM {orders}"
+register("normalize_names", _NAMES, "SELECT o_orderkey AS order_key, o_orderstatus AS Status FROM base")(lambda df: P.normalize_names(df.select(F.col("o_orderkey").alias("  order \t key "), F.col("o_orderstatus").alias(" Status"))))
+register("snake_case_names", _NAMES, "SELECT o_orderkey AS order_key, o_totalprice AS total_price FROM base")(lambda df: P.snake_case_names(df.select(F.col("o_orderkey").alias(" Order-Key"), F.col("o_totalprice").alias("Total Price "))))
+register("name_blank_columns", _NAMES, "SELECT o_orderkey AS no_name_1, o_orderstatus AS status, o_totalprice AS no_name_2 FROM base")(lambda df: P.name_blank_columns(df.toDF(" ", "status", "  ")))
+register("split_target", _NAMES, "SELECT o_totalprice FROM base")(lambda df: P.split_target(df, "o_totalprice")[1])
+register("fill_gaps_by_key", HOURLY, f""", g AS (SELECT kind, unnest(generate_series(lo, hi, INTERVAL 1 HOUR)) AS ts FROM (SELECT kind, min(ts) AS lo, max(ts) AS hi FROM base GROUP BY kind))
+SELECT g.kind, {stamp('g.ts')} AS ts, round(coalesce(y, 0), 6) AS y FROM g LEFT JOIN base ON g.kind = base.kind AND g.ts = base.ts""")(lambda df: as_day(rounded(W.fill_gaps(df, "ts", "H", "zero", ["kind"])), "ts"))
+register("find_gaps_by_key", HOURLY, f"SELECT kind, {stamp('ts + INTERVAL 1 HOUR')} AS gap_start, {stamp('nx - INTERVAL 1 HOUR')} AS gap_end, date_diff('hour', ts, nx) - 1 AS missing FROM (SELECT kind, ts, lead(ts) OVER (PARTITION BY kind ORDER BY ts) AS nx FROM base) WHERE date_diff('hour', ts, nx) > 1")(lambda df: as_day(W.find_gaps(df, "ts", "H", ["kind"]), "gap_start", "gap_end"))
+register("knn_regress", _VEC, """, t AS (SELECT id, CAST(v AS DOUBLE[]) AS v, label FROM base WHERE id % 5 <> 0), s AS (SELECT id, CAST(v AS DOUBLE[]) AS v FROM base WHERE id % 5 = 0),
+d AS (SELECT s.id, t.label, row_number() OVER (PARTITION BY s.id ORDER BY list_distance(s.v, t.v), t.id) AS r FROM s, t) SELECT id, round(avg(label), 6) AS prediction FROM d WHERE r <= 5 GROUP BY id""")(lambda df: rounded(M.knn_predict(df.filter("id % 5 <> 0").select("id", F.col("v").cast("array<double>").alias("v"), "label"), df.filter("id % 5 = 0").select("id", F.col("v").cast("array<double>").alias("v")))))
+register("cluster_sizes", "SELECT label FROM {embeddings}", "SELECT label AS cluster, count(*) AS n, round(count(*) / (SELECT count(*) FROM base), 8) AS share FROM base GROUP BY label")(lambda df: rounded(U.cluster_sizes(df, "label"), 8))
+register("classification_metrics_binary", GUESSES, """SELECT round(avg(CASE WHEN label = prediction THEN 1 ELSE 0 END), 6) AS accuracy, round(sum(label * prediction) / sum(prediction), 6) AS precision, round(sum(label * prediction) / sum(label), 6) AS recall,
+round(2 * sum(label * prediction) / (sum(label) + sum(prediction)), 6) AS f1 FROM base""")(lambda df: rounded(MM.classification_metrics(df, average="binary")))
+
+
+def _tuned(df: DataFrame) -> DataFrame:
+    rows = M.prepared(WA.time_series_folds(W.lag_features(df.select("ts", "y"), "ts", "y", (1, 7)).dropna(), "ts", 2), ["y_lag_1", "y_lag_7"], "y").persist()
+    best, scores = M.grid_search(M.regressors(rows, ["DecisionTree"])["DecisionTree"], {"maxDepth": [2, 5]}, rows, "regression", 2)
+    return df.sparkSession.createDataFrame([(best.getMaxDepth(), *[float(scores[k]) for k in ("CV_RMSE", "CV_MAE", "CV_R2")])], "max_depth int, cv_rmse double, cv_mae double, cv_r2 double")
+
+
+register("grid_search", DAILY)(_tuned)
+register("eda_series_patterns", DAILY)(lambda df: E.eda_series(df.select("ts", "y"), "ts", "y", "D", 5).reports["patterns"])
+
 
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
