@@ -16,6 +16,7 @@ whatever its doc_id; empty tables give no rows; other columns are ignored.
 from __future__ import annotations
 
 import functools
+import itertools
 import os
 import re
 import zlib
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from ..plans.workers import map_arrow
 from .shared import materialise
 
-#: Length classes for the patterns, most pieces of a pattern, and words that a worker remembers.
+#: Length classes for the patterns, most pieces of a pattern, and words and parts of texts that a worker remembers.
 CLASSES, MOST_PIECES = 64, 4
 MEMORY_WORDS = 400_000
 LONG = np.int64
@@ -44,18 +45,53 @@ UNUSUAL = re.compile("[\x1c-\x1f\x85\xb2\xb3\xb9\xbc-\xbe\u0130\u0300-\U0010ffff
 #: White space of the tokenizer below U+0300.
 PARTS = re.compile(r"[^ \t\n\x0b\x0c\r]+")
 
-#: Length classes for the patterns, most pieces of a pattern, and words that a worker remembers.
+#: Length classes for the patterns, most pieces of a pattern, and words and parts of texts that a worker remembers.
 CLASSES, MOST_PIECES = 64, 4
-MEMORY_WORDS = 300_000
+MEMORY_WORDS, MEMORY_PARTS = 400_000, 400_000
 LONG = np.int64
 
 
+class _Memory:
+    """Ids of strings, all in one array, found by a dictionary."""
+
+    def __init__(self):
+        self.known: dict[str, int] = {}
+        self.ids = np.zeros(1 << 18, np.uint32)
+        self.used = 0
+        self.begin = np.zeros(1 << 16, LONG)
+        self.size = np.zeros(1 << 16, LONG)
+
+    def find(self, keys: list[str]) -> np.ndarray:
+        """The number of each key, -1 for unknown ones."""
+        return np.fromiter(map(self.known.get, keys, itertools.repeat(-1)), LONG, len(keys))
+
+    def add(self, keys: list[str], flat: np.ndarray, sizes: np.ndarray) -> None:
+        while self.used + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        n = len(self.known)
+        while n + len(keys) > len(self.begin):
+            self.begin, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.size))
+        self.ids[self.used : self.used + len(flat)] = flat
+        self.begin[n : n + len(keys)] = self.used + np.cumsum(sizes) - sizes
+        self.size[n : n + len(keys)] = sizes
+        self.used += len(flat)
+        self.known.update(zip(keys, range(n, n + len(keys)), strict=True))
+
+    def gather(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the numbered strings in a row, and where each one's end."""
+        sizes = self.size[which]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.ids[np.arange(total) + np.repeat(self.begin[which] - (ends - sizes), sizes)], ends
+
+
 class WordTokenizer:
     """Ids of texts under a word-level BPE tokenizer (white space dropped, lower-cased, word ends marked).
 
-    Texts are split into the tokenizer's own words and each distinct word is encoded once, many in one
-    call; the marked word ends tell where each one's ids end. Words are remembered up to MEMORY_WORDS, then
-    forgotten together. Texts with unusual characters are split at white space only and encoded part by part.
+    Texts are split at white space and each distinct part is looked up; new parts are split into the
+    tokenizer's own words, and new words are encoded, many in one call: the marked word ends tell where each
+    one's ids end. Parts and words are remembered up to a bound, then forgotten together. Texts with
+    unusual characters have their parts encoded one by one as they are.
     """
 
     def __init__(self, path: str):
@@ -66,70 +102,67 @@ class WordTokenizer:
         vocabulary = self.encoder.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
-        self.known: dict[str, int] = {}
-        self.forget()
+        self.words, self.parts = _Memory(), _Memory()
 
-    def forget(self) -> None:
-        self.known = {}
-        self.ids = np.zeros(1 << 20, np.uint32)
-        self.used = 0
-        self.begin = np.zeros(1 << 16, LONG)
-        self.size = np.zeros(1 << 16, LONG)
+    def forget_parts(self) -> None:
+        self.parts = _Memory()
 
-    def _store(self, words: list[str], flat: np.ndarray, sizes: np.ndarray) -> None:
-        while self.used + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        n = len(self.known)
-        while n + len(words) > len(self.begin):
-            self.begin, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.size))
-        self.ids[self.used : self.used + len(flat)] = flat
-        self.begin[n : n + len(words)] = self.used + np.cumsum(sizes) - sizes
-        self.size[n : n + len(words)] = sizes
-        self.used += len(flat)
-        self.known.update(zip(words, range(n, n + len(words)), strict=True))
+    def _learn_apart(self, memory: _Memory, keys: list[str], texts: list[str]) -> None:
+        got = [self.encoder.encode(t, add_special_tokens=False).ids for t in texts]
+        memory.add(keys, np.array([x for g in got for x in g], np.uint32), np.array([len(g) for g in got], LONG))
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn_words(self, words: list[str]) -> None:
         for k in range(0, len(words), 5_000):
             some = words[k : k + 5_000]
             flat = np.array(self.encoder.encode(" ".join(some), add_special_tokens=False).ids, np.uint32)
             ends = np.flatnonzero(self.ends[flat]) + 1
             if len(ends) == len(some) and (not len(flat) or ends[-1] == len(flat)):
-                self._store(some, flat, np.diff(ends, prepend=0))
+                self.words.add(some, flat, np.diff(ends, prepend=0))
             else:
-                self._learn_apart(some, some)
-
-    def _learn_apart(self, keys: list[str], texts: list[str]) -> None:
-        got = [self.encoder.encode(t, add_special_tokens=False).ids for t in texts]
-        self._store(keys, np.array([x for g in got for x in g], np.uint32), np.array([len(g) for g in got], LONG))
+                self._learn_apart(self.words, some, some)
+
+    def _learn_parts(self, parts: list[str]) -> None:
+        if len(self.words.known) > MEMORY_WORDS:
+            self.words = _Memory()
+        split = [WORDS.findall(p) for p in parts]
+        flat = [w for words in split for w in words]
+        which = self.words.find(flat)
+        if (which < 0).any():
+            self._learn_words(list(dict.fromkeys(itertools.compress(flat, which < 0))))
+            which = self.words.find(flat)
+        ids, ends = self.words.gather(which)
+        at = np.concatenate([[0], ends])[np.cumsum([0, *map(len, split)])]
+        self.parts.add(parts, ids, np.diff(at))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and the number of each text."""
-        if len(self.known) > MEMORY_WORDS:
-            self.forget()
-        words: list[list[str]] = []
+        if len(self.parts.known) > MEMORY_PARTS:
+            self.forget_parts()
+        split: list[list[str]] = []
         for t in texts:
             if UNUSUAL.search(t):
                 # keys with a leading blank: parts, encoded as they are
                 parts = [" " + w for w in PARTS.findall(t)]
-                new = list(dict.fromkeys(w for w in parts if w not in self.known))
-                if new:
-                    self._learn_apart(new, [w[1:] for w in new])
-                words.append(parts)
+                new = [w for w in dict.fromkeys(parts) if w not in self.parts.known]
+                self._learn_apart(self.parts, new, [w[1:] for w in new])
+                split.append(parts)
             else:
-                words.append(WORDS.findall(t.lower()))
-        flat = [w for p in words for w in p]
-        new = list(dict.fromkeys(w for w in flat if w not in self.known))
-        if new:
-            self._learn(new)
-        which = np.fromiter(map(self.known.__getitem__, flat), LONG, len(flat))
-        sizes = self.size[which]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.ids[np.arange(total) + np.repeat(self.begin[which] - (ends - sizes), sizes)]
-        bounds = np.cumsum([0, *map(len, words)])
-        at = np.concatenate([[0], ends])[bounds]
+                split.append(t.lower().split())
+        flat = [w for parts in split for w in parts]
+        which = self.parts.find(flat)
+        if (which < 0).any():
+            self._learn_parts(list(dict.fromkeys(itertools.compress(flat, which < 0))))
+            which = self._refill(which, flat)
+        ids, ends = self.parts.gather(which)
+        at = np.concatenate([[0], ends])[np.cumsum([0, *map(len, split)])]
         return ids, np.diff(at)
 
+    def _refill(self, which: np.ndarray, flat: list[str]) -> np.ndarray:
+        """``which`` with the parts found that were unknown before."""
+        unknown = which < 0
+        which[unknown] = self.parts.find(list(itertools.compress(flat, unknown)))
+        return which
+
 
 @functools.cache
 def tokenizer_of(path: str) -> WordTokenizer:
@@ -169,7 +202,7 @@ def _cut(path: str, limit: int, end_id: int):
                     [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), *(pa.array(c, pa.int64()) for c in out[2:5]), pa.array([part] * len(out[0]), pa.int32()), pa.array(out[5], pa.int64())],
                     names=["doc_id", "piece", "start", "length", "ids_crc32", "part", "rank"],
                 )
-        tokenizer.forget()  # workers live on and serve other work
+        tokenizer.forget_parts()  # workers live on and serve other work
 
     return run
 
