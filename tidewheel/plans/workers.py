@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows of an Arrow batch at most: some MB of documents instead of some tens of MB.
@@ -27,9 +30,27 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
+def release_memory() -> None:
+    """Gives freed memory back to the system: a worker process outlives its task."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def _tidied(function):
+    def run(batches):
+        yield from function(batches)
+        release_memory()
+
+    return run
+
+
 def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
     """``df.mapInArrow`` whose function may use this package, in batches that suit rows of long texts."""
     ship(df.sparkSession)
     if int(df.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return df.mapInArrow(function, schema)
+    return df.mapInArrow(_tidied(function), schema)
