@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .columns import q
 from .profile import unpivot_row
+from .series import running_sums
 
 
 def regression_metrics(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
@@ -41,16 +42,16 @@ def classification_metrics(df: DataFrame, label: str = "label", prediction: str
 def roc_curve(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
     """(threshold, tpr, fpr): one row for each distinct score, from counts by score."""
     counts = df.groupBy(q(score).alias("threshold")).agg(F.sum((q(label) == 1).cast("long")).alias("p"), F.sum((q(label) != 1).cast("long")).alias("n"))
-    w = Window.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
     total = counts.agg(F.sum("p").alias("tp_all"), F.sum("n").alias("fp_all"))
-    return counts.select("threshold", F.sum("p").over(w).alias("tp"), F.sum("n").over(w).alias("fp")).crossJoin(F.broadcast(total)).select("threshold", F.try_divide("tp", "tp_all").alias("tpr"), F.try_divide("fp", "fp_all").alias("fpr"))  # one row joins
+    sums = running_sums(counts.withColumn("o", -F.col("threshold")), "o", ["p", "n"])
+    return sums.crossJoin(F.broadcast(total)).select("threshold", F.try_divide("sum_p", "tp_all").alias("tpr"), F.try_divide("sum_n", "fp_all").alias("fpr"))  # one row joins
 
 
 def auc(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
     """One row: the area under the ROC curve by ranks; ties count half."""
     counts = df.groupBy(q(score).alias("s")).agg(F.sum((q(label) == 1).cast("double")).alias("p"), F.sum((q(label) != 1).cast("double")).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    return counts.select("p", "n", below.alias("b")).agg(F.try_divide(F.sum(F.col("p") * (F.col("b") + F.col("n") / 2)), F.sum("p") * F.sum("n")).alias("auc"))
+    below = F.col("sum_n") - F.col("n")
+    return running_sums(counts, "s", ["n"]).select("p", "n", below.alias("b")).agg(F.try_divide(F.sum(F.col("p") * (F.col("b") + F.col("n") / 2)), F.sum("p") * F.sum("n")).alias("auc"))
 
 
 def leaderboard_sort(df: DataFrame, task: str) -> DataFrame:

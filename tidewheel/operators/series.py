@@ -29,18 +29,42 @@ def micros(c: Column) -> Column:
     return F.unix_micros(c.cast("timestamp"))
 
 
-def distributed_rank(df: DataFrame, order: list[str], name: str = "rank") -> DataFrame:
-    """``df`` with its 1-based position in ``order``: ranges sorted in parallel, offsets from their counts.
+def ranged(df: DataFrame, order: str, name: str = "__b", parts: int | None = None) -> DataFrame:
+    """``df`` with the number of a range of ``order`` (a number or a stamp), about equally filled; nulls are range -1.
 
-    The ranges' counts (one row a range) are summed on the driver side of a small table.
+    The bounds are approximate quantiles, fixed as literals, so a range is a plain function of the row
+    and the same in every recomputation.
     """
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounds = df.repartitionByRange(parts, *[q(c) for c in order]).withColumn("__p", F.spark_partition_id())
-    local = bounds.withColumn("__r", F.row_number().over(Window.partitionBy("__p").orderBy(*[q(c) for c in order])))
-    counts = local.groupBy("__p").agg(F.max("__r").alias("__n"))
-    before = counts.select(F.col("__p").alias("__q"), F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__b"))
-    return local.join(F.broadcast(before), F.col("__p") == F.col("__q")).withColumn(name, (F.col("__r") + F.col("__b")).cast("long")).drop("__p", "__r", "__q", "__b")
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kind = dict(df.dtypes)[order]
+    x = micros(q(order)).cast("double") if kind.startswith(("timestamp", "date")) else q(order).cast("double")
+    bounds = df.agg(F.percentile_approx(x, [i / parts for i in range(1, parts)] or [0.5], 10_000)).first()[0] or []
+    above = F.size(F.filter(F.array(*[F.lit(b) for b in sorted(set(bounds))]), lambda b: x > b)) if bounds else F.lit(0)
+    return df.withColumn(name, F.when(x.isNull(), -1).otherwise(above))
+
+
+def _sums_before(counts: DataFrame, cols: list[str]) -> DataFrame:
+    """For each range the sums of all lower ones; one row a range."""
+    w = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    return counts.select(F.col("__b").alias("__q"), *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(f"__before_{c}") for c in cols])
+
+
+def distributed_rank(df: DataFrame, order: list[str], name: str = "rank") -> DataFrame:
+    """``df`` with its 1-based position in ``order``: row numbers within ranges of the first column, and offsets from the ranges' counts."""
+    rows = ranged(df, order[0])
+    local = rows.withColumn("__r", F.row_number().over(Window.partitionBy("__b").orderBy(*[q(c) for c in order])))
+    before = _sums_before(rows.groupBy("__b").agg(F.count(F.lit(1)).alias("n")), ["n"])
+    out = local.join(F.broadcast(before), F.col("__b") == F.col("__q"))  # a row a range
+    return out.withColumn(name, (F.col("__r") + F.col("__before_n")).cast("long")).drop("__r", "__b", "__q", "__before_n")
+
+
+def running_sums(df: DataFrame, order: str, cols: list[str]) -> DataFrame:
+    """``df`` with sum_c, the sum of c over all rows up to this one in ``order`` (unique), for each of ``cols``; range by range."""
+    rows = ranged(df, order)
+    w = Window.partitionBy("__b").orderBy(q(order)).rowsBetween(Window.unboundedPreceding, 0)
+    before = _sums_before(rows.groupBy("__b").agg(*[F.sum(q(c)).alias(c) for c in cols]), cols)
+    out = rows.withColumns({f"__s_{c}": F.sum(q(c)).over(w) for c in cols}).join(F.broadcast(before), F.col("__b") == F.col("__q"))  # a row a range
+    return out.select(*[q(c) for c in df.columns], *[(F.col(f"__s_{c}") + F.col(f"__before_{c}")).alias(f"sum_{c}") for c in cols])
 
 
 def chunked(df: DataFrame, order: str, halo: int, features, chunk_rows: int = 1_000_000) -> DataFrame:
@@ -309,9 +333,12 @@ def ewm_features(df: DataFrame, ts: str, target: str, spans=(7, 14, 30), keys: l
 
 def engineer_features(df: DataFrame, ts: str, target: str, plan: FeaturePlan = FeaturePlan(), keys: list[str] = ()) -> DataFrame:
     """Lags, rolling, calendar, difference and exponential features of complete rows."""
-    out = lag_features(df, ts, target, plan.lags, keys)
-    out = rolling_features(out, ts, target, plan.rolling, keys)
-    out = difference_features(out, ts, target, plan.differences, keys)
+
+    def windows(d: DataFrame, by: list[str]) -> DataFrame:
+        d = lag_features(d, ts, target, plan.lags, by)
+        return difference_features(rolling_features(d, ts, target, plan.rolling, by), ts, target, plan.differences, by)
+
+    out = windows(df, list(keys)) if keys else chunked(df, ts, max([*plan.lags, *plan.rolling, *plan.differences, 1]), windows)
     out = calendar_features(out, ts)
     if plan.spans:
         out = ewm_features(out, ts, target, plan.spans, keys)

@@ -11,26 +11,32 @@ from pyspark.sql import functions as F
 from ..functions.linear import adf_critical, adf_p_value, gram_of, ols
 from .columns import one_row, q
 from .profile import unpivot_row
-from .series import distributed_rank, frame
+from .series import chunked, distributed_rank, frame
 
 PERIODS = {"D": 7, "W": 4, "M": 12, "MS": 12, "H": 24}
 
 
+def _lagged(df: DataFrame, col: str, lags, keys: list[str] = (), prefix: str = "l") -> DataFrame:
+    """``df`` (t, ...) with lags of ``col``; one long series is cut into chunks with a halo."""
+
+    def add(d: DataFrame, by: list[str]) -> DataFrame:
+        return d.withColumns({f"{prefix}{k}": F.lag(q(col), k).over(frame(by, "t")) for k in lags}) if lags else d
+
+    return add(df, list(keys)) if keys else chunked(df, "t", max([*lags, 1]), add)
+
+
 def lag_correlation(df: DataFrame, ts: str, target: str, lags=(1, 7, 30), keys: list[str] = ()) -> DataFrame:
     """(lag, r) of the series with itself k rows before, on valid pairs."""
-    w = frame(list(keys), ts)
-    lagged = df.select(q(target).alias("y"), *[F.lag(q(target), k).over(w).alias(f"l{k}") for k in lags])
+    lagged = _lagged(df.select(*[q(k) for k in keys], q(ts).alias("t"), q(target).alias("y")), "y", lags, keys)
     one = lagged.agg(*[F.corr("y", f"l{k}").alias(f"r{k}") for k in lags])
     return unpivot_row(one, [((k,), [F.col(f"r{k}")]) for k in lags], ["lag", "r"])
 
 
 def acf(df: DataFrame, ts: str, target: str, lags: int = 25) -> DataFrame:
     """(lag, acf) for lags 0..lags: products about the common mean over the whole sum of squares."""
-    w = frame([], ts)
     mean = one_row(df, {"m": F.avg(q(target))})["m"]
     y = df.filter(q(target).isNotNull()).select(q(ts).alias("t"), (q(target) - F.lit(mean)).alias("y"))
-    y = y.select("y", *[F.lag("y", k).over(frame([], "t")).alias(f"l{k}") for k in range(1, lags + 1)])
-    del w
+    y = _lagged(y, "y", range(1, lags + 1))
     one = y.agg(F.sum(F.col("y") * F.col("y")).alias("v"), *[F.sum(F.col("y") * F.col(f"l{k}")).alias(f"s{k}") for k in range(1, lags + 1)])
     return unpivot_row(one, [((0,), [F.lit(1.0)]), *[((k,), [F.try_divide(F.col(f"s{k}"), F.col("v"))]) for k in range(1, lags + 1)]], ["lag", "acf"])
 
@@ -50,6 +56,7 @@ def pacf(df: DataFrame, ts: str, target: str, lags: int = 25) -> DataFrame:
 def seasonal_decompose(df: DataFrame, ts: str, target: str, period: int, keys: list[str] = (), extrapolate: bool = True) -> DataFrame:
     """(keys, ts, observed, trend, seasonal, residual), additive; needs two periods.
 
+    Windows run within keys; without keys the one series is one window, so cut a very long one first.
     The trend is a centred moving average (half weights at the ends of an even period), its ends lines
     fitted to the nearest ``period`` trend values; the season is the mean by phase less the mean of those.
     """
@@ -90,10 +97,9 @@ def adf_test(df: DataFrame, ts: str, target: str, max_lag: int | None = None) ->
     n = df.count()
     most = int(math.ceil(12.0 * (n / 100.0) ** 0.25)) if max_lag is None else max_lag
     most = max(0, min(most, n // 2 - 2))
-    w = frame([], "t")
     base = df.select(q(ts).alias("t"), q(target).cast("double").alias("y"))
-    d = base.select("t", "y", F.lag("y").over(w).alias("l"), (F.col("y") - F.lag("y").over(w)).alias("d"))
-    lagged = d.select("d", "l", *[F.lag("d", k).over(w).alias(f"d{k}") for k in range(1, most + 1)])
+    d = _lagged(base, "y", [1]).select("t", "y", F.col("l1").alias("l"), (F.col("y") - F.col("l1")).alias("d"))
+    lagged = _lagged(d, "d", range(1, most + 1), prefix="d")
     centre = one_row(base, {"m": F.avg("y")})["m"] or 0.0  # shifts the level only; keeps sums well scaled
 
     def matrix(k: int, on: list[str]) -> tuple[np.ndarray, int]:

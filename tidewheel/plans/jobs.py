@@ -197,7 +197,7 @@ def train_tabular(df: DataFrame, target: str, task: str, key: list[str], models:
 
 def train_series(df: DataFrame, ts: str, target: str, task: str = "regression", plan: W.FeaturePlan = W.FeaturePlan(), models: list[str] | None = None, trees: int = 100, splits: int = 3, tune: bool = False) -> M.Trained:
     """Features, chronological split, scaling on train, optional grid search on time folds, cross-validation and ranking."""
-    rows = W.engineer_features(df, ts, target, plan)
+    rows = W.engineer_features(df, ts, target, plan).persist()
     inputs = [c for c in P.column_groups(rows).numeric if c != target]
     train, test = WA.chronological_split(rows, ts)
     scaler = T.fit_scaler(train, inputs, "standard")
