@@ -10,10 +10,14 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.graph import components, materialise
 from ..functions.neighbours import nearest
 from .columns import column_groups, q
 from .transforms import fit_scaler
 
+#: Points on either side of a tile, about.
+TILE = 2048
+
 
 def prepare_matrix(df: DataFrame, cols: list[str] | None = None) -> tuple[DataFrame, list[str]]:
     """Complete rows of numeric columns, standardised, with a vector column ``features``."""
@@ -81,67 +85,134 @@ def _projection(dims: int, size: int = 3, seed: int = 9) -> np.ndarray:
     return np.linalg.qr(np.random.default_rng(seed).normal(size=(dims, min(size, dims))))[0]
 
 
-def dbscan(points: DataFrame, eps: float | None = None, min_samples: int = 5, rounds: int = 30) -> DataFrame:
+def _tiles(points: DataFrame, reach: float) -> tuple[DataFrame, list[str]]:
+    """Points (id, v) dealt as candidates: (keys, side, id, v), and the keys. Of any two points within ``reach``
+    the one meets the other in just one tile as side 0, and the reverse in just one.
+
+    Cells of side ``reach`` cut an orthonormal projection of at most 3 dimensions. A projection never lengthens
+    distances, so neighbours lie in the same or an adjacent cell; both sides of a cell are cut by its counted size.
+    """
+    dims = points.select(F.size("v")).first()[0]
+    p = _projection(dims)
+    here = [f"c{a}" for a in range(p.shape[1])]
+    axes = [sum((F.get("v", F.lit(i)) * F.lit(float(p[i, a])) for i in range(dims)), F.lit(0.0)) for a in range(p.shape[1])]
+    cells = points.select("id", "v", *[F.floor(x / F.lit(float(reach) * (1 + 1e-9))).cast("long").alias(c) for c, x in zip(here, axes, strict=True)])
+
+    def around(df: DataFrame) -> DataFrame:
+        for c in here:
+            df = df.withColumn("o", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))).withColumn(c, F.col(c) + F.col("o")).drop("o")
+        return df
+
+    count = cells.groupBy(*here).agg(F.count(F.lit(1)).alias("n"))
+    visits = around(count).groupBy(*here).agg(F.ceil(F.sum("n") / TILE).cast("int").alias("kv"))
+    sizes = count.withColumn("kh", F.ceil(F.col("n") / TILE).cast("int")).drop("n").join(visits, here)
+    part = lambda k, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(k)).cast("int")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
+    home = cells.join(sizes, here).select(*here, part("kh", 1).alias("i"), every("kv").alias("j"), F.lit(0).alias("side"), "id", "v")
+    visit = around(cells).join(sizes, here).select(*here, every("kh").alias("i"), part("kv", 2).alias("j"), F.lit(1).alias("side"), "id", "v")
+    return home.unionByName(visit), [*here, "i", "j"]
+
+
+def _squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.maximum((x**2).sum(1)[:, None] + (y**2).sum(1)[None] - 2 * x @ y.T, 0)
+
+
+def dbscan(points: DataFrame, eps: float | None = None, min_samples: int = 5) -> DataFrame:
     """(id, cluster) of points (id, v): -1 is noise; a border point joins the least core cluster within reach.
 
-    Points fall into cells of side eps of an orthonormal projection of at most 3 dimensions. A projection never
-    lengthens distances, so neighbours lie in the same or an adjacent cell; candidates are compared exactly in
-    numpy by cell, and cells of many points are cut into blocks. Clusters are components of core links.
+    Candidates come from ``_tiles`` and are compared exactly in numpy. Clusters are components of core links,
+    run until nothing changes.
     """
     points = points.persist()
     if points.isEmpty():
         return points.select("id", F.lit(-1).cast("long").alias("cluster"))
-    dims = points.select(F.size("v")).first()[0]
     if eps is None:
         eps = auto_eps(points, min_samples)
-    p = _projection(dims)
-    axes = [sum((F.get("v", F.lit(i)) * F.lit(float(p[i, a])) for i in range(dims)), F.lit(0.0)) for a in range(p.shape[1])]
-    cells = points.select("id", "v", *[F.floor(x / F.lit(eps)).cast("long").alias(f"c{a}") for a, x in enumerate(axes)])
-    here = [f"c{a}" for a in range(p.shape[1])]
-    block = F.pmod(F.xxhash64("id"), F.lit(8)).cast("int")
-    home = cells.select("id", "v", *here, F.lit(0).alias("side"), F.explode(F.sequence(F.lit(0), F.lit(0))).alias("b0")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(7)))).drop("b0")
-    visit = cells.select("id", "v", *here, F.lit(1).alias("side"), block.alias("b"))
-    for c in here:
-        visit = visit.withColumn("o", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))).withColumn(c, F.col(c) + F.col("o")).drop("o")
     limit = float(eps)
 
     def close(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = pdf[pdf.side == 0], pdf[pdf.side == 1]
         out_a, out_b = [], []
         if len(a) and len(b):
-            x, y = np.array(a.v.tolist()), np.array(b.v.tolist())
+            x, y = np.array(a.v.tolist(), float), np.array(b.v.tolist(), float)
             for i in range(0, len(x), 512):
-                d = np.sqrt(np.maximum((x[i : i + 512] ** 2).sum(1)[:, None] + (y**2).sum(1)[None] - 2 * x[i : i + 512] @ y.T, 0))
-                r, c = np.nonzero(d <= limit + 1e-9)
+                r, c = np.nonzero(np.sqrt(_squares(x[i : i + 512], y)) <= limit + 1e-6 * (1 + limit))
                 exact = np.sqrt(((x[i + r] - y[c]) ** 2).sum(1)) <= limit
                 out_a.append(a.id.to_numpy()[i + r[exact]])
                 out_b.append(b.id.to_numpy()[c[exact]])
         return pd.DataFrame({"a": np.concatenate(out_a) if out_a else np.zeros(0, np.int64), "b": np.concatenate(out_b) if out_b else np.zeros(0, np.int64)})
 
-    links = home.select("id", "v", *here, "side", "b").unionByName(visit.select("id", "v", *here, "side", "b")).groupBy(*here, "b").applyInPandas(close, "a long, b long").persist()
+    tiles, keys = _tiles(points, limit)
+    links = materialise(tiles.groupBy(*keys).applyInPandas(close, "a long, b long"), "links")
     core = links.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_samples).select("a").persist()
-    edges = links.join(core, "a").join(core.withColumnRenamed("a", "b"), "b", "left_semi").persist()
-    label = core.select(F.col("a").alias("id"), F.col("a").alias("label"))
-    for _ in range(rounds):
-        low = edges.join(label.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("m"))
-        # the least label of the neighbours, then that label's own label
-        new = label.join(low, "id", "left").select("id", F.least("label", F.coalesce("m", "label")).alias("label"))
-        jump = new.select(F.col("id").alias("label"), F.col("label").alias("up"))
-        new = new.join(jump, "label", "left").select("id", F.least("label", F.coalesce("up", "label")).alias("label"))
-        new = (new.checkpoint() if points.sparkSession.sparkContext.getCheckpointDir() else new.persist())
-        changed = new.join(label.withColumnRenamed("label", "old"), "id").filter("label <> old").limit(1).count()
-        label = new
-        if not changed:
-            break
+    edges = links.filter("a < b").join(core, "a", "left_semi").join(core.withColumnRenamed("a", "b"), "b", "left_semi")
+    root = components(edges.select("a", "b")).withColumnRenamed("node", "a")
+    label = core.join(root, "a", "left").select(F.col("a").alias("id"), F.coalesce("root", "a").alias("label"))
     border = links.join(label.withColumnRenamed("id", "b"), "b").join(core, "a", "left_anti").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("label"))
     return points.select("id").join(label.unionByName(border), "id", "left").select("id", F.coalesce("label", F.lit(-1)).alias("cluster"))
 
 
 def auto_eps(points: DataFrame, min_samples: int = 5, sample: int = 2000) -> float:
-    """90th percentile of the distance to the (min_samples - 1)-th neighbour, over a hash-chosen sample of queries."""
+    """90th percentile of the distance of every point to its (min_samples - 1)-th neighbour.
+
+    The sample only guesses a reach: distances within it are found exactly by the tiles of ``_tiles``, the others
+    are larger. The reach doubles until the percentile is among the distances found.
+    """
+    k, n = min_samples - 1, points.count()
+    if k < 1 or n <= k:
+        return 1.0
     some = points.orderBy(F.xxhash64("id")).limit(sample)
-    near = nearest(points.select("id", "v"), some.select("id", "v"), min_samples - 1, skip_same=True)
-    return float(near.filter(F.col("rank") == min_samples - 1).agg(F.percentile("distance", F.lit(0.9))).first()[0] or 1.0)
+    near = nearest(points.select("id", "v"), some.select("id", "v"), k, skip_same=True)
+    reach = 1.05 * float(near.filter(F.col("rank") == k).agg(F.percentile("distance", F.lit(0.9))).first()[0] or 1.0)
+    at = 0.9 * (n - 1)
+    low, high = int(np.floor(at)), int(np.ceil(at))
+    for _ in range(64):
+        known = _within(points, reach, k)
+        if known.count() > high:
+            a, b = (order_statistic(known, "d", r) for r in (low, high))
+            return a + (b - a) * (at - low) or 1.0
+        reach *= 2
+    raise ValueError("too few points have as many neighbours of another id")
+
+
+def _within(points: DataFrame, reach: float, k: int) -> DataFrame:
+    """(id, d) of the points whose k-th neighbour lies within ``reach``, at distance d."""
+
+    def least(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = pdf[pdf.side == 0], pdf[pdf.side == 1]
+        out = []
+        if len(a) and len(b):
+            x, y, names, ids = np.array(a.v.tolist(), float), np.array(b.v.tolist(), float), a.id.to_numpy(), b.id.to_numpy()
+            for i in range(0, len(x), 512):
+                d = _squares(x[i : i + 512], y)
+                d[names[i : i + 512, None] == ids[None]] = np.inf
+                # some more than k, as sums of squares may misplace those next to each other
+                pick = np.argpartition(d, k + 7, axis=1)[:, : k + 8] if d.shape[1] > k + 8 else np.tile(np.arange(d.shape[1]), (len(d), 1))
+                exact = np.sqrt(((x[i : i + 512, None] - y[pick]) ** 2).sum(2))
+                exact[np.isinf(np.take_along_axis(d, pick, 1))] = np.inf
+                out += [r[r <= reach] for r in np.sort(exact, axis=1)[:, :k]]
+        return pd.DataFrame({"id": a.id.to_numpy() if out else np.zeros(0, np.int64), "d": out})
+
+    tiles, keys = _tiles(points, reach)
+    found = tiles.groupBy(*keys).applyInPandas(least, "id long, d array<double>")
+    return materialise(found.groupBy("id").agg(F.get(F.sort_array(F.flatten(F.collect_list("d"))), F.lit(k - 1)).alias("d")).filter("d is not null"), "near")
+
+
+def order_statistic(df: DataFrame, c: str, rank: int, most: int = 10_000) -> float:
+    """The value of ``rank`` (from 0) of a column without nulls: counts by bins narrow the range until its values are few."""
+    while True:
+        n, low, high = df.agg(F.count(c), F.min(c), F.max(c)).first()
+        if low == high:
+            return float(low)
+        if n <= most:
+            return float(sorted(r[0] for r in df.select(c).collect())[rank])
+        of = F.least(F.floor((q(c) - F.lit(low)) / F.lit((high - low) / 1000)), F.lit(999)).cast("int")
+        before = 0
+        for b, held in sorted(df.groupBy(of.alias("bin")).count().collect()):
+            if before + held > rank:
+                break
+            before += held
+        df, rank = df.filter(of == b), rank - before
 
 
 def ward_labels(centres: np.ndarray, sizes: np.ndarray, k: int) -> np.ndarray:
