@@ -11,12 +11,17 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % folds
 
 
+def agreed(labels: DataFrame, label: str) -> DataFrame:
+    """(doc_id, y) of the labels that are neither null nor contradicted by another row of the same id."""
+    return labels.filter(F.col(label).isNotNull()).groupBy("doc_id").agg(F.min(label).alias("y"), F.max(label).alias("other")).filter("y = other").select("doc_id", "y")
+
+
 def training_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, rows: int) -> DataFrame:
     """(text, lang, y) of at most ``rows`` labelled documents outside the held-out fold, chosen by a hash of their text.
 
     Labels that are null or contradict another row of the same id are left out.
     """
-    y = labels.filter(F.col(label).isNotNull()).groupBy("doc_id").agg(F.min(label).alias("y"), F.max(label).alias("other")).filter("y = other").select("doc_id", "y")
+    y = agreed(labels, label)
     named = docs.filter(F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), folds) != held_out)).select("doc_id", "text", "lang")
     ids = named.select("doc_id").join(y, "doc_id").orderBy(F.xxhash64("doc_id", F.lit(11))).limit(rows)
     # the chosen ids are at most ``rows``, so they may be broadcast

@@ -3,8 +3,8 @@
 A document is a vector of shape features of its whole text (no vocabulary, language or source). Preference
 pairs take a good and a bad document of a bounded, hash-chosen sample of labelled rows; weights
 minimise the logistic loss on feature differences. Documents are accepted above a quantile of
-the training scores, the one of best accuracy on labelled rows; scores are mapped to 0..1 by a logistic curve whose
-0.7 lies at that quantile.
+the scores of all documents, the one of best accuracy on all labelled rows outside the held-out fold; scores are mapped to 0..1 by a
+logistic curve whose 0.7 lies at that quantile.
 
 Defined results: null and empty texts have all features 0 and are scored like others; a null
 id is never held out; rows of one id each give a row; without labelled rows of both classes all scores are 0.7.
@@ -21,9 +21,11 @@ from pyspark.sql import functions as F
 
 from ..plans.workers import map_arrow
 from .bytetext import BLANKS, chunks, column_bytes, words
-from .labelled import fold, training_sample
+from .labelled import agreed, fold, training_sample
 
 SAMPLE_ROWS, PAIRS, STEPS = 20_000, 60_000, 300
+#: Bins of the score histogram to a standard deviation of the training scores.
+BINS = 200
 #: Score of the accepted quantile.
 CUT = 0.7
 
@@ -114,16 +116,49 @@ def fit(x: np.ndarray, y: np.ndarray, seed: int = 5) -> Ranker:
         v += 0.001 * (grad * grad - v)
         ranker.weights = ranker.weights - 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     s = z @ ranker.weights
-    order = np.argsort(s)
-    # accuracy if the lowest k are rejected; of equal accuracies the lowest quantile
-    right = np.concatenate([[0], np.cumsum(y[order] == 0)]) + (y == 1).sum() - np.concatenate([[0], np.cumsum(y[order] == 1)])
-    quantiles = np.unique(np.round(np.linspace(0, 0.6, 241) * len(s)).astype(int))
-    k = int(quantiles[np.argmax(right[quantiles])])
-    ranker.cut = float((s[order[k - 1]] + s[order[min(k, len(s) - 1)]]) / 2) if k else float(s.min())
     ranker.slope = 2.0 / max(float(s.std()), 1e-6)
     return ranker
 
 
+def best_cut(bins: np.ndarray, good: np.ndarray, bad: np.ndarray) -> float:
+    """Of the borders of a histogram over all documents (bins rising) that of best accuracy on its labelled rows, in bins.
+
+    Of equal accuracies it is the lowest, in the middle of the gap between labelled rows.
+    """
+    right = np.concatenate([[0], np.cumsum(bad)]) + good.sum() - np.concatenate([[0], np.cumsum(good)])
+    k = int(np.argmax(right))
+    if not k:
+        return float(bins[0])
+    above = np.flatnonzero((good + bad)[k:] > 0)
+    return float((bins[k - 1] + 1 + (bins[k + above[0]] if len(above) else bins[k - 1] + 1)) / 2)
+
+
+def _set_cut(ranker: Ranker, docs: DataFrame, labels: DataFrame, folds: int, held_out: int) -> Ranker:
+    """``ranker`` with the cut from a histogram of the strengths of all rows of ``docs`` (doc_id, text)."""
+    if not ranker.weights.any():
+        return ranker
+    width = 2.0 / ranker.slope / BINS
+    shared = docs.sparkSession.sparkContext.broadcast(ranker)
+
+    def place(batches):
+        r: Ranker = shared.value
+        for batch in batches:
+            data, offsets = column_bytes(batch.column(1))
+            got = [r.strength(features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])) for i, j in chunks(offsets)]
+            strength = np.concatenate(got) if got else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.floor(strength / width).astype(np.int64))], names=["doc_id", "bin"])
+
+    placed = map_arrow(docs.select("doc_id", "text"), place, "doc_id long, bin long")
+    known = agreed(labels, "quality").filter(fold(F.col("doc_id"), folds) != held_out)
+    # strengths are bounded by the clipped features, so the bins are few
+    rows = placed.join(known, "doc_id", "left").groupBy("bin").agg(F.count_if(F.col("y") == 1), F.count_if(F.col("y") == 0)).collect()
+    if rows:
+        bins, good, bad = np.array(sorted(tuple(r) for r in rows), np.int64).T
+        if good.any() or bad.any():
+            ranker.cut = best_cut(bins, good, bad) * width
+    return ranker
+
+
 def _score(ranker):
     def run(batches):
         r: Ranker = ranker.value
@@ -149,7 +184,7 @@ def _learn(docs: DataFrame, labels: DataFrame, folds: int, held_out: int, sample
     width = features(np.zeros(0, np.uint8), np.zeros(2, np.int64)).shape[1]
     x = np.array(rows["x"].tolist(), np.float64).reshape(-1, width)
     order = np.lexsort(x.T) if len(x) else []
-    return fit(x[order], rows["y"].to_numpy(np.int64)[order])
+    return _set_cut(fit(x[order], rows["y"].to_numpy(np.int64)[order]), docs, labels, folds, held_out)
 
 
 def classify(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
