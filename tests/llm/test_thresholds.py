@@ -6,7 +6,7 @@ import random
 
 import numpy as np
 
-from tidewheel.llm import quality
+from tidewheel.llm import quality, toxicity
 
 
 def test_most_documents_are_bad(spark):
@@ -30,3 +30,32 @@ def test_best_cut():
     assert quality.best_cut(count(-4, 0, 1, 2, 9), count(0, 0, 0, 0, 2), count(3, 3, 0, 0, 0)) == 5.0
     assert quality.best_cut(count(-4, 3), count(1, 1), count(0, 0)) == -4.0
     assert quality.best_cut(count(-4, 3), count(0, 0), count(1, 5)) == 4.0
+
+
+def test_small_languages_get_thresholds_of_their_own():
+    # es is toxic from bin -100 on, the large en only from 100 on; fr has one row and stays with the common threshold
+    counts = [("en", 120, 400, 400), ("en", -90, 900, 0), ("en", -300, 900, 0), ("es", -90, 40, 40), ("es", -300, 400, 0), ("fr", -300, 1, 0), (None, -300, 5, 0)]
+    common, own = toxicity.thresholds(counts)
+    assert set(own) == {"en", "es", "fr"}
+    assert own["es"] < 0.2 < 0.5 < own["en"]
+    assert own["fr"] == common == own["en"]
+    assert toxicity.thresholds([]) == (0.5, {}) == toxicity.thresholds([("en", 3, 5, 0)])
+
+
+def test_each_language_is_calibrated_on_all_its_labels(spark, monkeypatch):
+    r = random.Random(6)
+    rows = []
+    for i in range(900):
+        words = [f"word{r.randrange(200)}" for _ in range(30)]
+        if i % 3 == 0:
+            words[7] = "scumbag"
+        rows.append((i, " ".join(words), "es" if i % 15 < 2 else "en", int(i % 3 == 0)))
+    docs = spark.createDataFrame([x[:3] for x in rows], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(x[0], x[3]) for x in rows], "doc_id long, toxic int")
+    seen, made = [], toxicity.thresholds
+    monkeypatch.setattr(toxicity, "thresholds", lambda counts: (seen.extend(counts), made(counts))[1])
+    got = toxicity.classify(docs, labels, sample_rows=300).collect()
+    # 300 rows train, all others outside the held-out fold calibrate
+    assert sum(c[2] for c in seen) == sum(not g["held_out"] for g in got) - 300
+    assert {c[0] for c in seen} == {"en", "es"}
+    assert sum(g["flagged"] == bool(rows[g["doc_id"]][3]) for g in got) > 0.97 * len(rows)

@@ -16,13 +16,22 @@ def agreed(labels: DataFrame, label: str) -> DataFrame:
     return labels.filter(F.col(label).isNotNull()).groupBy("doc_id").agg(F.min(label).alias("y"), F.max(label).alias("other")).filter("y = other").select("doc_id", "y")
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, rows: int) -> DataFrame:
-    """(text, lang, y) of at most ``rows`` labelled documents outside the held-out fold, chosen by a hash of their text.
+def training_ids(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, rows: int, apart: int = 0) -> DataFrame:
+    """(doc_id, y) of at most ``rows`` labelled documents outside the held-out fold, chosen by a hash of their id.
 
-    Labels that are null or contradict another row of the same id are left out.
+    With ``apart`` one id in so many, by another hash, is never chosen.
     """
-    y = agreed(labels, label)
-    named = docs.filter(F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), folds) != held_out)).select("doc_id", "text", "lang")
-    ids = named.select("doc_id").join(y, "doc_id").orderBy(F.xxhash64("doc_id", F.lit(11))).limit(rows)
-    # the chosen ids are at most ``rows``, so they may be broadcast
-    return named.join(F.broadcast(ids), "doc_id").select("text", "lang", "y")
+    named = docs.filter(F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), folds) != held_out))
+    if apart:
+        named = named.filter(F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(apart)) != 0)
+    return named.select("doc_id").join(agreed(labels, label), "doc_id").orderBy(F.xxhash64("doc_id", F.lit(11))).limit(rows)
+
+
+def training_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, rows: int) -> DataFrame:
+    """(text, lang, y) of the documents of ``training_ids``."""
+    return with_texts(docs, training_ids(docs, labels, label, folds, held_out, rows))
+
+
+def with_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(text, lang, y) of the chosen ids, which are few enough to be broadcast."""
+    return docs.select("doc_id", "text", "lang").join(F.broadcast(ids), "doc_id").select("text", "lang", "y")

@@ -4,8 +4,9 @@ Words and their beginnings are hashed into embedding tables whose rows are joine
 pooled over the whole text, and weighed by a logistic output. Training is minibatch Adam
 on the driver over a bounded, hash-chosen sample of labelled rows; the model (some MB whatever the
 corpus) is broadcast and scores whole texts in Arrow batches. Thresholds of F1 are calibrated by
-language on a part of the sample that training does not see; languages with few toxic rows there take the common
-one. Language is never an input of the score.
+language on all labelled rows outside the held-out fold and the training sample, from histograms of scores; one id in
+CALIBRATION is never trained on. Each language's histogram is joined by the common one at the weight of PRIOR_TOXIC toxic rows, so
+small languages lean on it. Language is never an input of the score.
 
 Defined results: null, empty and wordless texts score as a text of padding; a null id is never held
 out; rows of one id each give a row; without labelled rows of both classes all scores are the base rate.
@@ -13,7 +14,7 @@ out; rows of one id each give a row; without labelled rows of both classes all s
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,8 @@ from pyspark.sql import functions as F
 
 from ..plans.workers import map_arrow
 from .bytetext import ALNUM, RangeHash, U, chunks, column_bytes, words
-from .labelled import fold, training_sample
+from .labelled import agreed, fold, training_ids, with_texts
+from .shared import materialise
 
 #: Embedding tables of 2**TABLE_BITS rows: two by hashes of the word, the others by its first bytes.
 TABLE_BITS, PART, FILTERS, WIDTHS = 16, 6, 12, (1, 2, 3)
@@ -33,8 +35,8 @@ SAMPLE_ROWS, EPOCHS, LEAST_STEPS, BATCH, RATE = 12_000, 6, 500, 48, 0.01
 PAD = max(WIDTHS) - 1
 #: Training texts that must hold a table row for it to be learnt.
 LEAST_TEXTS = 4
-#: Toxic validation rows that a language needs for a threshold of its own.
-LEAST_TOXIC = 20
+#: One id in so many is kept for calibration; toxic rows' worth of the common histogram in each language's; bins to a unit of the logit.
+CALIBRATION, PRIOR_TOXIC, BINS = 5, 20, 64
 
 
 def word_codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -60,8 +62,6 @@ class Model:
     bias: np.ndarray  # (widths, FILTERS)
     out: np.ndarray  # (widths * FILTERS)
     base: float
-    thresholds: dict[str, float] = field(default_factory=dict)
-    common: float = 0.5
 
     def embed(self, codes: np.ndarray) -> np.ndarray:
         return np.concatenate([t[codes[:, k]] for k, t in enumerate(self.tables)], axis=1)
@@ -174,36 +174,36 @@ def train(texts: list[tuple[np.ndarray, int]], seed: int = 3) -> Model:
     return model
 
 
-def best_threshold(scores: np.ndarray, y: np.ndarray) -> float:
-    """The score from which on calling toxic gives the best F1."""
-    order = np.argsort(-scores, kind="stable")
-    hits = np.cumsum(y[order])
-    f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
-    i = int(np.argmax(f1))
-    after = scores[order[i + 1]] if i + 1 < len(y) else 0.0
-    return float((scores[order[i]] + after) / 2)
+def best_threshold(bins: np.ndarray, rows: np.ndarray, toxic: np.ndarray) -> float:
+    """The score from which on calling toxic gives the best F1, from a histogram of logits (bins rising)."""
+    hits, called = np.cumsum(toxic[::-1]), np.cumsum(rows[::-1])
+    i = len(bins) - 1 - int(np.argmax(2 * hits / (called + toxic.sum())))
+    logit = (bins[i] + (bins[i - 1] + 1 if i else bins[i])) / 2 / BINS
+    return float(1 / (1 + np.exp(-logit)))
+
+
+def thresholds(counts: list[tuple[str | None, int, float, float]]) -> tuple[float, dict[str, float]]:
+    """The common threshold and that of each language, from (lang, bin, rows, toxic rows); 0.5 without rows of both classes."""
+    bins = np.unique([c[1] for c in counts])
+    of: dict[str, np.ndarray] = {}
+    for lang, b, rows, toxic in counts:
+        of.setdefault(lang or "", np.zeros((2, len(bins))))[:, np.searchsorted(bins, b)] += (rows, toxic)
+    every = sum(of.values(), np.zeros((2, len(bins))))
+    total, hits = every.sum(1)
+    if not 0 < hits < total:
+        return 0.5, {}
+    return best_threshold(bins, *every), {lang: best_threshold(bins, *(h + every * (PRIOR_TOXIC / hits))) for lang, h in of.items() if lang}
 
 
 def fit(sample: DataFrame) -> Model:
-    """A model with thresholds from (text, lang, y); one row in five calibrates."""
+    """A model from (text, lang, y)."""
     rows = sample.toArrow()
-    codes, langs, y = [], rows.column("lang").to_pylist(), np.array(rows.column("y").to_pylist(), np.int64)
+    codes, y = [], rows.column("y").to_pylist()
     data, offsets = column_bytes(rows.column("text"))
     for i, j in chunks(offsets):
         c, b = word_codes(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
         codes += [c[s:e] for s, e in zip(b[:-1], b[1:], strict=True)]
-    apart = np.arange(len(y)) % 5 == 4
-    model = train([(c, int(t)) for c, t, a in zip(codes, y, apart, strict=True) if not a])
-    checks = np.flatnonzero(apart)
-    if len(checks) and y[checks].any() and not y[checks].all():
-        scores = np.concatenate([1 / (1 + np.exp(-np.clip(model.logits(codes[i], np.array([0, len(codes[i])])).astype(np.float64), -30, 30))) for i in checks])
-        model.common = best_threshold(scores, y[checks])
-        of = np.array([langs[i] or "" for i in checks])
-        for lang in set(of.tolist()) - {""}:
-            here = of == lang
-            if y[checks][here].sum() >= LEAST_TOXIC and not y[checks][here].all():
-                model.thresholds[lang] = best_threshold(scores[here], y[checks][here])
-    return model
+    return train([(c, int(t)) for c, t in zip(codes, y, strict=True)])
 
 
 def _score(model):
@@ -213,8 +213,7 @@ def _score(model):
             data, offsets = column_bytes(batch.column(1))
             scores = [m.score(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in chunks(offsets, 1 << 19)]
             score = np.concatenate(scores) if scores else np.zeros(0)
-            threshold = np.array([m.thresholds.get(lang, m.common) for lang in batch.column(2).to_pylist()], np.float64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array(threshold), pa.array(score >= threshold)], names=["doc_id", "held_out", "score", "predicted", "threshold", "flagged"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(score)], names=["doc_id", "lang", "held_out", "score"])
 
     return run
 
@@ -225,6 +224,14 @@ def classify(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int =
     ``flagged`` applies the language's calibrated threshold, ``predicted`` that of 0.5.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
-    model = docs.sparkSession.sparkContext.broadcast(fit(training_sample(docs, labels, "toxic", folds, held_out, sample_rows)))
+    spark = docs.sparkSession
+    ids = materialise(training_ids(docs, labels, "toxic", folds, held_out, sample_rows, CALIBRATION), "trained")
+    model = spark.sparkContext.broadcast(fit(with_texts(docs, ids)))
     held = F.coalesce(fold(F.col("doc_id"), folds) == held_out, F.lit(False)).alias("held_out")
-    return map_arrow(docs.select("doc_id", "text", "lang", held), _score(model), "doc_id long, held_out boolean, score double, predicted int, threshold double, flagged boolean")
+    scored = materialise(map_arrow(docs.select("doc_id", "text", "lang", held), _score(model), "doc_id long, lang string, held_out boolean, score double"), "scored")
+    checks = scored.filter("doc_id is not null and not held_out").join(agreed(labels, "toxic"), "doc_id").join(F.broadcast(ids.select("doc_id")), "doc_id", "left_anti")
+    bins = F.floor(F.ln(F.col("score") / (1 - F.col("score"))) * BINS).alias("bin")
+    common, own = thresholds([tuple(r) for r in checks.groupBy("lang", bins).agg(F.count(F.lit(1)), F.sum("y")).collect()])
+    table = spark.createDataFrame(sorted(own.items()), "lang string, own double")
+    out = scored.join(F.broadcast(table), "lang", "left").withColumn("threshold", F.coalesce("own", F.lit(common)))  # a row a language
+    return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "threshold", (F.col("score") >= F.col("threshold")).alias("flagged"))
