@@ -55,13 +55,56 @@ def test_against_brute_force(spark, docs, rows, monkeypatch):
     assert Counter(tuple(r) for r in contamination(docs, bench, 10).select(*names).collect()) == want
 
 
-def test_affected_documents_go(spark, docs, rows):
-    bench = spark.createDataFrame(items_of(rows), "item_id long, text string")
-    kept = drop_contaminated(docs, bench, 10)
-    bad = {k[0] for k in brute([(r[0], r[1]) for r in rows], items_of(rows), 10) if k[5]}
-    assert kept.columns == docs.columns
-    assert {r["doc_id"] for r in kept.collect()} >= {r[0] for r in rows if r[0] is not None and r[0] not in bad}
-    assert not {r["doc_id"] for r in kept.collect() if r["doc_id"] is not None} & bad
+def longest(document, item, width):
+    """Length and places of the longest common run of words of at least min(width, item) words."""
+    d, t = words(document), words(item)
+    best = None
+    for p in range(len(d)):
+        for o in range(len(t)):
+            n = 0
+            while p + n < len(d) and o + n < len(t) and d[p + n] == t[o + n]:
+                n += 1
+            if n >= min(width, len(t)) and (best is None or n > best[0]):
+                best = (n, p, o)
+    return best
+
+
+def test_longest_matches_and_their_places(spark, docs, rows, monkeypatch):
+    items = [i for i in items_of(rows) if i[0] not in (None, 2)] + [(20, " ".join(rows[3][1].split()[:70])), (21, "ab ab ab"), (22, rows[12][1])]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    some = docs.filter("doc_id in (3, 4, 12, 13, 31, 35, 59, 60, 62)")
+    want = {}
+    for r in rows:
+        if r[0] in (3, 4, 12, 13, 31, 35, 59, 60, 62):
+            want[r[0]] = {str(i): n for i, t in items if (n := longest(r[1], t, 10))}
+    assert max(n for m in want.values() for n, _, _ in m.values()) > 100
+    for block in (1 << 24, 60):
+        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
+        for r in contamination(some, bench, 10).collect():
+            got = {m["item_id"]: m for m in r["matches"]}
+            assert {i: m["length"] for i, m in got.items()} == {i: n[0] for i, n in want[r["doc_id"]].items()}
+            assert r["longest"] == max((m["length"] for m in r["matches"]), default=0)
+            text, by_id = words(next(x[1] for x in rows if x[0] == r["doc_id"])), {str(i): words(t) for i, t in items}
+            for i, m in got.items():
+                assert text[m["offset"] : m["offset"] + m["length"]] == by_id[i][m["item_offset"] : m["item_offset"] + m["length"]]
+
+
+def test_affected_rows_go(spark, docs, rows, monkeypatch):
+    items = items_of(rows)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    texts = [(r[0], r[1]) for r in rows]
+    clean = Counter((d, t) for d, t in texts if not any(k[5] for k in brute([(d, t)], items, 10)))
+    for block in (1 << 24, 60):
+        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
+        kept = drop_contaminated(docs, bench, 10)
+        assert kept.columns == docs.columns
+        assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == clean
+
+
+def test_rows_of_one_id_are_judged_by_their_own_text(spark, rows):
+    bench = spark.createDataFrame([(1, rows[3][1])], "item_id long, text string")
+    docs = spark.createDataFrame([(3, rows[3][1], 1), (3, "a clean text", 2), (None, rows[3][1], 3), (None, None, 4)], "doc_id long, text string, `a.b` int")
+    assert sorted(r["a.b"] for r in drop_contaminated(docs, bench).collect()) == [2, 4]
 
 
 def test_empty_tables(spark, docs, empty):

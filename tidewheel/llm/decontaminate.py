@@ -1,15 +1,19 @@
 """Benchmark decontamination by suffix arrays over the training shards.
 
 A shard is a block of documents within a task. Its suffix array sorts word suffixes; every test
-suffix is looked up in it by binary search, which gives the longest verbatim matches
-and their places. Suffixes whose first two words start no test window are left out of the array
-by a table of fixed size, so most of a clean shard is never sorted.
+suffix is looked up in it by binary search, which gives the places that hold a whole window.
+Windows that follow one another in an item and in a document are one verbatim match, which is
+extended that way to its full length; the longest of each document and item is reported with its
+places in both. Suffixes whose first two words start no test window are left out of the array by a
+table of fixed size, so most of a clean shard is never sorted.
 
-The test set is read in blocks of bounded size, each broadcast to all shards; documents are never
-shuffled. Words are compared by 64-bit hashes.
+The test set is read in blocks of bounded size, broadcast one after the other to all shards;
+documents are never shuffled, and what is found is carried along with each row. Words are compared by 64-bit hashes.
 
 Defined results: null or wordless documents and items have no words; items with a null id hit but
-are not listed; repeated item ids count once; each row of documents gives a row, whatever its id.
+are not listed; repeated item ids count once; each row of documents gives a row, whatever its id. Columns other
+than those named are ignored by ``contamination`` and kept by ``drop_contaminated``. An empty table gives no rows, an empty
+test set no hits.
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..plans.workers import map_arrow
 from .bytetext import ALNUM, U, chunks, column_bytes, mix, words
@@ -108,7 +113,39 @@ class SuffixArray:
             hi = np.where(open_ & ~below, mid, hi)
 
 
-def _search(block, width: int):
+_MATCH = pa.struct([("item_id", pa.string()), ("item_offset", pa.int32()), ("offset", pa.int32()), ("length", pa.int32())])
+_FOUND = "hits array<int>, matches array<struct<item_id:string,item_offset:int,offset:int,length:int>>"
+
+
+def _longest(array: SuffixArray, ranges: list[tuple[int, int, int]], test: TestBlock, first: np.ndarray, size: np.ndarray, item: np.ndarray, bounds: np.ndarray, total: int) -> list[dict]:
+    """For each row of a shard {item: (length, place, test place)}, its longest verbatim match with each item.
+
+    ranges: (window, lo, hi) of the windows found, in their order. ``reach`` holds for each place the length of the match
+    that ends in the window before; a window at the next place and of the same item goes on with it.
+    """
+    found: list[dict] = [{} for _ in range(len(bounds) - 1)]
+    reach = np.zeros(total + 1, LONG)
+    before, at = -2, np.zeros(0, LONG)
+    for w, lo, hi in ranges:
+        places = np.sort(array.places[lo:hi])
+        row = np.searchsorted(bounds, places, side="right") - 1
+        length = np.full(len(places), size[w])
+        if before == w - 1 and item[w] == item[before] and size[w] == size[before]:
+            goes_on = (places > bounds[row]) & (reach[places - 1] > 0)
+            length[goes_on] = reach[places[goes_on] - 1] + 1
+        reach[at] = 0
+        reach[places] = length
+        before, at = w, places
+        for r, n, place in zip(row.tolist(), length.tolist(), places.tolist(), strict=True):
+            # a match of several windows ends in this one
+            start = place + int(size[w]) - n
+            best = found[r].get(int(item[w]))
+            if best is None or n > best[0]:
+                found[r][int(item[w])] = (n, start - int(bounds[r]), int(first[w] + size[w]) - n - int(test.bounds[item[w]]))
+    return found
+
+
+def _search(block, width: int, last: bool):
     def run(batches):
         test: TestBlock = block.value
         first, size = test.starts
@@ -120,45 +157,50 @@ def _search(block, width: int):
         item = np.searchsorted(test.bounds, first, side="right") - 1
         for batch in batches:
             data, offsets = column_bytes(batch.column(1))
-            out_n, out_at, out_items, out_longest = [], [], [], []
+            out_n, out_at, out_found = [], batch.column(2).to_pylist(), batch.column(3).to_pylist()
             for i, j in chunks(offsets):
                 _, _, hashes, bounds = words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], ALNUM)
-                n = np.diff(bounds)
+                out_n += np.diff(bounds).tolist()
                 may = started[_pairs(hashes)] if len(hashes) else np.zeros(0, bool)
                 if len(single):
                     may |= np.isin(hashes, single)
                 places = np.flatnonzero(may)
+                if not len(places):
+                    continue
                 row = np.searchsorted(bounds, places, side="right") - 1
+                array = SuffixArray(hashes, places, bounds[row + 1], width)
+                lo, hi, most = array.narrow(query, size)
+                whole = np.flatnonzero((hi > lo) & (most == size))
+                if not len(whole):
+                    continue
                 hit = np.zeros(len(hashes) + 1, LONG)
-                found = [set() for _ in range(j - i)]
-                longest = np.zeros(j - i, LONG)
-                if len(places):
-                    array = SuffixArray(hashes, places, bounds[row + 1], width)
-                    lo, hi, most = array.narrow(query, size)
-                    whole = (hi > lo) & (most == size)
-                    many = np.where(whole, hi - lo, 0)
-                    w = np.repeat(np.arange(len(first)), many)
-                    ends = np.cumsum(many)
-                    place = array.places[np.arange(ends[-1]) - np.repeat(ends - many, many) + np.repeat(lo, many)]
-                    np.add.at(hit, place, 1)
-                    np.add.at(hit, place + size[w], -1)
-                    doc = np.searchsorted(bounds, place, side="right") - 1
-                    np.maximum.at(longest, doc, size[w])
-                    for d, t in np.unique(np.stack([doc, item[w]]), axis=1).T.tolist():
-                        found[d].add(t)
-                covered = np.concatenate([[0], np.cumsum(np.cumsum(hit)[:-1] > 0)])
-                at = [np.flatnonzero(np.cumsum(hit)[b:e] > 0).tolist() if k else [] for b, e, k in zip(bounds[:-1].tolist(), bounds[1:].tolist(), covered[bounds[1:]] - covered[bounds[:-1]], strict=True)]
-                out_n += n.tolist()
-                out_at += at
-                out_items += [[test.ids[t] for t in sorted(f) if test.ids[t] is not None] for f in found]
-                out_longest += longest.tolist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out_n, pa.int64()), pa.array(out_at, pa.list_(pa.int32())), pa.array(out_items, pa.list_(pa.string())), pa.array(out_longest, pa.int32())], names=["key", "n_words", "hits", "items", "longest"])
+                for n in np.unique(size[whole]).tolist():
+                    some = whole[size[whole] == n]
+                    held = np.zeros(len(places) + 1, LONG)
+                    np.add.at(held, lo[some], 1)
+                    np.add.at(held, hi[some], -1)
+                    place = array.places[np.cumsum(held)[:-1] > 0]
+                    hit[place] += 1
+                    hit[place + n] -= 1
+                covered = np.flatnonzero(np.cumsum(hit)[:-1] > 0)
+                for r, k in zip(*np.unique(np.searchsorted(bounds, covered, side="right") - 1, return_index=True), strict=True):
+                    end = np.searchsorted(covered, bounds[r + 1])
+                    out_at[i + r] = [*(out_at[i + r] or []), *(covered[k:end] - bounds[r]).tolist()]
+                ranges = list(zip(whole.tolist(), lo[whole].tolist(), hi[whole].tolist(), strict=True))
+                for r, matches in enumerate(_longest(array, ranges, test, first, size, item, bounds, len(hashes)), i):
+                    if matches:
+                        out_found[r] = [*(out_found[r] or []), *({"item_id": test.ids[t], "item_offset": o, "offset": p, "length": n} for t, (n, p, o) in sorted(matches.items()))]
+            columns = [batch.column(0), pa.array(out_at, pa.list_(pa.int32())), pa.array(out_found, pa.list_(_MATCH))]
+            if last:
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(out_n, pa.int64())], names=["key", "hits", "matches", "n_words"])
+            else:
+                yield pa.RecordBatch.from_arrays([columns[0], batch.column(1), *columns[1:]], names=["key", "text", "hits", "matches"])
 
     return run
 
 
 def _blocks(benchmark: DataFrame, width: int):
-    """The test set as blocks of bounded size; each is collected only when its turn comes."""
+    """(test block, whether it is the last): blocks of bounded size, each collected only when its turn comes."""
     texts = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     count = -(-size // BLOCK_BYTES) or 1
@@ -167,53 +209,51 @@ def _blocks(benchmark: DataFrame, width: int):
         rows = part.distinct().collect()
         data, offsets = column_bytes(pa.array([r["text"] for r in rows], pa.large_string()))
         _, _, hashes, bounds = words(data, offsets, ALNUM)
-        yield TestBlock(hashes, bounds, [r["item_id"] for r in rows], width)
+        yield TestBlock(hashes, bounds, [r["item_id"] for r in rows], width), k == count - 1
+
+
+def _scan(keyed: DataFrame, benchmark: DataFrame, width: int) -> DataFrame:
+    """(key, hits, matches, n_words) of (key, text): every block of the test set in turn adds what it finds to each row."""
+    spark = keyed.sparkSession
+    now = keyed.select("key", "text", F.expr("cast(null as array<int>)").alias("hits"), F.expr(f"cast(null as {_FOUND.split('matches ')[1]})").alias("matches"))
+    key = T.StructField("key", keyed.schema["key"].dataType)
+    found = T._parse_datatype_string(_FOUND).fields
+    for test, last in _blocks(benchmark, width):
+        block = spark.sparkContext.broadcast(test)
+        more = [*found, T.StructField("n_words", T.LongType())] if last else [T.StructField("text", T.StringType()), *found]
+        now = map_arrow(now, _search(block, width, last), T.StructType([key, *more]))
+        if not last:
+            now = materialise(now, "scanned")
+            block.unpersist()
+    return now
 
 
 def _digest(batches):
     for batch in batches:
         c = batch.to_pydict()
-        ids = [sorted({x for part in parts for x in part}) for parts in c["items"]]
-        hit = [len({x for part in parts for x in part}) for parts in c["hits"]]
+        ids = [sorted({m["item_id"] for m in found or [] if m["item_id"] is not None}) for found in c["matches"]]
+        hit = [len(set(h or [])) for h in c["hits"]]
+        longest = [max((m["length"] for m in found or []), default=0) for found in c["matches"]]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(c["key"], pa.int64()), pa.array(c["n_words"], pa.int64()), pa.array(hit, pa.int64()), pa.array([len(i) for i in ids], pa.int64()), pa.array([hashlib.sha256(",".join(i).encode()).hexdigest() for i in ids]), pa.array([h > 0 for h in hit]), pa.array(c["longest"], pa.int32()), pa.array(ids, pa.list_(pa.string()))],
-            names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest", "items"],
+            [pa.array(c["key"], pa.int64()), pa.array(c["n_words"], pa.int64()), pa.array(hit, pa.int64()), pa.array([len(i) for i in ids], pa.int64()), pa.array([hashlib.sha256(",".join(i).encode()).hexdigest() for i in ids], pa.string()), pa.array([h > 0 for h in hit], pa.bool_()), pa.array(longest, pa.int32()), pa.array(ids, pa.list_(pa.string())), pa.array([found or [] for found in c["matches"]], pa.list_(_MATCH))],
+            names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest", "items", "matches"],
         )
 
 
-_REPORT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest int, items array<string>"
+_REPORT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest int, items array<string>, " + _FOUND.split(", ", 1)[1]
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
-    """For every row of ``docs`` (doc_id, text): words, words hit, the items found and the longest match up to ``width``."""
-    spark = docs.sparkSession
-    parts = []
-    for test in _blocks(benchmark, width):
-        block = spark.sparkContext.broadcast(test)
-        one = map_arrow(docs.select(F.col("doc_id").cast("long").alias("key"), "text"), _search(block, width), "key long, n_words long, hits array<int>, items array<string>, longest int")
-        parts.append(one)
-    if len(parts) == 1:
-        merged = parts[0].select("key", "n_words", F.array("hits").alias("hits"), F.array("items").alias("items"), "longest")
-        return map_arrow(merged, _digest, _REPORT)
-    # several blocks: rows of one document meet by their id and text
-    keyed = docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("r")).alias("k"), "text")
-    keyed = materialise(keyed.select(F.col("k.doc_id").alias("doc_id"), F.col("k.r").alias("key"), "text"), "keyed")
-    rows = None
-    for test in _blocks(benchmark, width):
-        block = spark.sparkContext.broadcast(test)
-        one = materialise(map_arrow(keyed.select("key", "text"), _search(block, width), "key long, n_words long, hits array<int>, items array<string>, longest int"), "found")
-        rows = one if rows is None else rows.unionByName(one)
-    merged = rows.groupBy("key").agg(F.max("n_words").alias("n_words"), F.collect_list("hits").alias("hits"), F.collect_list("items").alias("items"), F.max("longest").alias("longest"))
-    report = map_arrow(merged, _digest, _REPORT).withColumnRenamed("doc_id", "key")
-    return keyed.select("doc_id", "key").join(report, "key").drop("key")
+    """For every row of ``docs`` (doc_id, text): words, words hit, the items found, and ``matches``.
+
+    ``matches`` holds the longest verbatim match with each item (of ties the first in the item): its length in words, and its first word's
+    offset in the item and in the document. ``longest`` is the largest length, 0 without a match.
+    """
+    return map_arrow(_scan(docs.select(F.col("doc_id").cast("long").alias("key"), "text"), benchmark, width), _digest, _REPORT)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
-    """``docs`` without the rows whose doc_id has a contaminated text; rows with a null doc_id are judged by text."""
-    bad = contamination(docs, benchmark, width).filter("contaminated")
-    gone = bad.filter("doc_id is not null").select("doc_id").distinct()
-    named = docs.filter("doc_id is not null").join(gone, "doc_id", "left_anti").select(docs.columns)
-    unnamed = docs.filter("doc_id is null")
-    marked = unnamed.withColumn("__row", F.xxhash64("text"))
-    found = contamination(marked.select(F.col("__row").alias("doc_id"), "text"), benchmark, width).filter("contaminated").select(F.col("doc_id").alias("__row")).distinct()
-    return named.unionByName(marked.join(found, "__row", "left_anti").select(docs.columns))
+    """``docs`` without the rows whose own text is contaminated, whatever their doc_id; columns stay."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    clean = _scan(docs.select(row.alias("key"), "text"), benchmark, width).filter(F.coalesce(F.size("hits"), F.lit(0)) <= 0)
+    return clean.select(*[F.col(f"key.`{c}`").alias(c) for c in docs.columns])

@@ -109,7 +109,7 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold ten words in a row of a benchmark item."""
     report = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=10)
-    return report.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    return report.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -20,7 +20,8 @@ A byte goes when some string of ``length`` bytes that covers it also starts anyw
    right part as common prefix and its left part as common prefix of the reversed left contexts.
 6. A core held by very many nodes is split by window offset into narrower nodes with longer
    cores, most of whose suffixes are then equal and meet in step 4.
-7. Spans are united by text within a task, then over tasks, and joined to the affected rows only.
+7. Spans are united by text within a task, then over tasks, and joined to the affected rows only: broadcast
+   where their counted ranges are few, else by a shuffle of those rows.
 
 Defined results: null is the empty text; shorter texts than ``length`` keep all; repeated rows
 are repeats of each other. doc_id is never compared, so null and repeated ids are fine; extra
@@ -50,6 +51,8 @@ CORE_BITS, HOT_BITS = 27, 22
 HOT, SPLIT = 20_000, 8
 #: Bytes of suffixes that a task sorts into one set of runs, and that a bucket should hold.
 RUN_BYTES, BUCKET_BYTES = 16 << 20, 8 << 20
+#: Ranges (8 bytes each) up to which they are broadcast to the affected rows; beyond, the rows are shuffled.
+BROADCAST_RANGES = 1_000_000
 LONG = np.int64
 
 
@@ -558,7 +561,9 @@ def _cut_all(texts: DataFrame, length: int) -> DataFrame:
     marked = materialise(map_arrow(_with_id(texts, "key"), _mark(hit), T.StructType([string("text"), long_("id"), key, T.StructField("affected", T.BooleanType())])), "marked")
     none = F.lit(0).cast("long")
     whole = marked.filter("not affected").select("key", F.octet_length("text").cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"), "text")
-    affected = marked.filter("affected").join(spans.withColumnRenamed("text", "id"), "id", "left").select("key", "text", "begins", "ends")
+    ranges = spans.agg(F.sum(F.size("begins"))).first()[0] or 0
+    of_id = spans.withColumnRenamed("text", "id")
+    affected = marked.filter("affected").join(F.broadcast(of_id) if ranges <= BROADCAST_RANGES else of_id, "id", "left").select("key", "text", "begins", "ends")
     return whole.unionByName(map_arrow(affected, _cut_rows, T.StructType([key, long_("n_bytes"), long_("n_removed"), long_("n_spans"), string("kept_sha256"), string("text")])))
 
 
