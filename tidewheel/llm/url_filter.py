@@ -1,9 +1,10 @@
 """URL filter: explicit rules first, then a path-template tree with smoothed labelled purity.
 
 Paths become segments; segments that look like identifiers are wildcards at once. Level by
-level and host by host, a segment also becomes a wildcard when it is one rare child of many, or when its
-labelled purity does not differ from that of all its siblings (two-proportion z test), which merges
-statistically similar branches. A template is rejected when its purity (share of allowed
+level and host by host, a segment also becomes a wildcard when its labelled purity does not differ from
+that of all its siblings (two-proportion z test), which merges statistically similar branches, rare ones and those
+without labels included. A branch goes on as deep as its paths, and ends early (``/**``) where no further level can
+tell its pages apart: without labels, or with labels all of one kind. A template is rejected when its purity (share of allowed
 among labelled pages, smoothed toward its host, the host toward its parent domain, that toward all
 pages) is below one half.
 
@@ -36,10 +37,6 @@ class Rule:
 
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Levels of the tree; deeper segments count as one.
-DEPTH = 4
-#: A child is rare below this share of its parent when the parent has more children than that.
-RARE_SHARE, MANY_CHILDREN = 0.02, 20
 #: Labelled pages that a parent's purity counts for, and the z value of a difference.
 PRIOR, DIFFERENT = 4.0, 2.58
 
@@ -67,10 +64,9 @@ def longest_rule(rules: list[Rule], host: Column, path: Column) -> tuple[Column,
 
 
 def path_shape(path: Column) -> Column:
-    """The path's first DEPTH segments as one string, identifiers as ``*``; all deeper ones as ``**``."""
+    """The path's segments as one string, identifiers as ``*``."""
     parts = F.split(F.regexp_replace(path, r"^/+|/+$", ""), "/+")
-    wild = F.transform(parts, lambda s: F.when(F.rlike(s, F.lit(r"^(\d+|[0-9a-fA-F-]{8,}|[^/]*\d{4,}[^/]*)(\.[A-Za-z]{1,5})?$")), F.lit("*")).otherwise(s))
-    return F.when(F.size(wild) > DEPTH, F.concat(F.array_join(F.slice(wild, 1, DEPTH), "/"), F.lit("/**"))).otherwise(F.array_join(wild, "/"))
+    return F.array_join(F.transform(parts, lambda s: F.when(F.rlike(s, F.lit(r"^(\d+|[0-9a-fA-F-]{8,}|[^/]*\d{4,}[^/]*)(\.[A-Za-z]{1,5})?$")), F.lit("*")).otherwise(s)), "/")
 
 
 def _purity(allowed: Column, labelled: Column, prior: Column) -> Column:
@@ -82,19 +78,27 @@ def learn_templates(shapes: DataFrame) -> DataFrame:
     now = shapes.withColumn("segments", F.split("shape", "/")).withColumn("template", F.lit(""))
     total = shapes.agg((F.sum("allowed") / F.nullif(F.sum("labelled"), F.lit(0))).alias("p")).first()[0]
     total = 0.5 if total is None else float(total)
-    for level in range(DEPTH + 1):
+    done, level = None, 0
+    while True:
         here = now.withColumn("s", F.coalesce(F.get("segments", F.lit(level)), F.lit("")))
-        child = here.groupBy("host", "template", "s").agg(F.sum("pages").alias("n"), F.sum("allowed").alias("a"), F.sum("labelled").alias("l"))
-        parent = child.groupBy("host", "template").agg(F.count(F.lit(1)).alias("children"), F.sum("n").alias("all_n"), F.sum("a").alias("all_a"), F.sum("l").alias("all_l"))
+        child = here.groupBy("host", "template", "s").agg(F.sum("allowed").alias("a"), F.sum("labelled").alias("l"))
+        parent = child.groupBy("host", "template").agg(F.count(F.lit(1)).alias("children"), F.sum("a").alias("all_a"), F.sum("l").alias("all_l"))
         rest = F.col("all_l") - F.col("l")
         pooled = F.col("all_a") / F.nullif(F.col("all_l"), F.lit(0))
         spread = F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1.0), F.col("l")) + F.try_divide(F.lit(1.0), rest)))
         z = F.try_divide(F.abs(F.try_divide(F.col("a"), F.col("l")) - F.try_divide(F.col("all_a") - F.col("a"), rest)), spread)
-        rare = (F.col("children") > MANY_CHILDREN) & (F.col("n") < RARE_SHARE * F.col("all_n"))
         similar = (F.col("children") > 1) & ~F.coalesce(z >= DIFFERENT, F.lit(False))
-        names = child.join(parent, ["host", "template"]).select("host", "template", "s", F.when(F.col("s") == "", F.lit("")).when(rare | similar, F.lit("/*")).otherwise(F.concat(F.lit("/"), "s")).alias("step"))
-        now = here.join(names, ["host", "template", "s"]).select("host", "shape", "pages", "allowed", "labelled", "segments", F.concat("template", "step").alias("template"))
+        mixed = (F.col("all_a") > 0) & (F.col("all_a") < F.col("all_l"))
+        step = F.when(F.col("s") == "", F.lit("")).when(~mixed, F.lit("/**")).when(similar, F.lit("/*")).otherwise(F.concat(F.lit("/"), "s"))
+        names = child.join(parent, ["host", "template"]).select("host", "template", "s", step.alias("step"))
+        now = here.join(names, ["host", "template", "s"]).select("host", "shape", "pages", "allowed", "labelled", "segments", F.concat("template", "step").alias("template"), ((F.col("step") == "/**") | (F.size("segments") <= level + 1)).alias("ends"))
         now = materialise(now, "tree")
+        ended = now.filter("ends").drop("segments", "ends")
+        done = ended if done is None else done.unionByName(ended)
+        now, level = now.filter("not ends").drop("ends"), level + 1
+        if now.isEmpty():
+            break
+    now = done
     domain = F.regexp_extract("host", r"([^.]*\.[^.]*)$", 1)
     domains = now.groupBy(domain.alias("domain")).agg(_purity(F.sum("allowed"), F.sum("labelled"), F.lit(total)).alias("p_domain"))
     hosts = now.groupBy("host").agg(F.sum("allowed").alias("a"), F.sum("labelled").alias("l")).withColumn("domain", domain).join(domains, "domain").select("host", _purity(F.col("a"), F.col("l"), F.col("p_domain")).alias("p_host"))
