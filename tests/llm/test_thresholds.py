@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tidewheel.llm import quality, toxicity
 
@@ -59,3 +60,21 @@ def test_each_language_is_calibrated_on_all_its_labels(spark, monkeypatch):
     assert sum(c[2] for c in seen) == sum(not g["held_out"] for g in got) - 300
     assert {c[0] for c in seen} == {"en", "es"}
     assert sum(g["flagged"] == bool(rows[g["doc_id"]][3]) for g in got) > 0.97 * len(rows)
+
+
+def test_repeated_ids_are_one_training_row(spark):
+    from tidewheel.llm.labelled import training_sample
+
+    docs = spark.createDataFrame([(1, "b", "en"), (1, "a", "en"), (1, "b", "en"), (3, None, None), (None, "x", "en"), (4, "no label", "en")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(1, 1), (1, 1), (3, 0), (None, 1)], "doc_id long, toxic int")
+    got = training_sample(docs, labels, "toxic", 1, 5, 10).collect()
+    assert sorted((r["text"] or "", r["y"]) for r in got) == [("", 0), ("a", 1)]
+    assert len(training_sample(docs, labels, "toxic", 1, 5, 1).collect()) == 1
+
+
+def test_the_order_of_rows_does_not_change_the_toxicity_model(spark):
+    words = [f"w{i % 50} w{i % 7} {'scum' if i % 3 == 0 else 'fine'}" for i in range(120)]
+    rows = [(t, "en", int(i % 3 == 0)) for i, t in enumerate(words)]
+    df = spark.createDataFrame(rows, "text string, lang string, y int")
+    a, b = toxicity.fit(df.repartition(5)), toxicity.fit(df.orderBy(F.desc("text")))
+    assert np.array_equal(a.out, b.out) and np.array_equal(a.tables, b.tables) and a.base == b.base

@@ -19,12 +19,12 @@ def agreed(labels: DataFrame, label: str) -> DataFrame:
 def training_ids(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, rows: int, apart: int = 0) -> DataFrame:
     """(doc_id, y) of at most ``rows`` labelled documents outside the held-out fold, chosen by a hash of their id.
 
-    With ``apart`` one id in so many, by another hash, is never chosen.
+    An id that several rows of ``docs`` have is one document. With ``apart`` one id in so many, by another hash, is never chosen.
     """
     named = docs.filter(F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), folds) != held_out))
     if apart:
         named = named.filter(F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(apart)) != 0)
-    return named.select("doc_id").join(agreed(labels, label), "doc_id").orderBy(F.xxhash64("doc_id", F.lit(11))).limit(rows)
+    return agreed(labels, label).join(named.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(rows)
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, rows: int) -> DataFrame:
@@ -33,5 +33,6 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
 
 
 def with_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(text, lang, y) of the chosen ids, which are few enough to be broadcast."""
-    return docs.select("doc_id", "text", "lang").join(F.broadcast(ids), "doc_id").select("text", "lang", "y")
+    """(text, lang, y), one row for each of the chosen ids, which are few enough to be broadcast; of several texts the least."""
+    found = docs.select("doc_id", "text", "lang").join(F.broadcast(ids), "doc_id")
+    return found.groupBy("doc_id", "y").agg(F.min(F.struct("text", "lang")).alias("d")).select("d.text", "d.lang", "y")

@@ -196,8 +196,8 @@ def thresholds(counts: list[tuple[str | None, int, float, float]]) -> tuple[floa
 
 
 def fit(sample: DataFrame) -> Model:
-    """A model from (text, lang, y)."""
-    rows = sample.toArrow()
+    """A model from (text, lang, y), whatever the order of the rows."""
+    rows = sample.select("text", "y").toArrow().sort_by([("text", "ascending"), ("y", "ascending")])
     codes, y = [], rows.column("y").to_pylist()
     data, offsets = column_bytes(rows.column("text"))
     for i, j in chunks(offsets):
