@@ -18,18 +18,35 @@ _own_folder: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where the cluster names none (tests), a folder of our own."""
+    """The folder of ``spark.checkpoint.dir``; where a local session (tests) names none, a folder of our own.
+
+    On a cluster executors do not share local folders, so there the setting must be made.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _own_folder:
         _own_folder.append(tempfile.mkdtemp(prefix="spark-shared-"))
         atexit.register(shutil.rmtree, _own_folder[0], ignore_errors=True)
     return "file://" + _own_folder[0]
 
 
+def _tables(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/tidewheel/{spark.sparkContext.applicationId}"
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/tidewheel/{name}-{uuid.uuid4().hex}"
+    """A new path for a table of this application; ``clear`` deletes them all."""
+    return f"{_tables(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all intermediate tables of this application. Results that were not written out before are lost."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(_tables(spark))
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
