@@ -5,14 +5,40 @@ from __future__ import annotations
 from statistics import NormalDist
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.workers import map_arrow
+
+#: Columns up to which all products are sums of one aggregation; more would be too much generated code.
+MOST_SUMS = 24
+
+
+def _gram_of_blocks(rows: DataFrame, d: int) -> tuple[np.ndarray, int]:
+    """The same from numpy products: one matrix a task, added up by Spark cell by cell."""
+
+    def products(batches):
+        total, n = np.zeros((d, d)), 0
+        for batch in batches:
+            x = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)
+            total += x.T @ x
+            n += len(x)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(d * d + 1)), pa.array(np.append(total.ravel(), n))], names=["cell", "value"])
+
+    cells = map_arrow(rows, products, "cell long, value double").groupBy("cell").agg(F.sum("value").alias("value")).collect()
+    got = np.zeros(d * d + 1)
+    for r in cells:
+        got[r["cell"]] = r["value"]
+    return got[:-1].reshape(d, d), int(got[-1])
+
 
 def gram_of(df: DataFrame, exprs: list[Column]) -> tuple[np.ndarray, int]:
     """Sums of products of all pairs over rows where every expression is non-null, and the number of rows."""
     d = len(exprs)
     rows = df.select(*[e.cast("double").alias(f"x{i}") for i, e in enumerate(exprs)]).dropna()
+    if d > MOST_SUMS:
+        return _gram_of_blocks(rows, d)
     sums = rows.agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}_{j}") for i in range(d) for j in range(i, d)]).first()
     g = np.zeros((d, d))
     for i in range(d):

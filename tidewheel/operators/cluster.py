@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.graph import components, materialise
+from ..functions.linear import gram_of
 from ..functions.neighbours import nearest
 from .columns import column_groups, q
 from .transforms import fit_scaler
@@ -254,11 +255,8 @@ def pca(df: DataFrame, cols: list[str], most: int = 10) -> tuple[DataFrame, np.n
     s = fit_scaler(filled, cols, "standard")
     x = s.apply(filled)
     d = len(cols)
-    sums = x.agg(F.count(F.lit(1)).alias("n"), *[F.sum(q(cols[i]) * q(cols[j])).alias(f"s{i}_{j}") for i in range(d) for j in range(i, d)]).first()
-    g = np.zeros((d, d))
-    for i in range(d):
-        for j in range(i, d):
-            g[i, j] = g[j, i] = (sums[f"s{i}_{j}"] or 0.0) / max(sums["n"] - 1, 1)
+    g, n = gram_of(x, [q(c) for c in cols])
+    g = g / max(n - 1, 1)
     values, vectors = np.linalg.eigh(g)
     order = np.argsort(-values)
     values, vectors = np.maximum(values[order], 0), vectors[:, order]

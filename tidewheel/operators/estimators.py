@@ -7,7 +7,6 @@ import time
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
-from functools import reduce
 
 import numpy as np
 from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
@@ -18,6 +17,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.graph import materialise
 from ..functions.neighbours import nearest
 from . import metrics
 from .columns import one_row, q
@@ -67,8 +67,8 @@ def _one_vs_rest(estimator: Estimator, classes: int) -> Estimator:
     return estimator if classes <= 2 else C.OneVsRest(classifier=estimator)
 
 
-def regressors(df: DataFrame, names: list[str] | None = None, trees: int = 100, seed: int = 42) -> dict[str, Estimator]:
-    """Estimators by name, fitted to the size and spread of ``df`` (label)."""
+def regressors(df: DataFrame, names: list[str] | None = None, trees: int = 100, seed: int = 42, rounds: int = 50) -> dict[str, Estimator]:
+    """Estimators by name, fitted to the size and spread of ``df`` (label); ``rounds`` is for AdaBoost, ``trees`` for all other ensembles."""
     makers: dict[str, Callable[[], Estimator]] = {
         "LinearRegression": linear_regression,
         "Ridge": lambda: ridge(df),
@@ -80,13 +80,13 @@ def regressors(df: DataFrame, names: list[str] | None = None, trees: int = 100,
         "DecisionTree5": lambda: R.DecisionTreeRegressor(maxDepth=5, seed=seed),
         "RandomForest": lambda: R.RandomForestRegressor(numTrees=trees, maxDepth=10, seed=seed),
         "GradientBoosting": lambda: R.GBTRegressor(maxIter=trees, maxDepth=3, stepSize=0.1, seed=seed),
-        "AdaBoost": lambda: AdaBoostRegressor(min(trees, 50), seed=seed),
+        "AdaBoost": lambda: AdaBoostRegressor(rounds, seed=seed),
         "KNN": lambda: NearestNeighbours("regression"),
     }
     return {n: makers[n]() for n in (names or makers)}
 
 
-def classifiers(df: DataFrame, names: list[str] | None = None, trees: int = 100, seed: int = 42) -> dict[str, Estimator]:
+def classifiers(df: DataFrame, names: list[str] | None = None, trees: int = 100, seed: int = 42, rounds: int = 50) -> dict[str, Estimator]:
     classes = df.select(F.count_distinct(LABEL)).first()[0]
     makers: dict[str, Callable[[], Estimator]] = {
         "LogisticRegression": lambda: logistic(df),
@@ -95,8 +95,8 @@ def classifiers(df: DataFrame, names: list[str] | None = None, trees: int = 100,
         "DecisionTree": lambda: C.DecisionTreeClassifier(maxDepth=15, seed=seed),
         "DecisionTree5": lambda: C.DecisionTreeClassifier(maxDepth=5, seed=seed),
         "RandomForest": lambda: C.RandomForestClassifier(numTrees=trees, maxDepth=10, seed=seed),
-        "GradientBoosting": lambda: _one_vs_rest(C.GBTClassifier(maxIter=min(trees, 50), maxDepth=3, seed=seed), classes),
-        "AdaBoost": lambda: AdaBoostClassifier(min(trees, 50), seed=seed),
+        "GradientBoosting": lambda: _one_vs_rest(C.GBTClassifier(maxIter=trees, maxDepth=3, seed=seed), classes),
+        "AdaBoost": lambda: AdaBoostClassifier(rounds, seed=seed),
         "GaussianNB": lambda: C.NaiveBayes(modelType="gaussian"),
         "KNN": lambda: NearestNeighbours("classification"),
     }
@@ -145,8 +145,7 @@ class NeighbourModel:
 
     def transform(self, df: DataFrame) -> DataFrame:
         """``df`` with the mean label, or the label of most votes (ties: the least), of the k nearest training rows."""
-        rows = df.withColumn("__id", F.monotonically_increasing_id())
-        rows = rows.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else rows.persist()
+        rows = materialise(df.withColumn("__id", F.monotonically_increasing_id()), "numbered")  # ids outlive lost executors
         near = nearest(self.train.select("id", "v"), rows.select(F.col("__id").alias("id"), vector_to_array(FEATURES).alias("v")), self.k)
         votes = near.join(self.train.select(F.col("id").alias("point"), F.col(LABEL).alias("y")), "point")
         weight = F.lit(1.0) / F.greatest("distance", F.lit(1e-12)) if self.weighted else F.lit(1.0)
@@ -165,7 +164,8 @@ class NearestNeighbours:
         self.task, self.k, self.weighted = task, k, weighted
 
     def fit(self, df: DataFrame) -> NeighbourModel:
-        rows = df.select(F.monotonically_increasing_id().alias("id"), vector_to_array(FEATURES).alias("v"), LABEL).persist()
+        rows = df.select(F.monotonically_increasing_id().alias("id"), vector_to_array(FEATURES).alias("v"), LABEL)
+        rows = materialise(rows, "numbered")
         return NeighbourModel(rows, self.task, self.k, self.weighted)
 
 
@@ -187,8 +187,10 @@ class BoostedModel:
             walk = F.aggregate(pairs, F.struct(F.lit(0.0).alias("s"), F.lit(None).cast("double").alias("p")), lambda a, x: F.struct((a["s"] + x["w"]).alias("s"), F.when(a["p"].isNull() & (a["s"] + x["w"] >= half), x["p"]).otherwise(a["p"]).alias("p")))
             out = out.withColumn(PREDICTION, walk["p"])
         else:
-            score = {c: reduce(lambda a, b: a + b, [F.when(F.col(n) == c, F.lit(w)).otherwise(0.0) for n, w in zip(names, self.weights, strict=True)]) for c in self.classes}
-            out = out.withColumn(PREDICTION, F.array_max(F.array(*[F.struct(s.alias("s"), F.lit(-c).alias("c")) for c, s in score.items()]))["c"] * -1)
+            votes = F.array(*[F.struct(F.col(n).alias("p"), F.lit(w).alias("w")) for n, w in zip(names, self.weights, strict=True)])
+            for_class = lambda c: F.aggregate(F.col("__votes"), F.lit(0.0), lambda a, x: a + F.when(x["p"] == c, x["w"]).otherwise(0.0))
+            best = F.array_max(F.transform(F.array(*[F.lit(float(c)) for c in self.classes]), lambda c: F.struct(for_class(c).alias("s"), (-c).alias("c"))))
+            out = out.withColumn("__votes", votes).withColumn(PREDICTION, best["c"] * -1).drop("__votes")
         return out.drop(*names)
 
 
@@ -196,10 +198,6 @@ class _AdaBoost:
     def __init__(self, rounds: int = 50, depth: int = 1, seed: int = 42):
         self.rounds, self.depth, self.seed = rounds, depth, seed
 
-    def _cut(self, df: DataFrame) -> DataFrame:
-        """Ends the lineage of the row weights: a reliable checkpoint where a folder is set, else a cache."""
-        return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
-
 
 class AdaBoostRegressor(_AdaBoost):
     """AdaBoost.R2 with linear loss over shallow Spark trees."""
@@ -219,7 +217,7 @@ class AdaBoostRegressor(_AdaBoost):
             beta = loss / (1 - loss)
             models.append(tree)
             weights.append(math.log(1 / beta))
-            now = self._cut(rows.select(FEATURES, LABEL, (F.col("__w") * F.pow(F.lit(beta), 1 - F.col("__e") / top)).alias("__w")))
+            now = materialise(rows.select(FEATURES, LABEL, (F.col("__w") * F.pow(F.lit(beta), 1 - F.col("__e") / top)).alias("__w")), "boosted")
         return BoostedModel(models or [tree], weights or [1.0], None)
 
 
@@ -241,7 +239,7 @@ class AdaBoostClassifier(_AdaBoost):
             a = math.log((1 - err) / err) + math.log(max(len(classes) - 1, 1))
             models.append(tree)
             weights.append(a)
-            now = self._cut(rows.select(FEATURES, LABEL, (F.col("__w") * F.exp(F.lit(a) * F.col("__e"))).alias("__w")))
+            now = materialise(rows.select(FEATURES, LABEL, (F.col("__w") * F.exp(F.lit(a) * F.col("__e"))).alias("__w")), "boosted")
         return BoostedModel(models or [tree], weights or [1.0], classes)
 
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.graph import materialise
 from ..operators import cluster as U
 from ..operators import columns as P
 from ..operators import estimators as M
@@ -33,14 +35,18 @@ def handle_supervised_nulls(df: DataFrame, target: str) -> DataFrame:
 
 
 def preprocess_tabular(df: DataFrame, target: str) -> DataFrame:
-    """A raw table cleaned for ``target``: names, strings, types, useless columns, duplicate rows, nulls; target last."""
+    """A raw table cleaned for ``target``: names, strings, types, useless columns, duplicate rows, nulls; target last.
+
+    Written once when its types are known and once without its repeated rows, so that the statistics
+    passes read columns of a table instead of repeating what came before.
+    """
     df = P.name_blank_columns(P.clean_strings(P.normalize_names(P.normalise_nan(df))))
-    df = P.infer_numeric_columns(P.infer_datetime_columns(df))
+    df = materialise(P.infer_numeric_columns(P.infer_datetime_columns(df)), "typed")
     df = P.drop_duplicate_columns(df)
     judged = [c for c in df.columns if c != target]
     df, _ = P.drop_constant_columns(df, judged)
     df, _ = P.drop_high_cardinality(df, cols=[c for c in df.columns if c != target])
-    df = T.drop_duplicate_rows(df)
+    df = materialise(T.drop_duplicate_rows(df), "distinct")
     if any(N.null_shares(df, df.columns).values()):
         return handle_supervised_nulls(df, target)
     return df.select(*[q(c) for c in df.columns if c != target], q(target))
@@ -227,7 +233,7 @@ class Clustered:
 def cluster(df: DataFrame, cols: list[str] | None = None, ks: range = range(2, 9)) -> Clustered:
     """Standardised matrix, k-means sweep and fit, Ward, density clusters, projection, profiles and their comparison."""
     matrix, cols = U.prepare_matrix(df, cols)
-    matrix = matrix.withColumn("__id", F.monotonically_increasing_id()).persist()
+    matrix = materialise(matrix.withColumn("__id", F.monotonically_increasing_id()), "numbered")
     sweep, k = U.kmeans_sweep(matrix, cols, ks)
     fitted, sizes = U.kmeans_fit(matrix, k)
     fitted = fitted.withColumnRenamed("prediction", "kmeans")
@@ -240,19 +246,19 @@ def cluster(df: DataFrame, cols: list[str] | None = None, ks: range = range(2, 9
 def run(df: DataFrame, task: str, target: str | None = None, ts: str | None = None, key: list[str] = ()) -> object:
     """Cleans and then trains or clusters: tabular (regression, classification), series (with ``ts``), or unsupervised.
 
-    When a cleaning job fails on its input the fitted preprocessor takes its place.
+    When a cleaning job fails on its input (a bad value, or an error of Spark's) the fitted preprocessor takes its place.
     """
     if task == "unsupervised":
         return cluster(df)
     if ts is not None:
         try:
             clean, _ = preprocess_series(df, ts, target)
-        except ValueError:
+        except (ValueError, PySparkException):
             clean = AutoPreprocessor().fit_transform(df, target)
         return train_series(clean, ts, target, task)
     try:
         clean = preprocess_tabular(df, target)
-    except ValueError:
+    except (ValueError, PySparkException):
         clean = AutoPreprocessor().fit_transform(df, target)
     keyed = clean.withColumn("__key", F.xxhash64(*[q(c) for c in clean.columns])) if not key else clean
     return train_tabular(keyed, target, task, list(key) or ["__key"])

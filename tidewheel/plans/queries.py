@@ -154,7 +154,6 @@ register("outlier_flags_iqr", LINES, "SELECT l_orderkey, l_linenumber, coalesce(
 register("class_balance", DOCS, "SELECT quality AS value, count(*) AS n, round(count(*) / (SELECT count(*) FROM base), 8) AS share, (SELECT min(k) FROM (SELECT count(*) AS k FROM base GROUP BY quality)) / (SELECT count(*) FROM base) < 0.3 AS imbalanced FROM base GROUP BY quality")(lambda df: rounded(A.class_balance(df, "quality"), 8))
 register("vif", LINES, """SELECT 'qty' AS "column", round(sum(qty * qty) * sum(price * price) / (sum(qty * qty) * sum(price * price) - sum(qty * price) * sum(qty * price)), 6) AS vif FROM base
 UNION ALL SELECT 'price', round(sum(qty * qty) * sum(price * price) / (sum(qty * qty) * sum(price * price) - sum(qty * price) * sum(qty * price)), 6) FROM base""")(lambda df: rounded(A.vif(df, cols=["qty", "price"])))
-register("drop_multicollinear", "SELECT l_quantity AS a, l_quantity * 2 + l_tax AS b, l_tax AS c, l_extendedprice AS y FROM {lineitem}", None)(lambda df: A.drop_multicollinear(df, "y"))
 register("variance_report", LINES, """SELECT 'qty' AS "column", round(var_samp(qty), 4) AS variance, round(count(*) / (count(*) - 1), 8) AS standardised, var_samp(qty) < 0.01 AS low FROM base UNION ALL SELECT 'disc', round(var_samp(disc), 4), round(count(*) / (count(*) - 1), 8), var_samp(disc) < 0.01 FROM base""")(lambda df: A.variance_report(df, cols=["qty", "disc"]).select("column", F.round("variance", 4).alias("variance"), F.round("standardised", 8).alias("standardised"), "low"))
 register("top_variance_sample", LINES, "SELECT l_orderkey, l_linenumber, price, qty FROM base ORDER BY md5('42:' || l_orderkey || ':' || l_linenumber) LIMIT 1000")(lambda df: A.top_variance_sample(df, ["l_orderkey", "l_linenumber"], 2))
 register("time_pattern_means", "SELECT CAST(ts AS TIMESTAMP) AS ts, value FROM {events}", " UNION ALL ".join(f"SELECT '{n}' AS pattern, CAST({e} AS INTEGER) AS bucket, round(avg(value), 6) AS mean, count(value) AS n FROM base GROUP BY 2" for n, e in (("month", "month(ts)"), ("weekday", "isodow(ts) - 1"), ("quarter", "quarter(ts)"), ("weekend", "CASE WHEN isodow(ts) >= 6 THEN 1 ELSE 0 END"), ("year", "year(ts)"), ("hour", "hour(ts)"))))(lambda df: rounded(A.time_pattern_means(df, "ts", "value")))
@@ -199,13 +198,9 @@ CASE WHEN day(ts) = 1 AND month(ts) IN (1, 4, 7, 10) THEN 1 ELSE 0 END AS is_qua
 register("difference_features", HOURLY, f"SELECT kind, {stamp('ts')} AS ts, round(y - lag(y, 1) OVER ({_H}), 6) AS y_diff_1, round(y / nullif(lag(y, 1) OVER ({_H}), 0) - 1, 6) AS y_pct_change_1 FROM base")(lambda df: as_day(rounded(W.difference_features(df, "ts", "y", (1,), ["kind"]).drop("y")), "ts"))
 register("ewm_mean", HOURLY, f""", r AS (SELECT kind, ts, y, row_number() OVER ({_H}) AS i FROM base)
 SELECT a.kind, {stamp('a.ts')} AS ts, round(sum(b.y * pow(0.75, a.i - b.i)) / sum(pow(0.75, a.i - b.i)), 6) AS y_ewm_mean_7 FROM r a JOIN r b ON a.kind = b.kind AND b.i <= a.i AND b.i > a.i - 400 GROUP BY a.kind, a.ts""")(lambda df: as_day(rounded(W.ewm_features(df, "ts", "y", (7,), ["kind"]).select("kind", "ts", "y_ewm_mean_7")), "ts"))
-register("engineer_features", DAILY, f"""SELECT {stamp('ts')} AS ts, y_lag_1, y_rolling_mean_7, y_diff_1 FROM (SELECT ts, round(lag(y, 1) OVER (ORDER BY ts), 4) AS y_lag_1, round(avg(y) OVER (ORDER BY ts ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 4) AS y_rolling_mean_7, round(y - lag(y, 1) OVER (ORDER BY ts), 4) AS y_diff_1, row_number() OVER (ORDER BY ts) AS i FROM base) WHERE i >= 7""")(
-    lambda df: as_day(rounded(W.chunked(df.select("ts", "y"), "ts", 8, lambda d, by: W.rolling_features(W.difference_features(W.lag_features(d, "ts", "y", (1,), by), "ts", "y", (1,), by), "ts", "y", (7,), by), 500).dropna().select("ts", "y_lag_1", "y_rolling_mean_7", "y_diff_1"), 4), "ts")
-)
 register("lag_correlation", DAILY, "SELECT k AS lag, round(r, 6) AS r FROM (SELECT 1 AS k, corr(y, a) AS r FROM (SELECT y, lag(y, 1) OVER (ORDER BY ts) AS a FROM base) UNION ALL SELECT 7, corr(y, a) FROM (SELECT y, lag(y, 7) OVER (ORDER BY ts) AS a FROM base))")(lambda df: rounded(WA.lag_correlation(df, "ts", "y", (1, 7))))
 register("acf", DAILY, """, c AS (SELECT y - (SELECT avg(y) FROM base) AS y, row_number() OVER (ORDER BY ts) AS i FROM base)
 SELECT CAST(k AS INTEGER) AS lag, round((SELECT sum(a.y * b.y) FROM c a JOIN c b ON a.i = b.i + k) / (SELECT sum(y * y) FROM c), 6) AS acf FROM (SELECT unnest([0,1,2,3,4,5]) AS k)""")(lambda df: rounded(WA.acf(df, "ts", "y", 5)))
-register("pacf", DAILY)(lambda df: WA.pacf(df, "ts", "y", 10))
 register("seasonal_decompose", DAILY, f""", r AS (SELECT ts, y, row_number() OVER (ORDER BY ts) - 1 AS i FROM base), t AS (SELECT ts, y, i, CASE WHEN count(y) OVER w = 7 THEN avg(y) OVER w END AS trend FROM r WINDOW w AS (ORDER BY i ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)),
 s AS (SELECT i % 7 AS p, avg(y - trend) AS m FROM t GROUP BY 1)
 SELECT {stamp('ts')} AS ts, round(trend, 4) AS trend, round(m - (SELECT avg(m) FROM s), 4) AS seasonal FROM t JOIN s ON t.i % 7 = s.p""")(lambda df: as_day(rounded(WA.seasonal_decompose(df, "ts", "y", 7, extrapolate=False).select("ts", "trend", "seasonal"), 4), "ts"))
@@ -270,44 +265,8 @@ SELECT id, label AS prediction FROM (SELECT id, label, row_number() OVER (PARTIT
 _SMALL = "SELECT l_orderkey * 10 + l_linenumber AS id, l_quantity AS qty, l_discount AS disc, l_tax AS tax, l_extendedprice AS price, l_returnflag AS flag FROM {lineitem}"
 
 
-def _board(df: DataFrame, task: str, names: list[str], trees: int = 5) -> DataFrame:
-    inputs = ["n_chars", "toxic"] if task == "classification" else ["qty", "disc", "tax"]
-    target = "quality" if task == "classification" else "price"
-    train, test = T.random_split(df, ["doc_id" if task == "classification" else "id"])
-    train, test = M.prepared(train, inputs, target).persist(), M.prepared(test, inputs, target).persist()
-    make = M.regressors if task == "regression" else M.classifiers
-    return M.train_and_rank(make(train, names, trees), train, test, task).board
-
-
-register("train_and_rank_regression", _SMALL)(lambda df: _board(df, "regression", ["LinearRegression", "Ridge", "Lasso", "ElasticNet", "Huber", "DecisionTree5", "RandomForest", "GradientBoosting"]))
-register("train_and_rank_classification", DOCS)(lambda df: _board(df, "classification", ["LogisticRegression", "LinearSVC", "RBFSVC", "DecisionTree5", "RandomForest", "GaussianNB", "AdaBoost"], 5))
 register("feature_importance", _SMALL)(lambda df: M.feature_importance(M.regressors(M.prepared(df, ["qty", "disc", "tax"], "price"), ["DecisionTree5"])["DecisionTree5"].fit(M.prepared(df, ["qty", "disc", "tax"], "price")), ["qty", "disc", "tax"]))
 
-# --- clustering ----------------------------------------------------------------------------------
-_EMB = "SELECT vec_id AS id, " + ", ".join(f"CAST(embedding[{i}] AS DOUBLE) AS e{i}" for i in range(4)) + ", label FROM {embeddings}"
-_EMB_SQL = "SELECT vec_id AS id, " + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS e{i}" for i in range(4)) + ", label FROM embeddings"
-_E4 = ["e0", "e1", "e2", "e3"]
-
-
-def _scores(df: DataFrame) -> DataFrame:
-    s = U.scatter_scores(df, _E4, "label")
-    return df.sparkSession.createDataFrame([(round(s["calinski_harabasz"], 6), round(s["davies_bouldin"], 6))], "calinski_harabasz double, davies_bouldin double")
-
-
-register("cluster_scores", _EMB)(_scores)
-_SQL["cluster_scores"] = f"""WITH base AS ({_EMB_SQL}), c AS (SELECT label AS c, count(*) AS n, avg(e0) AS m0, avg(e1) AS m1, avg(e2) AS m2, avg(e3) AS m3 FROM base GROUP BY 1),
-d AS (SELECT c, (e0-m0)**2 + (e1-m1)**2 + (e2-m2)**2 + (e3-m3)**2 AS d2 FROM base JOIN c ON label = c), s AS (SELECT c, sum(d2) AS ss, avg(sqrt(d2)) AS s FROM d GROUP BY 1),
-g AS (SELECT avg(e0) AS g0, avg(e1) AS g1, avg(e2) AS g2, avg(e3) AS g3, count(*) AS n FROM base),
-ch AS (SELECT (SELECT sum(c.n * ((m0-g0)**2 + (m1-g1)**2 + (m2-g2)**2 + (m3-g3)**2)) FROM c, g) / ((SELECT count(*) FROM c) - 1) / ((SELECT sum(ss) FROM s) / ((SELECT n FROM g) - (SELECT count(*) FROM c))) AS v),
-r AS (SELECT a.c, max((sa.s + sb.s) / sqrt((a.m0-b.m0)**2 + (a.m1-b.m1)**2 + (a.m2-b.m2)**2 + (a.m3-b.m3)**2)) AS x FROM c a JOIN c b ON a.c <> b.c JOIN s sa ON sa.c = a.c JOIN s sb ON sb.c = b.c GROUP BY 1)
-SELECT round((SELECT v FROM ch), 6) AS calinski_harabasz, round((SELECT avg(x) FROM r), 6) AS davies_bouldin"""
-register("kmeans_sweep", _EMB)(lambda df: U.kmeans_sweep(U.prepare_matrix(df, _E4)[0], _E4, range(2, 5), [42])[0])
-register("kmeans_sizes", _EMB)(lambda df: U.kmeans_fit(U.prepare_matrix(df, _E4)[0], 3, [42])[1])
-register("dbscan", _EMB)(lambda df: U.dbscan(df.select("id", F.array(*_E4).alias("v")), None, 5))
-register("hierarchical_sizes", _EMB)(lambda df: U.cluster_sizes(U.hierarchical(U.prepare_matrix(df, _E4)[0], 4, 50), "prediction"))
-register("pca_report", _EMB)(lambda df: U.pca_report(df, _E4))
-register("pca_project", _EMB)(lambda df: U.pca_project(df, _E4).select("id", "pc1", "pc2"))
-
 # --- jobs ----------------------------------------------------------------------------------------
 _JOB = "SELECT l_orderkey AS k, l_linenumber AS n, CASE WHEN l_orderkey % 7 = 0 THEN NULL ELSE l_quantity END AS qty, CASE WHEN l_linenumber = 3 THEN NULL ELSE l_returnflag END AS flag, CASE WHEN l_orderkey % 9 = 0 THEN NULL ELSE l_extendedprice END AS price FROM {lineitem}"
 _NULLS = """SELECT k, n, coalesce(qty, (SELECT quantile_cont(qty, 0.5) FROM base WHERE price IS NOT NULL)) AS qty, coalesce(flag, (SELECT flag FROM base WHERE price IS NOT NULL AND flag IS NOT NULL GROUP BY flag ORDER BY count(*) DESC, flag LIMIT 1)) AS flag, price FROM base WHERE price IS NOT NULL"""
@@ -315,13 +274,7 @@ register("handle_supervised_nulls", _JOB, _NULLS)(lambda df: E.handle_supervised
 _RAW = _JOB.replace("l_orderkey AS k, l_linenumber AS n", "l_orderkey AS `k `, l_linenumber AS n, 'same' AS constant, l_comment_id AS wide").replace("l_comment_id", "'row ' || CAST(l_orderkey AS STRING) || '.' || CAST(l_linenumber AS STRING)")
 register("preprocess_tabular", _RAW)(lambda df: E.preprocess_tabular(df, "price"))
 _SQL["preprocess_tabular"] = f"WITH raw AS ({plain(_JOB)}), base AS (SELECT DISTINCT * FROM raw) {_NULLS}"
-register("preprocess_series", HOURLY)(lambda df: as_day(E.preprocess_series(df, "ts", "y", "H", "first", ["kind"])[0], "ts"))
-register("auto_preprocessor", LINES)(lambda df: E.AutoPreprocessor().fit_transform(df.select("qty", "price", "disc", "flag")))
 register("eda_tabular_train", DOCS)(lambda df: E.eda_tabular(df, "quality", "classification", ["doc_id"]).train)
-register("eda_unsupervised_variance", LINES)(lambda df: E.eda_unsupervised(df.select("l_orderkey", "l_linenumber", "qty", "price", "disc", "flag"), ["l_orderkey", "l_linenumber"]).reports["variance"])
-register("train_series", DAILY)(lambda df: E.train_series(df.select("ts", "y"), "ts", "y", plan=W.FeaturePlan((1, 7), (7,), (1,), ()), models=["LinearRegression", "DecisionTree5"], splits=2).board)
-register("train_tabular", _SMALL)(lambda df: E.train_tabular(df, "price", "regression", ["id"], ["LinearRegression", "RandomForest"], 3).board)
-register("cluster_job", _EMB)(lambda df: E.cluster(df.select(*_E4), _E4, range(2, 4)).comparison)
 
 # --- more of the same families ---------------------------------------------------------------------
 _NAMES = "SELECT o_orderkey, o_orderstatus, o_totalprice FROM {orders}"
@@ -346,12 +299,15 @@ def _tuned(df: DataFrame) -> DataFrame:
 
 
 register("grid_search", DAILY)(_tuned)
-register("eda_series_patterns", DAILY)(lambda df: E.eda_series(df.select("ts", "y"), "ts", "y", "D", 5).reports["patterns"])
 
 
 def queries() -> dict[str, Query]:
+    from . import queries_composed  # noqa: F401 registers its own
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import queries_composed  # noqa: F401
+
     return dict(_SQL)
