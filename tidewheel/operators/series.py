@@ -1,8 +1,11 @@
 """Time series: order, duplicate stamps, frequency, gaps, filling and window features.
 
-Every operator takes ``keys`` (may be empty). With keys a window runs within each key. Without keys
-``chunked`` splits a single long series into ranges of time, each with the rows before it that
-its windows need, so that no window runs over one task.
+Every operator takes ``keys`` (may be empty). With keys a window runs within each key. Without keys the
+features that look back a bounded number of rows (lags, rolling, bands, differences, exponential) are made by
+``chunked``, which splits a single long series into ranges of time, each with the rows before it that its
+windows need. Steps between neighbouring stamps (``check_monotonic``, ``infer_frequency``, ``find_gaps``) and unbounded
+carries (``interpolate_linear``, ``fill_gaps``, ``fill_series_nulls``) are one window a key: without keys one task
+holds the series, so give keys where it is long.
 """
 
 from __future__ import annotations
@@ -43,7 +46,7 @@ def ranged(df: DataFrame, order: str, name: str = "__b", parts: int | None = Non
     return df.withColumn(name, F.when(x.isNull(), -1).otherwise(above))
 
 
-def _sums_before(counts: DataFrame, cols: list[str]) -> DataFrame:
+def sums_before(counts: DataFrame, cols: list[str]) -> DataFrame:
     """For each range the sums of all lower ones; one row a range."""
     w = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     return counts.select(F.col("__b").alias("__q"), *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(f"__before_{c}") for c in cols])
@@ -53,7 +56,7 @@ def distributed_rank(df: DataFrame, order: list[str], name: str = "rank") -> Dat
     """``df`` with its 1-based position in ``order``: row numbers within ranges of the first column, and offsets from the ranges' counts."""
     rows = ranged(df, order[0])
     local = rows.withColumn("__r", F.row_number().over(Window.partitionBy("__b").orderBy(*[q(c) for c in order])))
-    before = _sums_before(rows.groupBy("__b").agg(F.count(F.lit(1)).alias("n")), ["n"])
+    before = sums_before(rows.groupBy("__b").agg(F.count(F.lit(1)).alias("n")), ["n"])
     out = local.join(F.broadcast(before), F.col("__b") == F.col("__q"))  # a row a range
     return out.withColumn(name, (F.col("__r") + F.col("__before_n")).cast("long")).drop("__r", "__b", "__q", "__before_n")
 
@@ -62,17 +65,24 @@ def running_sums(df: DataFrame, order: str, cols: list[str]) -> DataFrame:
     """``df`` with sum_c, the sum of c over all rows up to this one in ``order`` (unique), for each of ``cols``; range by range."""
     rows = ranged(df, order)
     w = Window.partitionBy("__b").orderBy(q(order)).rowsBetween(Window.unboundedPreceding, 0)
-    before = _sums_before(rows.groupBy("__b").agg(*[F.sum(q(c)).alias(c) for c in cols]), cols)
+    before = sums_before(rows.groupBy("__b").agg(*[F.sum(q(c)).alias(c) for c in cols]), cols)
     out = rows.withColumns({f"__s_{c}": F.sum(q(c)).over(w) for c in cols}).join(F.broadcast(before), F.col("__b") == F.col("__q"))  # a row a range
     return out.select(*[q(c) for c in df.columns], *[(F.col(f"__s_{c}") + F.col(f"__before_{c}")).alias(f"sum_{c}") for c in cols])
 
 
-def chunked(df: DataFrame, order: str, halo: int, features, chunk_rows: int = 1_000_000) -> DataFrame:
+#: Rows of a chunk of a long series without keys.
+CHUNK_ROWS = 1_000_000
+
+
+def chunked(df: DataFrame, order: str, halo: int, features, chunk_rows: int | None = None) -> DataFrame:
     """``features(df, keys)`` of one long series without keys, chunk by chunk.
 
     Rows are ranked in parallel; chunk c holds ranks of c * chunk_rows on and, as a halo, the last ``halo`` rows
     before them, whose results are dropped. Equal to the plain window when it looks back at most ``halo`` rows.
     """
+    chunk_rows = chunk_rows or CHUNK_ROWS
+    if halo > chunk_rows:
+        raise ValueError(f"windows of {halo} rows need chunks of as many rows at least, not {chunk_rows}")
     ranked = distributed_rank(df, [order], "__rank").withColumn("__c", F.floor((F.col("__rank") - 1) / chunk_rows))
     also = F.when((F.col("__rank") - 1) % chunk_rows >= chunk_rows - halo, F.array(F.col("__c"), F.col("__c") + 1)).otherwise(F.array(F.col("__c")))
     spread = ranked.withColumn("__chunk", F.explode(also))
@@ -243,12 +253,16 @@ class FeaturePlan:
 
 
 def lag_features(df: DataFrame, ts: str, target: str, lags=(1, 2, 3, 7, 14, 30), keys: list[str] = ()) -> DataFrame:
+    if not keys:
+        return chunked(df, ts, max([*lags, 1]), lambda d, by: lag_features(d, ts, target, lags, by))
     w = frame(list(keys), ts)
     return df.withColumns({f"{target}_lag_{k}": F.lag(q(target), k).over(w) for k in lags})
 
 
 def rolling_features(df: DataFrame, ts: str, target: str, windows=(7, 14, 30), keys: list[str] = ()) -> DataFrame:
     """Mean, std (n-1), min and max over full windows without nulls, else null."""
+    if not keys:
+        return chunked(df, ts, max([*windows, 1]), lambda d, by: rolling_features(d, ts, target, windows, by))
     w = frame(list(keys), ts)
     new: dict[str, Column] = {}
     for k in windows:
@@ -261,6 +275,8 @@ def rolling_features(df: DataFrame, ts: str, target: str, windows=(7, 14, 30), k
 
 def rolling_bands(df: DataFrame, ts: str, target: str, windows=(7, 30), keys: list[str] = ()) -> DataFrame:
     """Rolling mean and the band of one std on both sides."""
+    if not keys:
+        return chunked(df, ts, max([*windows, 1]), lambda d, by: rolling_bands(d, ts, target, windows, by))
     w = frame(list(keys), ts)
     new: dict[str, Column] = {}
     for k in windows:
@@ -285,6 +301,8 @@ def calendar_features(df: DataFrame, ts: str) -> DataFrame:
 
 
 def difference_features(df: DataFrame, ts: str, target: str, lags=(1, 7, 30), keys: list[str] = ()) -> DataFrame:
+    if not keys:
+        return chunked(df, ts, max([*lags, 1]), lambda d, by: difference_features(d, ts, target, lags, by))
     w = frame(list(keys), ts)
     new: dict[str, Column] = {}
     for k in lags:

@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..functions.graph import materialise
 from ..functions.neighbours import nearest
 from .columns import column_groups, one_row, q
+from .series import sums_before
 from .profile import quartiles, unpivot_row
 
 
@@ -93,12 +95,27 @@ class LabelEncoder:
         return out.select(*[q(c) for c in df.columns])
 
 
+#: Distinct values sampled for each range in which they are ranked.
+SAMPLED = 50
+
+
 def fit_label_encoder(df: DataFrame, cols: list[str]) -> LabelEncoder:
-    """The distinct values are ranked where they are; only tables of distinct values are made."""
+    """The distinct values are ranked in ranges of about equal size and offset by the ranges' counts, then written.
+
+    The ranges' bounds are values of a sample by hash, fixed as literals; no task sorts all values.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def table(c: str) -> DataFrame:
-        values = df.filter(q(c).isNotNull()).select(q(c).cast("string").alias("value")).distinct()
-        return values.withColumn("code", (F.row_number().over(Window.orderBy("value")) - 1).cast("int"))
+        values = materialise(df.filter(q(c).isNotNull()).select(q(c).cast("string").alias("value")).distinct(), "values")
+        sample = sorted(r[0] for r in values.orderBy(F.xxhash64("value")).limit(parts * SAMPLED).collect())
+        bounds = sample[SAMPLED::SAMPLED]
+        place = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < F.col("value"))) if bounds else F.lit(0)
+        ranged = values.withColumn("__b", place)
+        before = sums_before(ranged.groupBy("__b").agg(F.count(F.lit(1)).alias("n")), ["n"])
+        local = ranged.withColumn("__r", F.row_number().over(Window.partitionBy("__b").orderBy("value")))
+        ranked = local.join(F.broadcast(before), F.col("__b") == F.col("__q"))  # a row a range
+        return materialise(ranked.select("value", (F.col("__r") + F.col("__before_n") - 1).cast("int").alias("code")), "codes")
 
     return LabelEncoder(cols, {c: table(c) for c in cols})
 
