@@ -32,7 +32,7 @@ BEGINNINGS = (4, 5)
 TABLES = 2 + len(BEGINNINGS)
 #: Labelled rows to train on at most, passes over them, and steps at least.
 SAMPLE_ROWS, EPOCHS, LEAST_STEPS, BATCH, RATE = 12_000, 6, 500, 48, 0.01
-PAD = max(WIDTHS) - 1
+PAD = max(WIDTHS)
 #: Training texts that must hold a table row for it to be learnt.
 LEAST_TEXTS = 4
 #: One id in so many is kept for calibration; toxic rows' worth of the common histogram in each language's; bins to a unit of the logit.
@@ -80,10 +80,12 @@ class Model:
     def logits(self, codes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         pooled = []
         responses = self.responses(self.embed(codes))
-        # a window must start in its text and may reach into the padding only
+        # a window lies in its text and padding; those that would reach into the next text do not count
         for k, r in enumerate(responses):
-            starts = bounds[:-1]
-            pooled.append(np.maximum(np.maximum.reduceat(np.concatenate([r, np.full((PAD, FILTERS), -1e9, np.float32)]), starts, axis=0) + self.bias[k], 0))
+            r = np.concatenate([r, np.full((PAD, FILTERS), -1e9, np.float32)])
+            for j in range(1, WIDTHS[k]):
+                r[bounds[1:] - j] = -1e9
+            pooled.append(np.maximum(np.maximum.reduceat(r, bounds[:-1], axis=0) + self.bias[k], 0))
         return np.concatenate(pooled, axis=1) @ self.out + self.base
 
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -138,7 +140,7 @@ def train(texts: list[tuple[np.ndarray, int]], seed: int = 3) -> Model:
             x = model.embed(codes)
             pooled, argmax = [], []
             for k, r in enumerate(model.responses(x)):
-                best = np.array([r[s : max(s + 1, e - WIDTHS[k] + 1)].argmax(0) + s for s, e in zip(bounds[:-1], bounds[1:], strict=True)])
+                best = np.array([r[s : e - WIDTHS[k] + 1].argmax(0) + s for s, e in zip(bounds[:-1], bounds[1:], strict=True)])
                 argmax.append(best)
                 pooled.append(r[best, np.arange(FILTERS)] + model.bias[k])
             h = np.concatenate(pooled, axis=1)
