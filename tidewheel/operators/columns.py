@@ -103,14 +103,16 @@ def _without_null_words(c: Column) -> Column:
 
 
 def infer_datetime_columns(df: DataFrame, min_parse_ratio: float = 0.6, min_pattern_ratio: float = 0.3) -> DataFrame:
-    """String columns that look like dates and mostly parse become timestamps; one pass decides for all."""
+    """String columns that look like dates and mostly parse become timestamps.
+
+    A first pass counts what looks like a date; only columns with enough of it are parsed, in a second.
+    """
     strings = column_groups(df).string
-    stats: dict[str, Column] = {}
-    for c in strings:
-        v = _without_null_words(q(c))
-        stats |= {f"n {c}": F.count(v), f"p {c}": F.count_if(v.rlike(S.DATE)), f"d {c}": F.count(S.to_date(v))}
-    got = one_row(df, stats)
-    dates = {c for c in strings if got[f"n {c}"] and got[f"p {c}"] > min_pattern_ratio * got[f"n {c}"] and got[f"d {c}"] >= min_parse_ratio * got[f"n {c}"]}
+    value = lambda c: _without_null_words(q(c))
+    looks = one_row(df, {f"{k} {c}": f for c in strings for k, f in (("n", F.count(value(c))), ("p", F.count_if(value(c).rlike(S.DATE))))})
+    likely = [c for c in strings if looks[f"n {c}"] and looks[f"p {c}"] > min_pattern_ratio * looks[f"n {c}"]]
+    parsed = one_row(df, {c: F.count(S.to_date(value(c))) for c in likely})
+    dates = {c for c in likely if parsed[c] >= min_parse_ratio * looks[f"n {c}"]}
     return df.select(*[S.to_date(_without_null_words(q(c))).alias(c) if c in dates else q(c) for c in df.columns])
 
 
