@@ -6,6 +6,9 @@ import hashlib
 import random
 from collections import defaultdict
 
+import pytest
+
+from tidewheel.llm import chat
 from tidewheel.llm.chat import digests, format_chats, parse_chats
 
 SCHEMA = "conv_id long, turn long, role string, text string, turns int, formatted string"
@@ -22,7 +25,10 @@ def digest(text):
     return hashlib.sha256(text.encode()).hexdigest()
 
 
-def test_every_turn_comes_back(spark):
+@pytest.mark.parametrize("chunk,cut", [(256, 1024), (1, 1), (2, 3)])
+def test_every_turn_comes_back(spark, monkeypatch, chunk, cut):
+    monkeypatch.setattr(chat, "CHUNK", chunk)
+    monkeypatch.setattr(chat, "CUT", cut)
     rows = awkward()
     df = spark.createDataFrame([(*r, 1, "f") for r in rows], SCHEMA)
     of = defaultdict(list)
@@ -46,6 +52,20 @@ def test_adjacent_turns_share_a_block(spark):
     assert format_chats(df).first()["formatted"] == "<|im_start|>user\na<|im_sep|>b<|im_end|>\n<|im_start|>assistant\nc<|im_end|>\n"
 
 
+def test_chunks_do_not_show(spark, monkeypatch):
+    df = spark.createDataFrame([(*r, 1, "f") for r in awkward()], SCHEMA)
+    whole = {r["conv_id"]: (r["formatted"], r["loss_spans"]) for r in format_chats(df).collect()}
+    monkeypatch.setattr(chat, "CHUNK", 2)
+    assert {r["conv_id"]: (r["formatted"], r["loss_spans"]) for r in format_chats(df).collect()} == whole
+
+
+def test_long_conversation(spark):
+    df = spark.range(20_000).selectExpr("1L as conv_id", "id as turn", "if(id % 3 = 0, 'user', 'assistant') as role", "concat('text é ', id) as text")
+    got = digests(format_chats(df)).first()
+    assert got["n_turns"] == 20_000
+    assert got["loss_sha256"] == digest("".join(f"text é {i}" for i in range(20_000) if i % 3))
+
+
 def test_no_python_on_the_executors(spark):
     df = spark.createDataFrame([], SCHEMA)
     plan = digests(format_chats(df))._jdf.queryExecution().toString()
