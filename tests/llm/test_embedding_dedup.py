@@ -46,7 +46,7 @@ def brute(rows, least):
 
 def test_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "CELL_POINTS", 40)
-    monkeypatch.setattr(embedding_dedup, "TILE", 16)
+    monkeypatch.setattr(embedding_dedup, "TILE", 256)
     rows = awkward()
     df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, cell int")
     got = link_vectors(df, 0.9).collect()

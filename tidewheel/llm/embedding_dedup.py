@@ -9,8 +9,8 @@
    most sqrt(2 - 2c) long, so slack = 2 * sqrt(2 - 2c) would be exact; the default is a quarter of that, at which
    a pair is missed only when noise pulls both points' homes apart by over ``slack``.
    Recall is measured in the tests against brute force.
-3. A cell's points at home and all its points are cut into tiles by hash, so a hot cell becomes many tile pairs.
-   They are compared in double precision and give link counts for each point and a forest of links, never pairs.
+3. A cell's points at home and all its points are cut by hash into tiles of at most about TILE numbers (points times
+   dimensions: 16 MB), so a hot cell becomes many tile pairs and a usual cell is one. They are compared in double precision and give link counts for each point and a forest of links, never pairs.
 
 Defined results: rows with the same vec_id stay apart unless their vectors are equal; a null
 vec_id takes part and never names a component unless alone; vectors of different lengths are
@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 from ..plans.workers import map_arrow, ship
 from .shared import components, materialise, union_find
 
-SAMPLE, MOST_CELLS, CELL_POINTS, TILE, STEPS = 20_000, 1024, 4096, 4096, 8
+SAMPLE, MOST_CELLS, CELL_POINTS, TILE, STEPS = 20_000, 1024, 4096, 2_097_152, 8
+BLOCK = 128  # points of one tile multiplied with the other at a time
 LONG = np.int64
 
 
@@ -84,9 +85,10 @@ def _compare(centres, least: float, slack: float):
         here = int(cell[0]) if len(cell) else 0
         near = x @ c.T
         floor = near.max(1) - slack
-        for s in range(0, len(left), 512):
-            rows = left[s : s + 512]
-            a, b = np.nonzero(x[rows] @ x[right].T >= least)
+        others = x[right].T
+        for s in range(0, len(left), BLOCK):
+            rows = left[s : s + BLOCK]
+            a, b = np.nonzero(x[rows] @ others >= least)
             a, b = rows[a], right[b]
             # of points at home together this cell decides; otherwise the home of one, of both the lower cell
             # a is at home here. A pair at home together is met twice, as is one whose a visits b's home, too: keep one.
@@ -125,7 +127,7 @@ def link_vectors(vectors: DataFrame, least: float = 0.9, slack: float | None = N
     found = None
     for size in [r[0] for r in points.select(F.size("v").alias("n")).distinct().orderBy("n").collect()]:
         some = points.filter(F.size("v") == size)
-        one = _links_of_size(some, least, slack)
+        one = _links_of_size(some, size, least, slack)
         found = one if found is None else found.unionByName(one)
     if found is None:
         found = spark.createDataFrame([], "point long, links long, root long")
@@ -140,7 +142,7 @@ def link_vectors(vectors: DataFrame, least: float = 0.9, slack: float | None = N
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.col("component_id").isNull()))
 
 
-def _links_of_size(points: DataFrame, least: float, slack: float) -> DataFrame:
+def _links_of_size(points: DataFrame, size: int, least: float, slack: float) -> DataFrame:
     spark = points.sparkSession
     n = points.count()
     chosen = points.orderBy(F.xxhash64("point")).limit(SAMPLE).select("v").toPandas()
@@ -151,7 +153,7 @@ def _links_of_size(points: DataFrame, least: float, slack: float) -> DataFrame:
     places = map_arrow(points.select("point", "v"), _assign(centres, slack), "cell int, point long, home int")
     places = materialise(places, "cells")
     at_home = F.col("home") == F.col("cell")
-    tiles = lambda n: F.greatest(F.lit(1), F.ceil(n / TILE)).cast("int")
+    tiles = lambda n: F.greatest(F.lit(1), F.ceil(n * size / TILE)).cast("int")
     sizes = places.groupBy("cell").agg(tiles(F.count_if(at_home)).alias("kp"), tiles(F.count(F.lit(1))).alias("kq"))
     tiled = places.join(sizes, "cell").withColumn("h", F.xxhash64("point", F.lit(1)))
     own = F.when(at_home, F.transform(F.sequence(F.lit(0), F.col("kq") - 1), lambda j: F.struct(F.pmod("h", F.col("kp")).cast("int").alias("p"), j.alias("q"), F.lit(0).alias("side"))))
