@@ -56,6 +56,12 @@ def register(name: str, base: str, sql: str | None = None):
     return add
 
 
+def scaled_round(df: DataFrame, digits: int) -> DataFrame:
+    """Doubles rounded by scaling: unlike decimal rounding, small negative numbers keep their sign as -0.0."""
+    unit = float(10**digits)
+    return df.select(*[(F.rint(P.q(c) * unit) / unit).alias(c) if k in ("double", "float") else P.q(c) for c, k in df.dtypes])
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[F.round(P.q(c), digits).alias(c) if k in ("double", "float") else P.q(c) for c, k in df.dtypes])
 

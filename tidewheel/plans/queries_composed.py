@@ -19,7 +19,7 @@ from ..sources.tables import read_table, write_table
 from . import jobs as E
 from . import queries
 from .catalog import plain
-from .queries import DAILY, DOCS, HOURLY, LINES, as_day, register, rounded, stamp
+from .queries import DAILY, DOCS, HOURLY, LINES, as_day, register, rounded, scaled_round, stamp
 
 # --- series --------------------------------------------------------------------------------------
 #: Weighted sums of the last 400 rows (0.75**400 is nothing) for a span of 7.
@@ -68,7 +68,7 @@ SELECT {stamp("w.ts")} AS ts, round(y, 4) AS y, round(lag1, 4) AS y_lag_1, round
   CAST(quarter(w.ts + INTERVAL 1 DAY) <> quarter(w.ts) AS INTEGER) AS is_quarter_end,
   round(e.mean + (SELECT centre FROM m), 4) AS y_ewm_mean_7, round(e.std, 4) AS y_ewm_std_7
 FROM w JOIN e ON w.ts = e.ts WHERE i >= 8""",
-)(lambda df: as_day(rounded(W.engineer_features(df.select("ts", "y"), "ts", "y", W.FeaturePlan((1, 7), (7,), (1,), (7,))), 4), "ts"))
+)(lambda df: as_day(scaled_round(W.engineer_features(df.select("ts", "y"), "ts", "y", W.FeaturePlan((1, 7), (7,), (1,), (7,))), 4), "ts"))
 
 queries._SQL["pacf"] = (
     f"WITH RECURSIVE base AS ({plain(DAILY)}), "
@@ -150,7 +150,7 @@ codes AS (SELECT flag AS v, CAST(row_number() OVER (ORDER BY flag) - 1 AS INTEGE
 SELECT round((least(greatest(coalesce(qty, q), ql), qh) - qm) / qs, 6) AS qty, round((least(greatest(coalesce(price, p), pl), ph) - pm) / ps, 6) AS price,
   round((least(greatest(coalesce(disc, s), sl), sh) - sm) / ss, 6) AS disc, code AS flag
 FROM base CROSS JOIN f CROSS JOIN l CROSS JOIN z JOIN codes ON codes.v = coalesce(base.flag, (SELECT flag FROM g))""",
-)(lambda df: rounded(E.AutoPreprocessor().fit_transform(df.select("qty", "price", "disc", "flag"))))
+)(lambda df: scaled_round(E.AutoPreprocessor().fit_transform(df.select("qty", "price", "disc", "flag")), 6))
 
 register(
     "eda_unsupervised_variance",
