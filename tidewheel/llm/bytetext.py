@@ -45,8 +45,9 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fold_table(separators: Iterator[int] | list[int]) -> np.ndarray:
-    """256 bytes: 0 for a separator, else the byte with A-Z lower-cased."""
+    """256 bytes: 0 for a separator, else the byte with A-Z lower-cased; NUL, no separator, as a byte that UTF-8 never has."""
     t = np.arange(256, dtype=np.uint8)
+    t[0] = 255
     t[65:91] += 32
     t[list(separators)] = 0
     return t

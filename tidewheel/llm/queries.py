@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, embedding_dedup, packing, quality, suffix_dedup, toxicity, url_filter, warc
+from . import chat, decontaminate, embedding_dedup, packing, quality, queries_corpus, suffix_dedup, toxicity, url_filter, warc
 from .ngram_join import link_groups
 
 
@@ -113,8 +113,8 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_ngram_jaccard_join, op3_suffix_array_dedup, op4_best_fit_packing, op5_chat_formatting, op6_warc_conversion, op7_embedding_near_dedup, op8_url_filter, op9_quality_classifier, op10_benchmark_decontamination)}
+    return {f.__name__: f for f in (op1_toxicity, op2_ngram_jaccard_join, op3_suffix_array_dedup, op4_best_fit_packing, op5_chat_formatting, op6_warc_conversion, op7_embedding_near_dedup, op8_url_filter, op9_quality_classifier, op10_benchmark_decontamination, *queries_corpus.QUERIES)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat_formatting": OP5_SQL, "op6_warc_conversion": OP6_SQL}
+    return {"op5_chat_formatting": OP5_SQL, "op6_warc_conversion": OP6_SQL, **queries_corpus.SQL}
