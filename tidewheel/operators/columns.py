@@ -48,9 +48,13 @@ def _renamed(df: DataFrame, names: list[str]) -> DataFrame:
     return df.toDF(*names)
 
 
+def plain_name(name: str) -> str:
+    return re.sub(r"\s+", "_", name.strip())
+
+
 def normalize_names(df: DataFrame) -> DataFrame:
     """Names trimmed, runs of white space as ``_``; equal results are an error."""
-    return _renamed(df, [re.sub(r"\s+", "_", c.strip()) for c in df.columns])
+    return _renamed(df, [plain_name(c) for c in df.columns])
 
 
 def snake_case_names(df: DataFrame) -> DataFrame:
@@ -67,8 +71,8 @@ def name_blank_columns(df: DataFrame) -> DataFrame:
     return _renamed(df, names)
 
 
-def _map_strings(df: DataFrame, change) -> DataFrame:
-    strings = set(column_groups(df).string)
+def _map_strings(df: DataFrame, change, keep: list[str] = ()) -> DataFrame:
+    strings = set(column_groups(df).string) - set(keep)
     return df.select(*[change(q(c)).alias(c) if c in strings else q(c) for c in df.columns])
 
 
@@ -78,14 +82,14 @@ def normalise_nan(df: DataFrame) -> DataFrame:
     return df.select(*[S.not_nan(q(c)).alias(c) if c in floats else q(c) for c in df.columns])
 
 
-def clean_strings(df: DataFrame) -> DataFrame:
-    """String columns squeezed; whole values that spell NaN or null become null."""
+def clean_strings(df: DataFrame, keep: list[str] = ()) -> DataFrame:
+    """String columns but ``keep`` squeezed; whole values that spell NaN or null become null."""
 
     def change(c: Column) -> Column:
         text = S.squeeze(c)
         return F.when(~text.isin(S.NULL_WORDS), text)
 
-    return _map_strings(df, change)
+    return _map_strings(df, change, keep)
 
 
 def recognize_missing(df: DataFrame, tokens: list[str] = S.MISSING_TOKENS) -> DataFrame:
@@ -102,12 +106,12 @@ def _without_null_words(c: Column) -> Column:
     return F.when(~c.isin(S.INFERENCE_NULLS), c)
 
 
-def infer_datetime_columns(df: DataFrame, min_parse_ratio: float = 0.6, min_pattern_ratio: float = 0.3) -> DataFrame:
-    """String columns that look like dates and mostly parse become timestamps.
+def infer_datetime_columns(df: DataFrame, min_parse_ratio: float = 0.6, min_pattern_ratio: float = 0.3, keep: list[str] = ()) -> DataFrame:
+    """String columns but ``keep`` that look like dates and mostly parse become timestamps.
 
     A first pass counts what looks like a date; only columns with enough of it are parsed, in a second.
     """
-    strings = column_groups(df).string
+    strings = [c for c in column_groups(df).string if c not in keep]
     value = lambda c: _without_null_words(q(c))
     looks = one_row(df, {f"{k} {c}": f for c in strings for k, f in (("n", F.count(value(c))), ("p", F.count_if(value(c).rlike(S.DATE))))})
     likely = [c for c in strings if looks[f"n {c}"] and looks[f"p {c}"] > min_pattern_ratio * looks[f"n {c}"]]
@@ -116,13 +120,13 @@ def infer_datetime_columns(df: DataFrame, min_parse_ratio: float = 0.6, min_patt
     return df.select(*[S.to_date(_without_null_words(q(c))).alias(c) if c in dates else q(c) for c in df.columns])
 
 
-def infer_numeric_columns(df: DataFrame, min_ratio: float = 0.5, mode: str = "tabular") -> DataFrame:
-    """String columns that mostly spell numbers become numbers, what does not parse null.
+def infer_numeric_columns(df: DataFrame, min_ratio: float = 0.5, mode: str = "tabular", keep: list[str] = ()) -> DataFrame:
+    """String columns but ``keep`` that mostly spell numbers become numbers, what does not parse null.
 
     tabular: numbers / non-null values at least ``min_ratio``; DOUBLE.
     ts: numbers / all rows above 0.6 (or ``min_ratio`` if given higher); LONG when all are whole, else DOUBLE.
     """
-    strings = column_groups(df).string
+    strings = [c for c in column_groups(df).string if c not in keep]
     stats: dict[str, Column] = {"rows": F.count(F.lit(1))}
     for c in strings:
         v = _without_null_words(q(c))

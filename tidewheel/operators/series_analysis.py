@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from ..functions.linear import adf_critical, adf_p_value, gram_of, ols
 from .columns import one_row, q
 from .profile import unpivot_row
+from ..functions.ranges import positions
+from .calendars import join_by_key
 from .series import chunked, distributed_rank, frame
 
 PERIODS = {"D": 7, "W": 4, "M": 12, "MS": 12, "H": 24}
@@ -56,39 +58,41 @@ def pacf(df: DataFrame, ts: str, target: str, lags: int = 25) -> DataFrame:
 def seasonal_decompose(df: DataFrame, ts: str, target: str, period: int, keys: list[str] = (), extrapolate: bool = True) -> DataFrame:
     """(keys, ts, observed, trend, seasonal, residual), additive; needs two periods.
 
-    Windows run within keys; without keys the one series is one window, so cut a very long one first.
     The trend is a centred moving average (half weights at the ends of an even period), its ends lines
     fitted to the nearest ``period`` trend values; the season is the mean by phase less the mean of those.
     """
     keys = list(keys)
     by = [q(k) for k in keys]
-    w = frame(keys, ts)
-    rows = df.select(*by, q(ts).alias("t"), q(target).cast("double").alias("observed")).withColumn("i", F.row_number().over(frame(keys, F.col("t"))) - 1)
-    w = frame(keys, "i")
+    rows = df.select(*by, q(ts).alias("t"), q(target).cast("double").alias("observed"))
+    rows = positions(rows, keys, ["t"], "i")
     h = period // 2
-    whole = w.rowsBetween(-h, h)
-    if period % 2:
-        middle, width = F.avg("observed").over(whole), period
-    else:
-        inner = F.sum("observed").over(w.rowsBetween(-(h - 1), h - 1))
-        middle, width = (inner + (F.lag("observed", h).over(w) + F.lead("observed", h).over(w)) / 2) / period, period + 1
-    rows = rows.withColumn("trend", F.when(F.count("observed").over(whole) == width, middle))
+
+    def smoothed(d: DataFrame, chunk: list[str]) -> DataFrame:
+        w = frame(chunk, "i")
+        whole = w.rowsBetween(-h, h)
+        if period % 2:
+            middle, width = F.avg("observed").over(whole), period
+        else:
+            inner = F.sum("observed").over(w.rowsBetween(-(h - 1), h - 1))
+            middle, width = (inner + (F.lag("observed", h).over(w) + F.lead("observed", h).over(w)) / 2) / period, period + 1
+        return d.withColumn("trend", F.when(F.count("observed").over(whole) == width, middle))
+
+    rows = chunked(rows, "i", h, smoothed, keys=keys, ahead=h, rank="i").withColumn("i", F.col("i") - 1)
     if extrapolate:
-        group = keys or [F.lit(0).alias("__one")]
-        ends = rows.filter("trend is not null").groupBy(*group).agg(F.min("i").alias("lo"), F.max("i").alias("hi"))
-        joined = rows.join(ends, keys) if keys else rows.crossJoin(F.broadcast(ends))  # one row without keys
+        ends = rows.filter("trend is not null").groupBy(*by).agg(F.min("i").alias("lo"), F.max("i").alias("hi"))
+        joined = join_by_key(rows, ends, keys)
         near = lambda cond: (F.regr_slope(F.when(cond, F.col("trend")), F.col("i").cast("double")), F.regr_intercept(F.when(cond, F.col("trend")), F.col("i").cast("double")))
         a, b = near(F.col("i") < F.col("lo") + period), near(F.col("i") > F.col("hi") - period)
-        lines = joined.groupBy(*group).agg(a[0].alias("s0"), a[1].alias("c0"), b[0].alias("s1"), b[1].alias("c1"))
-        joined = joined.join(lines, keys) if keys else joined.crossJoin(F.broadcast(lines.drop("__one")))
+        lines = joined.groupBy(*by).agg(a[0].alias("s0"), a[1].alias("c0"), b[0].alias("s1"), b[1].alias("c1"))
+        joined = join_by_key(joined, lines, keys)
         left, right = F.col("c0") + F.col("s0") * F.col("i"), F.col("c1") + F.col("s1") * F.col("i")
         rows = joined.withColumn("trend", F.coalesce("trend", F.when(F.col("i") < F.col("lo"), left), F.when(F.col("i") > F.col("hi"), right))).select(*rows.columns)
     rows = rows.withColumns({"phase": F.col("i") % period, "free": F.col("observed") - F.col("trend")})
     season = rows.groupBy(*by, "phase").agg(F.avg("free").alias("m"))
     centre = season.groupBy(*by).agg(F.avg("m").alias("mm"))
-    season = season.join(centre, keys) if keys else season.crossJoin(F.broadcast(centre))
+    season = join_by_key(season, centre, keys)
     season = season.select(*by, "phase", (F.col("m") - F.col("mm")).alias("seasonal"))
-    return rows.join(season, [*keys, "phase"]).select(*by, F.col("t").alias(ts), "observed", "trend", "seasonal", (F.col("free") - F.col("seasonal")).alias("residual"))
+    return join_by_key(rows, season, [*keys, "phase"]).select(*by, F.col("t").alias(ts), "observed", "trend", "seasonal", (F.col("free") - F.col("seasonal")).alias("residual"))
 
 
 def adf_test(df: DataFrame, ts: str, target: str, max_lag: int | None = None) -> DataFrame:

@@ -8,7 +8,9 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import scalars as S
 from ..functions.graph import materialise
+from ..operators import calendars as C
 from ..operators import cluster as U
 from ..operators import columns as P
 from ..operators import estimators as M
@@ -54,40 +56,62 @@ def preprocess_tabular(df: DataFrame, target: str) -> DataFrame:
 
 @dataclass
 class SeriesReport:
-    dropped_dates: int = 0
-    monotonic: bool = True
+    """What happened to the rows of a series: none is lost without being counted here.
+
+    monotonic and negative_steps are None without a column of the input order. steps has a row for each key: frequency, rows,
+    points of its grid, and rows off the grid (which have no place in the result).
+    """
+
+    rows: int = 0
+    repeated_rows: int = 0
+    unparsed_stamps: int = 0
+    negative_steps: int | None = None
+    monotonic: bool | None = None
     duplicated_rows: int = 0
-    frequency: str = ""
+    merged_rows: int = 0
+    steps: DataFrame | None = None
 
 
-def preprocess_series(df: DataFrame, ts: str, target: str | None = None, freq: str | None = None, duplicates: str = "first", keys: list[str] = ()) -> tuple[DataFrame, SeriesReport]:
-    """A raw series parsed, typed, ordered, without repeated stamps, on a regular grid and filled; with a report."""
+def preprocess_series(
+    df: DataFrame, ts: str, target: str | None = None, freq: str | None = None, duplicates: str = "mean", keys: list[str] = (), order_col: str | None = None
+) -> tuple[DataFrame, SeriesReport]:
+    """A raw series parsed, its inputs typed, without repeated rows and stamps, on its regular grid and filled; with a report.
+
+    Every key has its own step unless ``freq`` gives one. Only input columns are typed or dropped: stamp, keys and target
+    stay as they are (a target of texts is not interpolated). ``order_col`` tells the input order: it decides
+    the order check and the first and last of a stamp, and is not part of the result; without it the order is not judged and
+    the first of a stamp is the least row. Written once when parsed and once when stamps are unique.
+    """
     keys = list(keys)
-    df = P.name_blank_columns(P.clean_strings(P.normalize_names(P.normalise_nan(df))))
-    fixed = [ts, *keys, *([target] if target else [])]
-    inputs = df.select(*[q(c) for c in df.columns if c not in fixed])
-    rest = [c for c in df.columns if c not in fixed]
-    if rest:
-        typed = P.infer_numeric_columns(P.infer_datetime_columns(df.select(*[q(c) for c in df.columns])), 0.6, mode="ts") if inputs.columns else df
-        df = typed.select(*[q(c) for c in df.columns])
-        df = P.drop_duplicate_columns(df, fixed)
-        df, _ = P.drop_constant_columns(df, [c for c in df.columns if c not in fixed])
-        df, _ = P.drop_high_cardinality(df, cols=[c for c in df.columns if c not in fixed])
-    df = T.drop_duplicate_rows(df)
-    before = df.count()
-    df = N.parse_and_require_date(df, ts)
-    report = SeriesReport(dropped_dates=before - df.count())
-    order = W.check_monotonic(df, ts, ts, keys).first()
-    report.monotonic, report.duplicated_rows = order["monotonic"], order["duplicated_rows"]
-    df = W.resolve_duplicate_timestamps(df, ts, duplicates, None, keys)
-    if freq is None:
-        found = W.infer_frequency(df, ts, keys).groupBy("frequency").agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("k"), "frequency").first()
-        by_step = {f"{v}s": k for k, v in W.STEPS.items()}
-        freq = by_step.get(found["frequency"], found["frequency"]) if found else "D"
-        freq = freq if freq in ("H", "D", "W", "MS", "YS") else "H"
-    report.frequency = freq
-    df = W.fill_gaps(df, ts, freq, "interpolate", keys)
-    return W.fill_series_nulls(df, ts, "auto", keys), report
+    fixed = [ts, *keys, *([target] if target else []), *([order_col] if order_col else [])]
+    typed = P.clean_strings(P.normalise_nan(df), fixed).withColumnsRenamed({c: P.plain_name(c) for c in df.columns if c not in fixed})
+    typed = P.name_blank_columns(typed)
+    if len(typed.columns) > len(fixed):
+        typed = P.infer_numeric_columns(P.infer_datetime_columns(typed, keep=fixed), 0.6, mode="ts", keep=fixed)
+        typed = P.drop_duplicate_columns(typed, fixed)
+        typed, _ = P.drop_constant_columns(typed, [c for c in typed.columns if c not in fixed])
+        typed, _ = P.drop_high_cardinality(typed, cols=[c for c in typed.columns if c not in fixed])
+    judged = [c for c in typed.columns if c != order_col]
+    once = typed.groupBy(*[q(c) for c in judged]).agg(*([F.min(q(order_col)).alias(order_col)] if order_col else []), F.count(F.lit(1)).alias("__k"))
+    kind = dict(once.dtypes)[ts]
+    parsed = S.to_date(q(ts)) if kind == "string" else q(ts).cast("timestamp")
+    once = materialise(once.withColumn(ts, parsed), "parsed")
+    seen = once.agg(F.sum("__k"), F.sum(F.col("__k") - 1), F.count_if(q(ts).isNull())).first()
+    report = SeriesReport(rows=seen[0] or 0, repeated_rows=seen[1] or 0, unparsed_stamps=seen[2])
+    once = once.filter(q(ts).isNotNull()).drop("__k")
+    if order_col:
+        order = W.check_monotonic(once, ts, order_col, keys).first()
+        report.negative_steps, report.monotonic, report.duplicated_rows = order["negative_steps"], order["monotonic"], order["duplicated_rows"]
+    else:
+        same = once.groupBy(*[q(k) for k in keys], q(ts)).agg(F.count(F.lit(1)).alias("k"))
+        report.duplicated_rows = same.agg(F.coalesce(F.sum(F.when(F.col("k") > 1, F.col("k"))), F.lit(0))).first()[0]
+    stamps = W.resolve_duplicate_timestamps(once, ts, duplicates, order_col, keys)
+    stamps = materialise(stamps.drop(order_col) if order_col else stamps, "stamps")
+    report.merged_rows = once.count() - stamps.count()
+    steps = materialise(C.infer_steps(stamps, ts, keys) if freq is None else C.fixed_steps(stamps, ts, freq, keys), "steps")
+    report.steps = C.grid_report(stamps, ts, steps, C.grid(steps, ts, keys), keys)
+    filled = materialise(W.fill_gaps(stamps, ts, steps, "interpolate", keys), "filled")
+    return W.fill_series_nulls(filled, ts, "auto", keys), report
 
 
 @dataclass

@@ -113,6 +113,46 @@ k AS (
 SELECT kind, {stamp("ts")} AS ts, round(coalesce(y, ya + (yb - ya) * (i - ia) / nullif(ib - ia, 0), ya, yb), 6) AS y FROM k""",
 )(lambda df: as_day(rounded(E.preprocess_series(df, "ts", "y", "H", "first", ["kind"])[0]), "ts"))
 
+#: Two raw series named alike, of texts: every 15 minutes and every two days, with repeated stamps, in the order of their events.
+RAW_SERIES = """SELECT event_id AS n, CASE WHEN event_id % 2 = 0 THEN '001' ELSE '1' END AS series,
+  CASE WHEN event_id % 2 = 0 THEN substr(CAST(CAST(ts AS TIMESTAMP) AS STRING), 1, 14) || lpad(CAST(CAST(floor(minute(ts) / 15) * 15 AS INT) AS STRING), 2, '0') || ':00'
+    ELSE substr(CAST(CAST(ts AS TIMESTAMP) AS STRING), 1, 8) || lpad(CAST(day(ts) - (day(ts) - 1) % 2 AS STRING), 2, '0') || ' 00:00:00' END AS moment,
+  'same' AS constant, ' ' || CAST(user_id AS STRING) || ' ' AS who, value AS y FROM {events}"""
+_RAW_GRID = """, p AS (SELECT DISTINCT series, CAST(moment AS TIMESTAMP) AS ts, moment, who, y FROM base),
+m AS (SELECT series, ts, avg(y) AS y, avg(CAST(trim(who) AS DOUBLE)) AS who, count(*) AS k FROM p GROUP BY series, ts),
+e AS (SELECT series, min(ts) AS lo, max(ts) AS hi, count(*) AS n FROM m GROUP BY series),
+g AS (SELECT series, unnest(generate_series(lo, hi, CASE WHEN series = '1' THEN INTERVAL 2 DAY ELSE INTERVAL 15 MINUTE END)) AS ts FROM e)"""
+register(
+    "preprocess_series_raw",
+    RAW_SERIES,
+    _RAW_GRID
+    + f""", j AS (SELECT g.series, g.ts, y, who, row_number() OVER (PARTITION BY g.series ORDER BY g.ts) AS i FROM g LEFT JOIN m ON g.series = m.series AND g.ts = m.ts),
+k AS (
+  SELECT *, last_value(CASE WHEN y IS NOT NULL THEN i END IGNORE NULLS) OVER b AS ia, last_value(y IGNORE NULLS) OVER b AS ya, last_value(who IGNORE NULLS) OVER b AS wa,
+    first_value(CASE WHEN y IS NOT NULL THEN i END IGNORE NULLS) OVER a AS ib, first_value(y IGNORE NULLS) OVER a AS yb, first_value(who IGNORE NULLS) OVER a AS wb
+  FROM j WINDOW b AS (PARTITION BY series ORDER BY i ROWS UNBOUNDED PRECEDING),
+    a AS (PARTITION BY series ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+)
+SELECT series, {stamp("ts")} AS moment, round(coalesce(who, wa + (wb - wa) * (i - ia) / nullif(ib - ia, 0)), 6) AS who, round(coalesce(y, ya + (yb - ya) * (i - ia) / nullif(ib - ia, 0)), 6) AS y FROM k""",
+)(lambda df: as_day(rounded(E.preprocess_series(df, "moment", "y", None, "mean", ["series"], "n")[0]), "moment"))
+
+
+def _series_report(df: DataFrame) -> DataFrame:
+    """Steps by series, with the counts of what the job merged and of steps back in input order."""
+    _, r = E.preprocess_series(df, "moment", "y", None, "mean", ["series"], "n")
+    return r.steps.select("*", F.lit(r.merged_rows).alias("merged"), F.lit(r.unparsed_stamps).alias("unparsed"), F.lit(r.negative_steps).alias("negative_steps"))
+
+
+register(
+    "preprocess_series_report",
+    RAW_SERIES,
+    _RAW_GRID
+    + """, b AS (SELECT *, lag(ts) OVER (PARTITION BY series ORDER BY n) AS before FROM (SELECT series, CAST(moment AS TIMESTAMP) AS ts, min(n) AS n FROM base GROUP BY series, moment, who, y))
+SELECT e.series, CASE WHEN e.series = '1' THEN '2D' ELSE '900s' END AS frequency, n AS rows, points, CAST(0 AS BIGINT) AS off_grid, (SELECT CAST(sum(k - 1) AS BIGINT) FROM m) AS merged,
+  CAST(0 AS BIGINT) AS unparsed, (SELECT count(*) FROM b WHERE ts < before) AS negative_steps
+FROM e JOIN (SELECT series, count(*) AS points FROM g GROUP BY series) x ON e.series = x.series""",
+)(_series_report)
+
 _PATTERNS = [("month", "month(ts)"), ("weekday", "isodow(ts) - 1"), ("quarter", "quarter(ts)"), ("weekend", "CASE WHEN isodow(ts) >= 6 THEN 1 ELSE 0 END"), ("year", "year(ts)"), ("hour", "hour(ts)")]
 register("eda_series_patterns", DAILY, " UNION ALL ".join(f"SELECT '{n}' AS pattern, CAST({e} AS INTEGER) AS bucket, round(avg(y), 4) AS mean, count(y) AS n FROM base GROUP BY 2" for n, e in _PATTERNS))(
     lambda df: rounded(E.eda_series(df.select("ts", "y"), "ts", "y", "D", 5).reports["patterns"], 4)
