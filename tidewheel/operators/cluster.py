@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.graph import components, materialise
 from ..functions.linear import gram_of
 from ..functions.neighbours import nearest
+from ..functions.quantiles import exact_quantiles
 from .columns import column_groups, q
 from .transforms import fit_scaler
 
@@ -164,7 +165,7 @@ def auto_eps(points: DataFrame, min_samples: int = 5, sample: int = 2000) -> flo
         return 1.0
     some = points.orderBy(F.xxhash64("id")).limit(sample)
     near = nearest(points.select("id", "v"), some.select("id", "v"), k, skip_same=True)
-    reach = 1.05 * float(near.filter(F.col("rank") == k).agg(F.percentile("distance", F.lit(0.9))).first()[0] or 1.0)
+    reach = 1.05 * float((exact_quantiles(near.filter(F.col("rank") == k), {"d": F.col("distance")}, [0.9])["d"] or [0.0])[0] or 1.0)
     at = 0.9 * (n - 1)
     low, high = int(np.floor(at)), int(np.ceil(at))
     for _ in range(64):

@@ -12,9 +12,13 @@ from pyspark.sql import types as T
 from ..functions import scalars as S
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def q(name: str) -> Column:
     """The column of exactly this name, dots and all."""
-    return F.col("`" + name.replace("`", "``") + "`")
+    return F.col(quoted(name))
 
 
 def one_row(df: DataFrame, exprs: dict[str, Column]) -> dict:
@@ -159,9 +163,14 @@ def drop_duplicate_columns(df: DataFrame, row_id: list[str] | None = None) -> Da
     groups: dict[tuple, list[str]] = {}
     for c in names:
         groups.setdefault((family(c), tuple(prints[c])), []).append(c)
-    pairs = [(a, b) for g in groups.values() for i, b in enumerate(g) for a in g[:i]]
-    same = one_row(df, {f"{i}": F.bool_and(value(a).eqNullSafe(value(b))) for i, (a, b) in enumerate(pairs)})
-    gone = {b for i, (_, b) in enumerate(pairs) if same[f"{i}"] in (True, None)}
+    gone: set[str] = set()
+    alike = [g for g in groups.values() if len(g) > 1]
+    while alike:  # all against the first of their group; those that differ (the same values in other rows) form the next round's groups
+        pairs = [(g[0], b) for g in alike for b in g[1:]]
+        same = one_row(df, {f"{i}": F.bool_and(value(a).eqNullSafe(value(b))) for i, (a, b) in enumerate(pairs)})
+        equal = {b for i, (_, b) in enumerate(pairs) if same[f"{i}"] in (True, None)}
+        gone |= equal
+        alike = [rest for g in alike if len(rest := [b for b in g[1:] if b not in equal]) > 1]
     return df.select(*[q(c) for c in df.columns if c not in gone])
 
 
@@ -183,15 +192,39 @@ def dominance(df: DataFrame, cols: list[str]) -> DataFrame:
     return counts.groupBy("column").agg(F.count(F.lit(1)).alias("distinct"), F.max("k").alias("top"), F.sum("k").alias("n"))
 
 
+#: Items that a sketch of frequent values tracks: a value with more than some thousandths of the rows is always among them.
+TRACKED = 1024
+
+
+def dominant_values(df: DataFrame, cols: list[str], share: float = 0.95) -> dict[str, tuple[int, int, bool]]:
+    """For each column: non-null rows, rows of its commonest value if that has ``share`` of them (else 0), and whether all are one value.
+
+    A mergeable sketch of frequent values names the candidates of every column in one pass; a second one counts them.
+    Cells are never shuffled. ``share`` must be at least a hundredth, far above what the sketch may miss.
+    """
+    if share < 0.01:
+        raise ValueError("a share below a hundredth needs dominance()")
+    text = {c: q(c).cast("string") for c in cols}
+    # nulls would be items, too, and hide values of columns that are mostly null
+    top = lambda c: F.expr(f"approx_top_k(CAST({quoted(c)} AS STRING), {int(1 / share)}, {TRACKED}) FILTER (WHERE {quoted(c)} IS NOT NULL)")
+    got = one_row(df, {f"{k} {c}": e for c, v in text.items() for k, e in (("n", F.count(v)), ("one", F.min(v) == F.max(v)), ("top", top(c)))})
+    likely = {c: [r["item"] for r in got[f"top {c}"] or []] for c in cols}
+    counts = one_row(df, {f"{i} {c}": F.count_if(text[c] == F.lit(v)) for c in cols if not got[f"one {c}"] for i, v in enumerate(likely[c])})
+    out = {}
+    for c in cols:
+        n = got[f"n {c}"]
+        most = n if got[f"one {c}"] else max((counts[f"{i} {c}"] for i in range(len(likely[c]))), default=0)
+        out[c] = (n, most if most >= share * n else 0, bool(got[f"one {c}"]))
+    return out
+
+
 def drop_constant_columns(df: DataFrame, cols: list[str] | None = None, threshold: float = 0.95) -> tuple[DataFrame, ColumnReport]:
     """Without columns of one value, or whose commonest has ``threshold`` of the non-null rows; all-null columns stay."""
     cols = cols if cols is not None else df.columns
     report = ColumnReport()
-    for r in dominance(df, cols).collect() if cols else []:
-        if r["distinct"] <= 1:
-            report.dropped[r["column"]] = "constant"
-        elif r["top"] >= threshold * r["n"]:
-            report.dropped[r["column"]] = "near-constant"
+    for c, (n, top, single) in dominant_values(df, cols, threshold).items() if cols else []:
+        if n and (single or top):
+            report.dropped[c] = "constant" if single else "near-constant"
     return df.select(*[q(c) for c in df.columns if c not in report.dropped]), report
 
 

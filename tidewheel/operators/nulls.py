@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..functions.quantiles import exact_quantiles
 from .columns import column_groups, one_row, q
 
 
@@ -73,8 +74,10 @@ def impute_numeric(df: DataFrame, how: str = "median", cols: list[str] | None =
         return _fill(df, dict.fromkeys(cols, 0))
     holes = one_row(df, {c: F.count_if(q(c).isNull()) for c in cols})
     cols = [c for c in cols if holes[c]]
-    middle = lambda c: F.percentile_approx(q(c), 0.5, accuracy).cast("double") if accuracy else F.percentile(q(c), F.lit(0.5))
-    return _fill(df, one_row(df, {c: F.avg(q(c)) if how == "mean" else middle(c) for c in cols}))
+    if how == "median" and not accuracy:
+        found = exact_quantiles(df, {c: q(c) for c in cols}, [0.5])
+        return _fill(df, {c: v[0] if v else None for c, v in found.items()})
+    return _fill(df, one_row(df, {c: F.avg(q(c)) if how == "mean" else F.percentile_approx(q(c), 0.5, accuracy).cast("double") for c in cols}))
 
 
 def impute_categorical(df: DataFrame, how: str = "mode", cols: list[str] | None = None, default: str = "missing") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions.linear import gram, inverse_factors
+from ..functions.quantiles import exact_quantiles
 from .columns import column_groups, one_row, q
 
 
@@ -36,9 +37,12 @@ def profile(df: DataFrame) -> DataFrame:
 def describe(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """(column, count, mean, std, min, q25, q50, q75, max) of numeric columns."""
     cols = cols if cols is not None else column_groups(df).numeric
-    stats = lambda c: [F.count(q(c)), F.avg(q(c)), F.stddev_samp(q(c)), F.min(q(c)).cast("double"), *[F.percentile(q(c), F.lit(p)) for p in (0.25, 0.5, 0.75)], F.max(q(c)).cast("double")]
+    middle = quartiles(df, cols)
+    quarter = lambda c, i: F.lit(middle[c][i] if c in middle else None).cast("double")
+    stats = lambda c: [F.count(q(c)), F.avg(q(c)), F.stddev_samp(q(c)), F.min(q(c)).cast("double"), F.max(q(c)).cast("double")]
     one = df.agg(F.count(F.lit(1)).alias("rows"), *[e.alias(f"{i}_{j}") for i, c in enumerate(cols) for j, e in enumerate(stats(c))])
-    return unpivot_row(one, [((c,), [F.col(f"{i}_{j}") for j in range(8)]) for i, c in enumerate(cols)], ["column", "count", "mean", "std", "min", "q25", "q50", "q75", "max"])
+    cell = lambda i, c: [*[F.col(f"{i}_{j}") for j in range(4)], *[quarter(c, j) for j in range(3)], F.col(f"{i}_4")]
+    return unpivot_row(one, [((c,), cell(i, c)) for i, c in enumerate(cols)], ["column", "count", "mean", "std", "min", "q25", "q50", "q75", "max"])
 
 
 def value_counts(df: DataFrame, col: str, top: int | None = 10) -> DataFrame:
@@ -58,17 +62,19 @@ def cardinality_report(df: DataFrame, cols: list[str] | None = None) -> DataFram
 def statistical_summary(df: DataFrame, target: str) -> DataFrame:
     """(metric, value) of one column: location, spread, quartiles, shape and coefficient of variation in per cent."""
     c = q(target)
+    low, middle, high = quartiles(df, [target]).get(target, (None, None, None))
+    number = lambda x: F.lit(x).cast("double")
     stats = {
         "count": F.count(c).cast("double"),
         "mean": F.avg(c),
-        "median": F.percentile(c, F.lit(0.5)),
+        "median": number(middle),
         "std": F.stddev_samp(c),
         "min": F.min(c).cast("double"),
         "max": F.max(c).cast("double"),
         "range": (F.max(c) - F.min(c)).cast("double"),
-        "q1": F.percentile(c, F.lit(0.25)),
-        "q3": F.percentile(c, F.lit(0.75)),
-        "iqr": F.percentile(c, F.lit(0.75)) - F.percentile(c, F.lit(0.25)),
+        "q1": number(low),
+        "q3": number(high),
+        "iqr": number(high) - number(low),
         "skewness": S.sample_skew(c),
         "kurtosis": S.sample_kurtosis(c),
         "cv": F.try_divide(F.stddev_samp(c), F.avg(c)) * 100,
@@ -97,9 +103,11 @@ def histogram(df: DataFrame, col: str, bins: int = 30) -> DataFrame:
 
 
 def quartiles(df: DataFrame, cols: list[str], accuracy: int | None = None) -> dict[str, tuple[float, float, float]]:
-    """First, second and third quartile by column; ``accuracy`` asks for approximate ones."""
-    ask = lambda c: F.percentile_approx(q(c), [0.25, 0.5, 0.75], accuracy) if accuracy else F.percentile(q(c), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    got = one_row(df, {c: ask(c) for c in cols})
+    """First, second and third quartile by column, exact; ``accuracy`` asks for approximate ones of one pass."""
+    if accuracy:
+        got = one_row(df, {c: F.percentile_approx(q(c), [0.25, 0.5, 0.75], accuracy) for c in cols})
+    else:
+        got = exact_quantiles(df, {c: q(c) for c in cols}, [0.25, 0.5, 0.75])
     return {c: tuple(map(float, v)) for c, v in got.items() if v is not None}
 
 
@@ -115,11 +123,11 @@ def box_stats(df: DataFrame, col: str, k: float = 1.5) -> DataFrame:
 
 
 def qq_points(df: DataFrame, col: str, points: int = 99) -> DataFrame:
-    """(p, theoretical, sample): normal quantiles against quantiles of ``col`` on a fixed grid; one pass, no global sort."""
+    """(p, theoretical, sample): normal quantiles against quantiles of ``col`` on a fixed grid; no global sort."""
     grid = [(i + 1) / (points + 1) for i in range(points)]
-    one = df.agg(F.percentile(q(col), F.array(*[F.lit(p) for p in grid])).alias("v"))
-    pairs = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(NormalDist().inv_cdf(p)).alias("theoretical"), F.get("v", F.lit(i)).alias("sample")) for i, p in enumerate(grid)])
-    return one.select(F.explode(pairs).alias("r")).select("r.*")
+    found = exact_quantiles(df, {col: q(col)}, grid)[col] or [None] * points
+    rows = [(p, NormalDist().inv_cdf(p), v) for p, v in zip(grid, found, strict=True)]
+    return df.sparkSession.createDataFrame(rows, "p double, theoretical double, sample double")
 
 
 def correlation_matrix(df: DataFrame, cols: list[str] | None = None) -> DataFrame:

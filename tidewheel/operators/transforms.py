@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..functions.quantiles import exact_quantiles
 from ..functions.graph import materialise
 from ..functions.neighbours import nearest
 from .columns import column_groups, one_row, q
@@ -227,7 +228,7 @@ def f_scores(df: DataFrame, features: list[str], target: str) -> DataFrame:
 
 def mutual_information(df: DataFrame, features: list[str], target: str, bins: int = 10) -> DataFrame:
     """(column, score): mutual information in nats of each feature, cut at its quantiles, with a class target."""
-    edges = one_row(df, {c: F.percentile(q(c), F.array(*[F.lit(i / bins) for i in range(1, bins)])) for c in features})
+    edges = exact_quantiles(df, {c: q(c) for c in features}, [i / bins for i in range(1, bins)])
     rows = df.select(q(target).alias("y"), F.explode(F.array(*[F.struct(F.lit(c).alias("column"), sum((F.when(q(c) > e, 1).otherwise(0) for e in edges[c] or []), F.lit(0)).alias("bin"), q(c).isNotNull().alias("ok")) for c in features])).alias("p")).select("y", "p.*").filter("ok and y is not null")
     joint = rows.groupBy("column", "bin", "y").agg(F.count(F.lit(1)).alias("k"))
     total = lambda *by: F.sum("k").over(Window.partitionBy("column", *by))

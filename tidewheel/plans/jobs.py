@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions.graph import materialise
+from ..functions.quantiles import exact_quantiles
 from ..operators import calendars as C
 from ..operators import cluster as U
 from ..operators import columns as P
@@ -133,7 +134,8 @@ class AutoPreprocessor:
         self.text = [c for c in groups.string if c != target]
         shares = N.null_shares(df, self.numeric)
         mean = [c for c in self.numeric if self.strategy == "mean" or self.strategy == "auto" and shares[c] < 0.3]
-        got = P.one_row(df, {c: F.avg(q(c)) if c in mean else F.percentile(q(c), F.lit(0.5)) for c in self.numeric} | {c: F.mode(q(c), deterministic=True) for c in self.text})
+        got = P.one_row(df, {c: F.avg(q(c)) for c in mean} | {c: F.mode(q(c), deterministic=True) for c in self.text})
+        got |= {c: v[0] if v else None for c, v in exact_quantiles(df, {c: q(c) for c in self.numeric if c not in mean}, [0.5]).items()}
         self.fill = {c: got[c] if got[c] is not None else "Unknown" for c in [*self.numeric, *self.text] if got[c] is not None or c in self.text}
         filled = self._fill(df)
         self.bounds = T.fit_iqr_bounds(filled, cols=self.numeric) if self.clip == "iqr" else T.fit_zscore_bounds(filled, cols=self.numeric)
