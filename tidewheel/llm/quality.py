@@ -16,12 +16,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.workers import map_arrow
 from .bytetext import BLANKS, chunks, column_bytes, words
 from .labelled import agreed, fold, training_sample
+from .shared import materialise
 
 SAMPLE_ROWS, PAIRS, STEPS = 20_000, 60_000, 300
 #: Bins of the score histogram to a standard deviation of the training scores.
@@ -133,11 +134,8 @@ def best_cut(bins: np.ndarray, good: np.ndarray, bad: np.ndarray) -> float:
     return float((bins[k - 1] + 1 + (bins[k + above[0]] if len(above) else bins[k - 1] + 1)) / 2)
 
 
-def _set_cut(ranker: Ranker, docs: DataFrame, labels: DataFrame, folds: int, held_out: int) -> Ranker:
-    """``ranker`` with the cut from a histogram of the strengths of all rows of ``docs`` (doc_id, text)."""
-    if not ranker.weights.any():
-        return ranker
-    width = 2.0 / ranker.slope / BINS
+def _strengths(ranker: Ranker, docs: DataFrame) -> DataFrame:
+    """(doc_id, strength) of every row of ``docs`` (doc_id, text)."""
     shared = docs.sparkSession.sparkContext.broadcast(ranker)
 
     def place(batches):
@@ -145,13 +143,20 @@ def _set_cut(ranker: Ranker, docs: DataFrame, labels: DataFrame, folds: int, hel
         for batch in batches:
             data, offsets = column_bytes(batch.column(1))
             got = [r.strength(features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])) for i, j in chunks(offsets)]
-            strength = np.concatenate(got) if got else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.floor(strength / width).astype(np.int64))], names=["doc_id", "bin"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(got) if got else np.zeros(0))], names=["doc_id", "strength"])
+
+    return map_arrow(docs.select("doc_id", "text"), place, "doc_id long, strength double")
 
-    placed = map_arrow(docs.select("doc_id", "text"), place, "doc_id long, bin long")
+
+def _set_cut(ranker: Ranker, placed: DataFrame, labels: DataFrame, folds: int, held_out: int) -> Ranker:
+    """``ranker`` with the cut from a histogram of the strengths (doc_id, strength) of all rows."""
+    if not ranker.weights.any():
+        return ranker
+    width = 2.0 / ranker.slope / BINS
     known = agreed(labels, "quality").filter(fold(F.col("doc_id"), folds) != held_out)
     # strengths are bounded by the clipped features, so the bins are few
-    rows = placed.join(known, "doc_id", "left").groupBy("bin").agg(F.count_if(F.col("y") == 1), F.count_if(F.col("y") == 0)).collect()
+    binned = placed.select("doc_id", F.floor(F.col("strength") / F.lit(width)).alias("bin"))
+    rows = binned.join(known, "doc_id", "left").groupBy("bin").agg(F.count_if(F.col("y") == 1), F.count_if(F.col("y") == 0)).collect()
     if rows:
         bins, good, bad = np.array(sorted(tuple(r) for r in rows), np.int64).T
         if good.any() or bad.any():
@@ -159,16 +164,10 @@ def _set_cut(ranker: Ranker, docs: DataFrame, labels: DataFrame, folds: int, hel
     return ranker
 
 
-def _score(ranker):
-    def run(batches):
-        r: Ranker = ranker.value
-        for batch in batches:
-            data, offsets = column_bytes(batch.column(1))
-            scores = [r.score(features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])) for i, j in chunks(offsets)]
-            score = np.concatenate(scores) if scores else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(score), pa.array((score >= CUT).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
-
-    return run
+def _score(ranker: Ranker) -> Column:
+    """The score of a strength: a logistic curve that is CUT at the cut."""
+    x = F.lit(float(ranker.slope)) * (F.col("strength") - F.lit(float(ranker.cut))) + F.lit(float(np.log(CUT / (1 - CUT))))
+    return 1 / (1 + F.exp(-F.greatest(F.least(x, F.lit(30.0)), F.lit(-30.0))))
 
 
 def _learn(docs: DataFrame, labels: DataFrame, folds: int, held_out: int, sample_rows: int) -> Ranker:
@@ -184,20 +183,24 @@ def _learn(docs: DataFrame, labels: DataFrame, folds: int, held_out: int, sample
     width = features(np.zeros(0, np.uint8), np.zeros(2, np.int64)).shape[1]
     x = np.array(rows["x"].tolist(), np.float64).reshape(-1, width)
     order = np.lexsort(x.T) if len(x) else []
-    return _set_cut(fit(x[order], rows["y"].to_numpy(np.int64)[order]), docs, labels, folds, held_out)
+    return fit(x[order], rows["y"].to_numpy(np.int64)[order])
 
 
 def classify(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of ``docs`` (doc_id, text, lang)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
-    ranker = docs.sparkSession.sparkContext.broadcast(_learn(docs, labels, folds, held_out, sample_rows))
+    ranker = _learn(docs, labels, folds, held_out, sample_rows)
+    placed = materialise(_strengths(ranker, docs), "strengths")
+    ranker = _set_cut(ranker, placed, labels, folds, held_out)
     held = F.coalesce(fold(F.col("doc_id"), folds) == held_out, F.lit(False)).alias("held_out")
-    return map_arrow(docs.select("doc_id", "text", held), _score(ranker), "doc_id long, held_out boolean, score double, predicted int")
+    return placed.select("doc_id", held, _score(ranker).alias("score")).withColumn("predicted", (F.col("score") >= CUT).cast("int"))
 
 
 def keep_accepted(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """``docs`` without the rows whose text the ranker rejects; all columns stay, whatever their names."""
-    ranker = docs.sparkSession.sparkContext.broadcast(_learn(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang"), labels, 4, 2, sample_rows))
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
+    learned = _learn(named, labels, 4, 2, sample_rows)
+    ranker = docs.sparkSession.sparkContext.broadcast(_set_cut(learned, _strengths(learned, named), labels, 4, 2))
     names = docs.columns
     at = names.index("text")
 
