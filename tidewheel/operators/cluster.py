@@ -43,9 +43,10 @@ def silhouette(df: DataFrame, prediction: str = "prediction") -> float:
 
 def scatter_scores(df: DataFrame, cols: list[str], cluster: str = "prediction") -> dict[str, float]:
     """Calinski-Harabasz and Davies-Bouldin from centroids and dispersions by cluster; two aggregations."""
-    cent = df.groupBy(q(cluster).alias("c")).agg(F.count(F.lit(1)).alias("n"), *[F.avg(q(c)).alias(f"m{i}") for i, c in enumerate(cols)])
-    d2 = sum(((q(c) - F.col(f"m{i}")) ** 2 for i, c in enumerate(cols)), F.lit(0.0))
-    spread = df.join(F.broadcast(cent), q(cluster) == F.col("c")).groupBy("c").agg(F.sum(d2).alias("ss"), F.avg(F.sqrt(d2)).alias("s"))  # a row a cluster
+    points = df.select(q(cluster).alias("c"), *[q(c).alias(f"x{i}") for i, c in enumerate(cols)])  # own names, whatever the table's are
+    cent = points.groupBy("c").agg(F.count(F.lit(1)).alias("n"), *[F.avg(f"x{i}").alias(f"m{i}") for i in range(len(cols))])
+    d2 = sum(((F.col(f"x{i}") - F.col(f"m{i}")) ** 2 for i in range(len(cols))), F.lit(0.0))
+    spread = points.join(F.broadcast(cent), "c").groupBy("c").agg(F.sum(d2).alias("ss"), F.avg(F.sqrt(d2)).alias("s"))  # a row a cluster
     rows = cent.join(spread, "c").orderBy("c").collect()
     k, n = len(rows), sum(r["n"] for r in rows)
     if k < 2:

@@ -28,7 +28,7 @@ def profile(df: DataFrame) -> DataFrame:
     one = df.agg(F.count(F.lit(1)).alias("rows"), *[F.count(q(c)).alias(f"n{i}") for i, c in enumerate(cols)], *[F.count_distinct(q(c)).alias(f"d{i}") for i, c in enumerate(cols)])
     kinds = dict(df.dtypes)
     by = unpivot_row(one, [((c, kinds[c]), [F.col(f"n{i}"), F.col("rows") - F.col(f"n{i}"), F.col(f"d{i}")]) for i, c in enumerate(cols)], ["column", "type", "n", "missing", "distinct"])
-    repeats = df.groupBy(*[q(c) for c in cols]).agg(F.count(F.lit(1)).alias("k")).agg(F.coalesce(F.sum(F.col("k") - 1), F.lit(0)).alias("duplicates"), F.coalesce(F.sum("k"), F.lit(0)).alias("rows"))
+    repeats = df.groupBy(*[q(c) for c in cols]).agg(F.count(F.lit(1)).alias("__k")).agg(F.coalesce(F.sum(F.col("__k") - 1), F.lit(0)).alias("duplicates"), F.coalesce(F.sum("__k"), F.lit(0)).alias("rows"))
     cells = by.agg(F.sum("missing").alias("missing"))
     whole = repeats.crossJoin(cells).select(F.lit("*").alias("column"), F.lit("table").alias("type"), F.col("rows").alias("n"), "missing", F.col("duplicates").alias("distinct"))  # one row each
     return by.unionByName(whole)

@@ -23,22 +23,22 @@ from ..operators import transforms as T
 from ..operators.columns import q
 
 
-def handle_supervised_nulls(df: DataFrame, target: str) -> DataFrame:
-    """Rows without target, all-null and corrupted rows go; then columns of many nulls; medians and modes fill; target last."""
+def handle_supervised_nulls(df: DataFrame, target: str | None) -> DataFrame:
+    """Rows without target (if there is one), all-null and corrupted rows go; then columns of many nulls; medians and modes fill; target last."""
     inputs = [c for c in df.columns if c != target]
-    df = N.drop_null_target(df, target)
+    df = N.drop_null_target(df, target) if target else df
     df = N.drop_all_null_rows(df, inputs)
     df = N.drop_corrupted_rows(df, 0.8, inputs)
-    df = N.drop_high_null_columns(df, 0.6, keep=[target])
+    df = N.drop_high_null_columns(df, 0.6, keep=[target] if target else None)
     inputs = [c for c in df.columns if c != target]
     numeric = [c for c in P.column_groups(df).numeric if c != target]
     df = N.impute_numeric(df, "median", numeric)
     df = N.impute_categorical(df, "mode", [c for c in inputs if c not in numeric])
-    return df.select(*[q(c) for c in inputs], q(target))
+    return df.select(*[q(c) for c in inputs], *([q(target)] if target else []))
 
 
-def preprocess_tabular(df: DataFrame, target: str) -> DataFrame:
-    """A raw table cleaned for ``target``: names, strings, types, useless columns, duplicate rows, nulls; target last.
+def preprocess_tabular(df: DataFrame, target: str | None = None) -> DataFrame:
+    """A raw table cleaned for ``target`` (None: for clustering): names, strings, types, useless columns, duplicate rows, nulls; target last.
 
     Written once when its types are known and once without its repeated rows, so that the statistics
     passes read columns of a table instead of repeating what came before.
@@ -52,7 +52,7 @@ def preprocess_tabular(df: DataFrame, target: str) -> DataFrame:
     df = materialise(T.drop_duplicate_rows(df), "distinct")
     if any(N.null_shares(df, df.columns).values()):
         return handle_supervised_nulls(df, target)
-    return df.select(*[q(c) for c in df.columns if c != target], q(target))
+    return df.select(*[q(c) for c in df.columns if c != target], *([q(target)] if target else []))
 
 
 @dataclass
@@ -163,10 +163,30 @@ class Explored:
     reports: dict[str, DataFrame]
     train: DataFrame | None = None
     test: DataFrame | None = None
+    balanced: str | None = None
 
 
-def eda_tabular(df: DataFrame, target: str, task: str, key: list[str], seed: int = 42) -> Explored:
-    """Profile, split, leakage, clipping, skew, balance and collinearity; bounds are fitted on train and applied to both."""
+def balance_classes(train: DataFrame, target: str, key: list[str], how: str = "smote", seed: int = 42) -> tuple[DataFrame, str]:
+    """Classes made equal: ``smote`` (synthetic rows of the smaller ones; the result has inputs and target), ``oversample`` or
+    ``undersample``; and the way that was taken. SMOTE needs numbers without nulls; other inputs are oversampled instead.
+    """
+    if how == "undersample":
+        return T.random_undersample(train, target, key, seed), how
+    inputs = [c for c in train.columns if c not in key and c != target]
+    numeric = set(P.column_groups(train).numeric)
+    if how == "smote" and inputs and all(c in numeric for c in inputs) and not any(N.null_shares(train, [*inputs, target]).values()):
+        keyed = train.withColumn("__key", F.xxhash64(*[q(c) for c in key]))
+        return T.smote(keyed, target, inputs, "__key", seed=seed), how
+    if how not in ("smote", "oversample"):
+        raise ValueError(f"unknown way {how!r} of balancing")
+    return T.random_oversample(train, target, key, seed), "oversample"
+
+
+def eda_tabular(df: DataFrame, target: str, task: str, key: list[str], seed: int = 42, balance: str | None = "smote") -> Explored:
+    """Profile, split, leakage, clipping, skew, balance and collinearity; bounds are fitted on train and applied to both.
+
+    Imbalanced classes of train are balanced in the way of ``balance`` (None: not).
+    """
     stratify = target if task == "classification" else None
     train, test = T.random_split(df, key, 0.2, seed, stratify)
     reports = {"describe": A.describe(df), "profile": A.profile(df)}
@@ -181,8 +201,9 @@ def eda_tabular(df: DataFrame, target: str, task: str, key: list[str], seed: int
     train, test = T.log_columns(train, logged), T.log_columns(test, logged)
     if task == "classification":
         reports["balance"] = A.class_balance(train, target)
-        if train.count() and reports["balance"].filter("imbalanced").limit(1).count():
-            train = T.random_oversample(train, target, key, seed)
+        if balance and reports["balance"].filter("imbalanced").limit(1).count():
+            train, way = balance_classes(materialise(train, "train"), target, key, balance, seed)
+            return Explored(reports, train, test, way)
     return Explored(reports, train, test)
 
 
@@ -269,22 +290,47 @@ def cluster(df: DataFrame, cols: list[str] | None = None, ks: range = range(2, 9
     return Clustered(rows.drop("__id", "features"), sweep, sizes, A.cluster_profile(rows, "kmeans", cols), U.compare_clusterings(rows, cols, {"kmeans": "kmeans", "ward": "ward", "dbscan": "dbscan"}))
 
 
-def run(df: DataFrame, task: str, target: str | None = None, ts: str | None = None, key: list[str] = ()) -> object:
-    """Cleans and then trains or clusters: tabular (regression, classification), series (with ``ts``), or unsupervised.
+@dataclass
+class Run:
+    """A whole run: the cleaned table, what was explored, and the models or clusters."""
+
+    clean: DataFrame
+    explored: Explored
+    result: M.Trained | Clustered
+    series: SeriesReport | None = None
+    fell_back: str | None = None
+
+    @property
+    def board(self) -> DataFrame:
+        return self.result.board if isinstance(self.result, M.Trained) else self.result.comparison
 
-    When a cleaning job fails on its input (a bad value, or an error of Spark's) the fitted preprocessor takes its place.
+
+def run(
+    df: DataFrame, task: str, target: str | None = None, ts: str | None = None, key: list[str] = (), order_col: str | None = None, models: list[str] | None = None, trees: int = 100, ks: range = range(2, 9)
+) -> Run:
+    """Cleans, explores, and trains or clusters: tabular (regression, classification), series (with ``ts``), or unsupervised.
+
+    When a cleaning job fails on its input (a bad value, or an error of Spark's) the fitted preprocessor takes its place and
+    ``fell_back`` says why. ``key`` names columns that tell rows apart; without it a hash of the row does.
     """
-    if task == "unsupervised":
-        return cluster(df)
-    if ts is not None:
-        try:
-            clean, _ = preprocess_series(df, ts, target)
-        except (ValueError, PySparkException):
-            clean = AutoPreprocessor().fit_transform(df, target)
-        return train_series(clean, ts, target, task)
+    if task not in ("regression", "classification", "unsupervised"):
+        raise ValueError(f"unknown task {task!r}")
+    if task != "unsupervised" and target is None:
+        raise ValueError("training needs a target")
+    report, fell_back = None, None
     try:
-        clean = preprocess_tabular(df, target)
-    except (ValueError, PySparkException):
+        if ts is not None and task != "unsupervised":
+            clean, report = preprocess_series(df, ts, target, order_col=order_col)
+        else:
+            clean = preprocess_tabular(df, target)
+    except (ValueError, PySparkException) as e:
+        fell_back = str(e).splitlines()[0] if str(e) else type(e).__name__
         clean = AutoPreprocessor().fit_transform(df, target)
-    keyed = clean.withColumn("__key", F.xxhash64(*[q(c) for c in clean.columns])) if not key else clean
-    return train_tabular(keyed, target, task, list(key) or ["__key"])
+    clean = materialise(clean, "clean")
+    if ts is not None and task != "unsupervised":
+        return Run(clean, eda_series(clean, ts, target), train_series(clean, ts, target, task, models=models, trees=trees), report, fell_back)
+    keyed = clean if key else clean.withColumn("__key", F.xxhash64(*[q(c) for c in clean.columns]))
+    key = list(key) or ["__key"]
+    if task == "unsupervised":
+        return Run(clean, eda_unsupervised(keyed, key), cluster(clean, ks=ks), None, fell_back)
+    return Run(clean, eda_tabular(keyed, target, task, key), train_tabular(keyed, target, task, key, models, trees), None, fell_back)

@@ -44,7 +44,6 @@ e AS ({EWM.format(keys="a.kind,", on="a.kind = b.kind AND")})
 SELECT kind, {stamp("ts")} AS ts, round(std, 4) AS y_ewm_std_7 FROM e""",
 )(lambda df: as_day(rounded(W.ewm_features(df, "ts", "y", (7,), ["kind"]).select("kind", "ts", F.nanvl("y_ewm_std_7", F.lit(None)).alias("y_ewm_std_7")), 4), "ts"))
 
-_WHOLE = ["year", "month", "day", "dayofweek", "dayofyear", "quarter", "week", "is_weekend", "is_month_start", "is_month_end", "is_quarter_start", "is_quarter_end"]
 register(
     "engineer_features",
     DAILY,
@@ -214,6 +213,28 @@ register("train_and_rank_classification", DOCS)(lambda df: _board(df, "classific
 register("train_series", DAILY)(lambda df: E.train_series(df.select("ts", "y"), "ts", "y", models=["LinearRegression", "Ridge", "DecisionTree5"]).board)
 register("train_tabular", _SMALL)(lambda df: E.train_tabular(df, "price", "regression", ["id"], ["LinearRegression", "Ridge", "DecisionTree5"]).board)
 
+#: What each way of balancing leaves of every class of the training rows.
+register(
+    "eda_tabular_balance",
+    "SELECT d.doc_id, d.n_chars, l.toxic, l.quality FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id",
+    """, c AS (SELECT quality, count(*) - CAST(ceil(0.2 * count(*) - 1e-9) AS BIGINT) AS n FROM base GROUP BY quality),
+w AS (SELECT unnest(['smote', 'oversample', 'undersample']) AS way)
+SELECT way, quality, CASE WHEN way = 'undersample' THEN (SELECT min(n) FROM c) ELSE (SELECT max(n) FROM c) END AS n FROM c, w""",
+)(lambda df: _balanced(df))
+
+
+def _balanced(df: DataFrame) -> DataFrame:
+    parts = []
+    for way in ("smote", "oversample", "undersample"):
+        found = E.eda_tabular(df, "quality", "classification", ["doc_id"], balance=way)
+        parts.append(found.train.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).select(F.lit(found.balanced).alias("way"), F.col("quality").cast("int").alias("quality"), "n"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+# the whole run's cleaned table is what the cleaning job's SQL gives; exploring and training have run on it
+register("run_regression", queries._RAW)(lambda df: E.run(df, "regression", "price", models=["LinearRegression", "Ridge"]).clean)
+queries._SQL["run_regression"] = queries._SQL["preprocess_tabular"]
+
 # --- clustering: the whole embedding -------------------------------------------------------------
 _DIMS = 64
 _COLUMNS = [f"e{i}" for i in range(_DIMS)]

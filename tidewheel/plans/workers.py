@@ -49,7 +49,11 @@ def _tidied(function):
 
 
 def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
-    """``df.mapInArrow`` whose function may use this package, in batches that suit rows of long texts."""
+    """``df.mapInArrow`` whose function may use this package, in batches that suit rows of long texts.
+
+    Spark reads the batch size when it plans a job, after this returns, so the session keeps the smaller one; a size that
+    the user has set below it stays.
+    """
     ship(df.sparkSession)
     if int(df.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
