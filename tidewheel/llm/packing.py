@@ -33,10 +33,6 @@ from pyspark.sql import functions as F
 from ..plans.workers import map_arrow
 from .shared import materialise
 
-#: Length classes for the patterns, most pieces of a pattern, and words and parts of texts that a worker remembers.
-CLASSES, MOST_PIECES = 64, 4
-MEMORY_WORDS = 400_000
-LONG = np.int64
 #: Words as the tokenizer's own splitting makes them of lower-cased text below U+0300.
 WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 #: Texts with these take the plain path: characters that Python and the tokenizer class or normalise
