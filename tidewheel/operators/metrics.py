@@ -55,7 +55,9 @@ def auc(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
 
 
 def leaderboard_sort(df: DataFrame, task: str) -> DataFrame:
-    return df.orderBy(F.asc_nulls_last("Test_RMSE")) if task == "regression" else df.orderBy(F.desc_nulls_last("Test_Accuracy"))
+    """RMSE ascending or accuracy descending, ties by name."""
+    best = F.asc_nulls_last("Test_RMSE") if task == "regression" else F.desc_nulls_last("Test_Accuracy")
+    return df.orderBy(best, *[F.col(c) for c in df.columns if c == "Model"])
 
 
 def best_model(results: DataFrame, metric: str, order: str, higher: bool = True) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.graph import materialise
 from ..operators import cluster as U
 from ..operators import columns as P
 from ..operators import estimators as M
@@ -71,6 +72,12 @@ def as_day(df: DataFrame, *cols: str) -> DataFrame:
     return df.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in cols})
 
 
+def as_ordered(df: DataFrame) -> DataFrame:
+    """``df`` with position, from 1, as its rows come: a set of rows shows their order, too."""
+    # written first: the numbers of partitions and rows are those of the sorted rows
+    return W.distributed_rank(materialise(df.withColumn("__at", F.monotonically_increasing_id()), "ordered"), ["__at"], "position").drop("__at")
+
+
 def stamp(c: str) -> str:
     return f"strftime({c}, '%Y-%m-%d %H:%M:%S')"
 
@@ -167,7 +174,7 @@ register("cluster_profile", "SELECT l_linenumber AS c, l_quantity AS qty, l_exte
 
 # --- series --------------------------------------------------------------------------------------
 register("check_monotonic", "SELECT event_id, CAST(ts AS TIMESTAMP) AS ts FROM {events}", "SELECT CAST(sum(CASE WHEN ts < b THEN 1 ELSE 0 END) AS BIGINT) AS negative_steps, (SELECT CAST(coalesce(sum(k), 0) AS BIGINT) FROM (SELECT count(*) AS k FROM base GROUP BY ts HAVING count(*) > 1)) AS duplicated_rows, sum(CASE WHEN ts < b THEN 1 ELSE 0 END) = 0 AS monotonic FROM (SELECT ts, lag(ts) OVER (ORDER BY event_id) AS b FROM base)")(lambda df: W.check_monotonic(df, "ts", "event_id"))
-register("sort_series", DAILY, f"SELECT {stamp('ts')} AS ts, n FROM base")(lambda df: as_day(W.sort_series(df, "ts").select("ts", "n"), "ts"))
+register("sort_series", DAILY, f"SELECT {stamp('ts')} AS ts, n, row_number() OVER (ORDER BY ts) AS position FROM base")(lambda df: as_day(as_ordered(W.sort_series(df, "ts").select("ts", "n")), "ts"))
 _EV = "SELECT event_type AS kind, event_id, date_trunc('hour', CAST(ts AS TIMESTAMP)) AS ts, value, user_id FROM {events}"
 register("duplicate_timestamps", _EV, f"SELECT kind, event_id, {stamp('ts')} AS ts FROM (SELECT *, count(*) OVER (PARTITION BY kind, ts) AS k FROM base) WHERE k > 1")(lambda df: as_day(W.duplicate_timestamps(df, "ts", ["kind"]).select("kind", "event_id", "ts"), "ts"))
 register("resolve_duplicates_first", _EV, f"SELECT kind, {stamp('ts')} AS ts, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY kind, ts ORDER BY event_id) AS r FROM base) WHERE r = 1")(lambda df: as_day(W.resolve_duplicate_timestamps(df, "ts", "first", "event_id", ["kind"]).select("kind", "ts", "event_id", "value"), "ts"))
@@ -251,7 +258,7 @@ SELECT CAST(threshold AS BIGINT) AS threshold, round(sum(p) OVER w / (SELECT sum
 register("auc", GUESSES, """, c AS (SELECT score, sum(label) AS p, sum(1 - label) AS n FROM base GROUP BY 1), d AS (SELECT p, n, coalesce(sum(n) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM c)
 SELECT round(sum(p * (b + n / 2)) / (sum(p) * sum(n)), 6) AS auc FROM d""")(lambda df: rounded(MM.auc(df)))
 register("best_model", "SELECT n_nationkey AS pos, n_name AS model, CASE WHEN n_nationkey % 7 = 3 THEN NULL ELSE CAST(n_nationkey % 5 AS DOUBLE) END AS score FROM {nation}", "SELECT * FROM base WHERE score IS NOT NULL ORDER BY score DESC, pos LIMIT 1")(lambda df: MM.best_model(df, "score", "pos"))
-register("leaderboard_sort", "SELECT s_name AS Model, s_acctbal AS Test_RMSE FROM {supplier}", "SELECT * FROM base")(lambda df: MM.leaderboard_sort(df, "regression"))
+register("leaderboard_sort", "SELECT s_name AS Model, s_acctbal AS Test_RMSE FROM {supplier}", "SELECT *, row_number() OVER (ORDER BY Test_RMSE, Model) AS position FROM base")(lambda df: as_ordered(MM.leaderboard_sort(df, "regression")))
 register("head", "SELECT o_orderkey, o_totalprice FROM {orders}", "SELECT * FROM base ORDER BY o_orderkey LIMIT 5")(lambda df: MM.head(df, ["o_orderkey"]))
 _LR = "SELECT l_quantity AS x, l_extendedprice AS y FROM {lineitem}"
 
