@@ -37,3 +37,58 @@ def test_order_statistic(spark):
     x = np.concatenate([np.random.default_rng(5).normal(size=300), np.full(200, 0.25), [1e9]])
     df = frame(spark, x[:, None]).selectExpr("v[0] AS d")
     assert [U.order_statistic(df, "d", r, 20) for r in (0, 250, 400, 500)] == np.sort(x)[[0, 250, 400, 500]].tolist()
+
+
+def plain_dbscan(x, ids, eps, least):
+    near = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)) <= eps
+    core = near.sum(1) >= least
+    label = np.where(core, ids, np.iinfo(np.int64).max)
+    while True:
+        lower = np.where(core, np.where(near & core[None], label[None], np.iinfo(np.int64).max).min(1), label)
+        if (lower == label).all():
+            break
+        label = lower
+    border = np.where(near & core[None], label[None], np.iinfo(np.int64).max).min(1)
+    return {int(i): int(c) if c < np.iinfo(np.int64).max else -1 for i, c in zip(ids, np.where(core, label, border), strict=True)}
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_dense_cells_give_the_clusters_of_all_pairs(spark, monkeypatch, seed):
+    monkeypatch.setattr(U, "TILE", 23)
+    rng = np.random.default_rng(seed)
+    # tight groups at about one reach from each other, a cloud between them, copies, and points on the limit
+    heads = rng.uniform(0, 3, (6, 2))
+    parts = [rng.normal(h, 0.15, (40, 2)) for h in heads] + [rng.uniform(-1, 4, (120, 2)), np.repeat(heads[:2] + 0.5, 7, 0), np.array([[9.0, 0], [9.5, 0], [10.0, 0], [10.5, 0]])]
+    x = np.concatenate(parts)
+    ids = rng.permutation(len(x)) * 7 - 900
+    got = {r["id"]: r["cluster"] for r in U.dbscan(frame(spark, x, ids), 0.5 if seed < 3 else 0.2, 4).collect()}
+    assert got == plain_dbscan(x, ids, 0.5 if seed < 3 else 0.2, 4)
+
+
+def test_points_within_one_reach_are_not_compared(spark, monkeypatch):
+    """20,000 points in one eps and a few beside them: rows dealt stay near the points, and all is one cluster."""
+    dealt = []
+    tiles = U._tiles
+
+    def counted(points, reach, asks=None):
+        out, keys = tiles(points, reach, asks)
+        dealt.append(out.count())
+        return out, keys
+
+    monkeypatch.setattr(U, "_tiles", counted)
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.uniform(0, 0.5, (20000, 3)), [[1.2, 0.2, 0.2], [40.0, 0, 0]]])
+    got = {r["id"]: r["cluster"] for r in U.dbscan(frame(spark, x), 1.0, 5).collect()}
+    assert {got[i] for i in range(20001)} == {0} and got[20001] == -1
+    assert sum(dealt) < 4 * len(x)
+
+
+def test_reach_must_be_above_zero(spark):
+    with pytest.raises(ValueError, match="eps"):
+        U.dbscan(frame(spark, np.zeros((3, 2))), 0.0)
+
+
+def test_missing_components_link_with_nothing(spark):
+    rows = [(i, [0.0, float("nan")]) for i in range(6)] + [(10 + i, [0.0, 0.0]) for i in range(6)]
+    got = {r["id"]: r["cluster"] for r in U.dbscan(spark.createDataFrame(rows, "id long, v array<double>"), 1.0, 3).collect()}
+    assert got == {i: -1 for i in range(6)} | {10 + i: 10 for i in range(6)}

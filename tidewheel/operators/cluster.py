@@ -7,10 +7,10 @@ import pandas as pd
 from pyspark.ml.clustering import BisectingKMeans, KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.graph import components, materialise
+from ..functions.graph import components, materialise, union_find
 from ..functions.linear import gram_of
 from ..functions.neighbours import nearest
 from ..functions.quantiles import exact_quantiles
@@ -88,9 +88,10 @@ def _projection(dims: int, size: int = 3, seed: int = 9) -> np.ndarray:
     return np.linalg.qr(np.random.default_rng(seed).normal(size=(dims, min(size, dims))))[0]
 
 
-def _tiles(points: DataFrame, reach: float) -> tuple[DataFrame, list[str]]:
-    """Points (id, v) dealt as candidates: (keys, side, id, v), and the keys. Of any two points within ``reach``
-    the one meets the other in just one tile as side 0, and the reverse in just one.
+def _tiles(points: DataFrame, reach: float, asks: Column | None = None) -> tuple[DataFrame, list[str]]:
+    """Points (id, v, ...) dealt as candidates: (keys, side, id, v, ...), and the keys. Of any two points within ``reach``
+    the one meets the other in just one tile as side 0, and the reverse in just one. Only points for which ``asks`` is
+    true (all, if not given) are side 0; cells without any are not dealt.
 
     Cells of side ``reach`` cut an orthonormal projection of at most 3 dimensions. A projection never lengthens
     distances, so neighbours lie in the same or an adjacent cell; both sides of a cell are cut by its counted size.
@@ -99,20 +100,24 @@ def _tiles(points: DataFrame, reach: float) -> tuple[DataFrame, list[str]]:
     p = _projection(dims)
     here = [f"c{a}" for a in range(p.shape[1])]
     axes = [sum((F.get("v", F.lit(i)) * F.lit(float(p[i, a])) for i in range(dims)), F.lit(0.0)) for a in range(p.shape[1])]
-    cells = points.select("id", "v", *[F.floor(x / F.lit(float(reach) * (1 + 1e-9))).cast("long").alias(c) for c, x in zip(here, axes, strict=True)])
+    cells = points.select(
+        *points.columns,
+        (asks if asks is not None else F.lit(True)).alias("asks"),
+        *[F.floor(x / F.lit(float(reach) * (1 + 1e-9))).cast("long").alias(c) for c, x in zip(here, axes, strict=True)],
+    )
 
     def around(df: DataFrame) -> DataFrame:
         for c in here:
             df = df.withColumn("o", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))).withColumn(c, F.col(c) + F.col("o")).drop("o")
         return df
 
-    count = cells.groupBy(*here).agg(F.count(F.lit(1)).alias("n"))
-    visits = around(count).groupBy(*here).agg(F.ceil(F.sum("n") / TILE).cast("int").alias("kv"))
-    sizes = count.withColumn("kh", F.ceil(F.col("n") / TILE).cast("int")).drop("n").join(visits, here)
+    count = cells.groupBy(*here).agg(F.count(F.lit(1)).alias("n"), F.count_if("asks").alias("h"))
+    visits = around(count.drop("h")).groupBy(*here).agg(F.ceil(F.sum("n") / TILE).cast("int").alias("kv"))
+    sizes = count.filter("h > 0").withColumn("kh", F.ceil(F.col("h") / TILE).cast("int")).drop("n", "h").join(visits, here)
     part = lambda k, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(k)).cast("int")
     every = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
-    home = cells.join(sizes, here).select(*here, part("kh", 1).alias("i"), every("kv").alias("j"), F.lit(0).alias("side"), "id", "v")
-    visit = around(cells).join(sizes, here).select(*here, every("kh").alias("i"), part("kv", 2).alias("j"), F.lit(1).alias("side"), "id", "v")
+    home = cells.filter("asks").join(sizes, here).select(*here, part("kh", 1).alias("i"), every("kv").alias("j"), F.lit(0).alias("side"), *points.columns)
+    visit = around(cells).join(sizes, here).select(*here, every("kh").alias("i"), part("kv", 2).alias("j"), F.lit(1).alias("side"), *points.columns)
     return home.unionByName(visit), [*here, "i", "j"]
 
 
@@ -120,39 +125,139 @@ def _squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.maximum((x**2).sum(1)[:, None] + (y**2).sum(1)[None] - 2 * x @ y.T, 0)
 
 
+def _inside(x: np.ndarray, y: np.ndarray, limit: float):
+    """(start, which rows of y lie within ``limit`` of the 512 rows of x from there on). Sums of squares decide
+    where they are beyond doubt, differences of the points elsewhere."""
+    middle = y.mean(0)
+    x0, y0 = x - middle, y - middle
+    nx, ny = (x0**2).sum(1), (y0**2).sum(1)
+    for i in range(0, len(x), 512):
+        size = nx[i : i + 512, None] + ny[None]
+        over = size - 2 * x0[i : i + 512] @ y0.T - limit**2
+        doubt = 1e-12 * (size + limit**2)
+        inside = over < -doubt
+        r, c = np.nonzero(np.abs(over) <= doubt)
+        for j in range(0, len(r), 65536):
+            a, b = r[j : j + 65536], c[j : j + 65536]
+            inside[a, b] = np.sqrt(((x[i + a] - y[b]) ** 2).sum(1)) <= limit
+        yield i, inside
+
+
+def _sides(pdf: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, np.ndarray, np.ndarray]:
+    a, b = pdf[pdf.side == 0], pdf[pdf.side == 1]
+    return a, b, np.array(a.v.tolist(), float), np.array(b.v.tolist(), float)
+
+
+def _dense_cells(points: DataFrame, limit: float, min_samples: int) -> tuple[DataFrame, DataFrame, float]:
+    """Points (id, v, node), dense cells (id, v, cell), and the side of a cell.
+
+    Cells of all dimensions, so small that any two points of one lie within ``limit``: where one holds ``min_samples``
+    points all are core and of one cluster, whose node is the least id there. Other points have no node.
+    """
+    side = limit / float(np.sqrt(points.select(F.size("v")).first()[0])) * (1 - 1e-6)
+    finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x))
+    gridded = points.withColumn("cell", F.when(finite, F.transform("v", lambda x: F.floor(x / F.lit(side)))))
+    held = gridded.filter("cell is not null").groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min_by("v", "id").alias("v"), F.min("id").alias("node"))
+    exact = F.forall("cell", lambda c: F.abs(c) < 10**9)  # further out the quotient is rounded by too much of a cell
+    dense = materialise(held.filter((F.col("n") >= min_samples) & exact).select(F.col("node").alias("id"), "v", "cell"), "dense")
+    node = dense.select("cell", F.col("id").alias("node"))
+    return materialise(gridded.join(node, "cell", "left").select("id", "v", "node"), "gridded"), dense, side
+
+
+def _links_of_cells(dense: DataFrame, limit: float, side: float) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) between dense cells whose first points reach each other, and the cells (id) that may reach
+    a cell which those links do not join to theirs: only they have to be compared point by point."""
+
+    def linked(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b, x, y = _sides(pdf)
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        if len(a) and len(b):
+            for i, inside in _inside(x, y, limit):
+                r, c = np.nonzero(inside)
+                nodes, roots = union_find(a.id.to_numpy()[i + r], b.id.to_numpy()[c])
+                left.append(roots)
+                right.append(nodes)
+        return pd.DataFrame({"a": np.concatenate(left), "b": np.concatenate(right)})
+
+    def open_cells(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b, x, y = _sides(pdf)
+        found = np.zeros(len(a), bool)
+        if len(a) and len(b):
+            g, h = np.array(a.cell.tolist(), float), np.array(b.cell.tolist(), float)
+            root_a, root_b = a.root.to_numpy(), b.root.to_numpy()
+            for i, near in _inside(x, y, 3 * limit):
+                r, c = np.nonzero(near & (root_a[i : i + 512, None] != root_b[None]))
+                for j in range(0, len(r), 65536):
+                    p, o = i + r[j : j + 65536], c[j : j + 65536]
+                    gap = np.maximum(np.abs(g[p] - h[o]) - 1, 0) * side
+                    found[p[np.sqrt((gap**2).sum(1)) <= limit * (1 + 1e-6)]] = True
+        return pd.DataFrame({"id": a.id.to_numpy()[found]})
+
+    if dense.isEmpty():
+        none = dense.sparkSession.createDataFrame([], "a long, b long")
+        return none, none.select(F.col("a").alias("id"))
+    tiles, keys = _tiles(dense.select("id", "v"), limit)
+    links = materialise(tiles.groupBy(*keys).applyInPandas(linked, "a long, b long").filter("a <> b"), "links")
+    root = components(links).withColumnRenamed("node", "id")
+    rooted = dense.join(root, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    tiles, keys = _tiles(materialise(rooted, "rooted"), 3 * limit)  # first points of cells that reach each other are at most so far apart
+    return links, materialise(tiles.groupBy(*keys).applyInPandas(open_cells, "id long").distinct(), "open")
+
+
 def dbscan(points: DataFrame, eps: float | None = None, min_samples: int = 5) -> DataFrame:
-    """(id, cluster) of points (id, v): -1 is noise; a border point joins the least core cluster within reach.
+    """(id, cluster) of points (id, v), ids distinct: -1 is noise; a border point joins the least core cluster within reach.
 
-    Candidates come from ``_tiles`` and are compared exactly in numpy. Clusters are components of core links,
-    run until nothing changes.
+    No pairs are written. Points of dense cells (``_dense_cells``) are core without being compared. The others count
+    their neighbours tile by tile (``_tiles``, a row a point), then each tile returns the forest of its core links
+    and, for points that are not core, the fewer than ``min_samples`` core points they reach. Of dense cells only those
+    are compared point by point that their first points do not settle. Clusters are components, run until nothing changes.
     """
-    points = points.persist()
+    points = points.select(F.col("id").cast("long").alias("id"), "v")
     if points.isEmpty():
         return points.select("id", F.lit(-1).cast("long").alias("cluster"))
-    if eps is None:
-        eps = auto_eps(points, min_samples)
-    limit = float(eps)
+    limit = float(eps if eps is not None else auto_eps(points, min_samples))
+    if not limit > 0:
+        raise ValueError("eps must be above 0")
 
-    def close(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = pdf[pdf.side == 0], pdf[pdf.side == 1]
-        out_a, out_b = [], []
+    def tally(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b, x, y = _sides(pdf)
+        n = np.zeros(len(a), np.int64)
         if len(a) and len(b):
-            x, y = np.array(a.v.tolist(), float), np.array(b.v.tolist(), float)
-            for i in range(0, len(x), 512):
-                r, c = np.nonzero(np.sqrt(_squares(x[i : i + 512], y)) <= limit + 1e-6 * (1 + limit))
-                exact = np.sqrt(((x[i + r] - y[c]) ** 2).sum(1)) <= limit
-                out_a.append(a.id.to_numpy()[i + r[exact]])
-                out_b.append(b.id.to_numpy()[c[exact]])
-        return pd.DataFrame({"a": np.concatenate(out_a) if out_a else np.zeros(0, np.int64), "b": np.concatenate(out_b) if out_b else np.zeros(0, np.int64)})
-
-    tiles, keys = _tiles(points, limit)
-    links = materialise(tiles.groupBy(*keys).applyInPandas(close, "a long, b long"), "links")
-    core = links.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_samples).select("a").persist()
-    edges = links.filter("a < b").join(core, "a", "left_semi").join(core.withColumnRenamed("a", "b"), "b", "left_semi")
-    root = components(edges.select("a", "b")).withColumnRenamed("node", "a")
-    label = core.join(root, "a", "left").select(F.col("a").alias("id"), F.coalesce("root", "a").alias("label"))
-    border = links.join(label.withColumnRenamed("id", "b"), "b").join(core, "a", "left_anti").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("label"))
-    return points.select("id").join(label.unionByName(border), "id", "left").select("id", F.coalesce("label", F.lit(-1)).alias("cluster"))
+            for i, inside in _inside(x, y, limit):
+                n[i : i + 512] = inside.sum(1)
+        return pd.DataFrame({"id": a.id.to_numpy(), "n": n})
+
+    def forest(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b, x, y = _sides(pdf[(pdf.side == 0) | pdf.core])
+        empty = np.zeros(0, np.int64)
+        links, border = [(empty, empty)], [(empty, empty)]
+        if len(a) and len(b):
+            core, ids, own, reached = a.core.to_numpy(), a.id.to_numpy(), a.node.to_numpy(), b.node.to_numpy()
+            for i, inside in _inside(x, y, limit):
+                r, c = np.nonzero(inside)
+                of_core = core[i + r]
+                links.append(union_find(own[i + r[of_core]], reached[c[of_core]])[::-1])
+                border.append((ids[i + r[~of_core]], reached[c[~of_core]]))
+        nodes, roots = union_find(*(np.concatenate(s) for s in zip(*links, strict=True)))
+        at, to = (np.concatenate(s) for s in zip(*border, strict=True))
+        joined = nodes != roots
+        return pd.DataFrame({"a": np.concatenate([roots[joined], at]), "b": np.concatenate([nodes[joined], to]), "border": np.arange(joined.sum() + len(at)) >= joined.sum()})
+
+    gridded, dense, side = _dense_cells(points, limit, min_samples)
+    tiles, keys = _tiles(gridded, limit, F.col("node").isNull())
+    counts = tiles.select(*keys, "side", "id", "v").groupBy(*keys).applyInPandas(tally, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    core = counts.filter(F.col("n") >= min_samples).select("id", F.lit(True).alias("counted"))
+    links, unsettled = _links_of_cells(dense, limit, side)
+    state = gridded.join(core, "id", "left").join(unsettled.select(F.col("id").alias("node"), F.lit(True).alias("again")), "node", "left")
+    state = state.select("id", "v", F.coalesce("node", "id").alias("node"), (F.col("node").isNotNull() | F.col("counted").isNotNull()).alias("core"), (F.col("node").isNull() | F.col("again").isNotNull()).alias("ask"))
+    state = materialise(state, "state")
+    tiles, keys = _tiles(state, limit, F.col("ask"))
+    found = materialise(tiles.select(*keys, "side", "id", "v", "node", "core").groupBy(*keys).applyInPandas(forest, "a long, b long, border boolean"), "forest")
+    root = components(links.unionByName(found.filter("not border").select("a", "b")))
+    label = root.select("node", F.col("root").alias("label"))
+    inner = state.filter("core").select("id", "node").join(label, "node", "left").select("id", F.coalesce("label", "node").alias("cluster"))
+    reached = found.filter("border").select(F.col("a").alias("id"), F.col("b").alias("node")).join(label, "node", "left").groupBy("id").agg(F.min(F.coalesce("label", "node")).alias("label"))
+    return inner.unionByName(state.filter("not core").select("id").join(reached, "id", "left").select("id", F.coalesce("label", F.lit(-1)).alias("cluster")))
 
 
 def auto_eps(points: DataFrame, min_samples: int = 5, sample: int = 2000) -> float:
