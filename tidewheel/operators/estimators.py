@@ -21,6 +21,7 @@ from ..functions.graph import materialise
 from ..functions.neighbours import nearest
 from . import metrics
 from .columns import one_row, q
+from .fold_grams import DEFAULTS, LINEAR_GRIDS, choices, fold_grams, measure_linear, tune_linear
 
 FEATURES, LABEL, PREDICTION = "features", "label", "prediction"
 
@@ -283,27 +284,53 @@ def cross_validate(estimator: Estimator, folds: DataFrame, task: str, average: s
     return {n: float(np.mean([g[n] for g in got])) for n in got[0]} if got else {}
 
 
-#: Parameter grids by model (fixed values).
+#: Parameter grids by model (fixed values). Linear ones are in ``fold_grams``; 30 is the deepest tree that Spark grows,
+#: and the least size of a split node, which has no counterpart, is not searched.
 GRIDS: dict[str, dict[str, list]] = {
-    "RandomForest": {"numTrees": [50, 100], "maxDepth": [5, 10]},
-    "GradientBoosting": {"maxIter": [50, 100], "maxDepth": [3, 5]},
+    "RandomForest": {"numTrees": [100, 200], "maxDepth": [10, 20, 30]},
+    "GradientBoosting": {"maxIter": [100, 200], "stepSize": [0.01, 0.1], "maxDepth": [3, 5]},
     "DecisionTree": {"maxDepth": [5, 10]},
+    "KNN": {"k": [3, 5, 7], "weighted": [False, True]},
+    "LogisticRegression": {"C": [0.1, 1.0, 10.0]},
+    "LinearSVC": {"C": [0.1, 1.0, 10.0]},
 }
 
 
+def with_values(estimator, values: dict, rows: int):
+    """A copy of an estimator with other parameters; C is the inverse of Spark's penalty, which is per row."""
+    if isinstance(estimator, NearestNeighbours):
+        return NearestNeighbours(estimator.task, **({"k": estimator.k, "weighted": estimator.weighted} | values))
+    if isinstance(estimator, C.OneVsRest):
+        return C.OneVsRest(classifier=with_values(estimator.getClassifier(), values, rows))
+    named = {("regParam" if n == "C" else n): (1.0 / (v * max(rows, 1)) if n == "C" else v) for n, v in values.items()}
+    return estimator.copy({estimator.getParam(n): v for n, v in named.items()})
+
+
 def grid_search(estimator: Estimator, grid: dict[str, list], folds: DataFrame, task: str, threads: int = 4) -> tuple[Estimator, dict[str, float]]:
     """The estimator with the grid values of best mean fold measure (RMSE or accuracy); fits run in a driver thread pool."""
-    from itertools import product
-
-    names = list(grid)
-    choices = [dict(zip(names, values, strict=True)) for values in product(*grid.values())]
-    ready = [estimator.copy({estimator.getParam(n): v for n, v in c.items()}) for c in choices]
+    n = folds.count() if "C" in grid else 0
+    ready = [with_values(estimator, c, n) for c in choices(grid)]
     with ThreadPoolExecutor(threads) as pool:
         scores = list(pool.map(lambda e: cross_validate(e, folds, task), ready))
     best = min(range(len(ready)), key=lambda i: scores[i]["CV_RMSE"] if task == "regression" else -scores[i]["CV_Accuracy"])
     return ready[best], scores[best]
 
 
+def linear_on_folds(folds: DataFrame, train: DataFrame, names: list[str], tune: bool) -> tuple[dict[str, Estimator], dict[str, dict[str, float]]]:
+    """Linear models of ``names`` ready to fit on ``train``, and their measures on the time folds: two passes for all
+    of them, with every grid value tried when ``tune`` is set, and no refit on a fold."""
+    grams = fold_grams(folds)
+    values = {n: tune_linear(grams, n)[0] if tune and n in LINEAR_GRIDS else DEFAULTS[n] for n in names}
+    made = {
+        "LinearRegression": lambda v: linear_regression(),
+        "Ridge": lambda v: ridge(train, v["alpha"]),
+        "KernelRidge": lambda v: ridge(train, v["alpha"], intercept=False),
+        "Lasso": lambda v: lasso(v["alpha"]),
+        "ElasticNet": lambda v: elastic_net(train, v["alpha"], v["l1_ratio"]),
+    }
+    return {n: made[n](v) for n, v in values.items()}, dict(zip(values, measure_linear(folds, grams, list(values.items())), strict=True))
+
+
 def feature_importance(model, features: list[str]) -> DataFrame:
     """(feature, importance) of a tree model, largest first."""
     from pyspark.sql import SparkSession

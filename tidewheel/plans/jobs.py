@@ -258,9 +258,12 @@ def train_series(df: DataFrame, ts: str, target: str, task: str = "regression",
     make = M.regressors if task == "regression" else M.classifiers
     estimators = make(train, models, trees)
     folds = WA.time_series_folds(train, ts, splits).persist()
+    linear = [n for n in estimators if n in M.DEFAULTS]
+    ready, measured = M.linear_on_folds(folds, train, linear, tune) if linear else ({}, {})
+    estimators |= ready
     if tune:
-        estimators = {n: M.grid_search(e, M.GRIDS[n], folds, task)[0] if n in M.GRIDS else e for n, e in estimators.items()}
-    cv = {n: M.cross_validate(e, folds, task) for n, e in estimators.items()}
+        estimators |= {n: M.grid_search(e, M.GRIDS[n], folds, task)[0] for n, e in estimators.items() if n in M.GRIDS}
+    cv = {n: measured[n] if n in measured else M.cross_validate(e, folds, task) for n, e in estimators.items()}
     out = M.train_and_rank(estimators, train, test, task)
     names = list(next(iter(cv.values())))
     table = train.sparkSession.createDataFrame([(n, *[float(v[k]) for k in names]) for n, v in cv.items()], ", ".join(["Model string", *[f"{k} double" for k in names]]))

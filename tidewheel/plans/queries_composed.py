@@ -235,6 +235,46 @@ def _balanced(df: DataFrame) -> DataFrame:
 register("run_regression", queries._RAW)(lambda df: E.run(df, "regression", "price", models=["LinearRegression", "Ridge"]).clean)
 queries._SQL["run_regression"] = queries._SQL["preprocess_tabular"]
 
+# --- penalties on time folds: every grid value from one pass -------------------------------------
+#: Daily totals in thousands, so that penalties of 0.1 to 100 tell.
+_THOUSANDS = f"SELECT ts, y / 1000.0 AS y FROM ({DAILY})"
+
+
+def _ridge_folds(df: DataFrame) -> DataFrame:
+    rows = WA.time_series_folds(W.lag_features(df.select("ts", "y"), "ts", "y", (1, 7)).dropna(), "ts", 3)
+    folds = M.prepared(rows, ["y_lag_1", "y_lag_7"], "y")
+    tried = M.choices(M.LINEAR_GRIDS["Ridge"])
+    grams = M.fold_grams(folds)
+    best, rmse = M.tune_linear(grams, "Ridge")
+    measured = M.measure_linear(folds, grams, [("Ridge", v) for v in tried])
+    table = [(v["alpha"], r, m["CV_MAE"], m["CV_R2"], v == best) for v, r, m in zip(tried, rmse, measured, strict=True)]
+    return rounded(df.sparkSession.createDataFrame(table, "alpha double, cv_rmse double, cv_mae double, cv_r2 double, best boolean"))
+
+
+register(
+    "tune_ridge",
+    _THOUSANDS,
+    """, r AS (SELECT y, lag(y, 1) OVER o AS a, lag(y, 7) OVER o AS b, row_number() OVER o AS i FROM base WINDOW o AS (ORDER BY ts)),
+w AS (SELECT y, a, b, row_number() OVER (ORDER BY i) AS r, count(*) OVER () AS n FROM r WHERE y IS NOT NULL AND a IS NOT NULL AND b IS NOT NULL),
+f AS (SELECT y, a, b, CASE WHEN r <= n - 3 * (n // 4) THEN 0 ELSE 1 + (r - 1 - (n - 3 * (n // 4))) // (n // 4) END AS fold FROM w),
+m AS (
+  SELECT k, avg(y) AS my, avg(a) AS ma, avg(b) AS mb,
+    var_pop(a) * count(*) AS aa, var_pop(b) * count(*) AS bb, covar_pop(a, b) * count(*) AS ab,
+    covar_pop(a, y) * count(*) AS ay, covar_pop(b, y) * count(*) AS cy
+  FROM f JOIN (SELECT unnest([1, 2, 3]) AS k) ON fold < k GROUP BY k
+),
+p AS (SELECT m.*, alpha, (aa + alpha) * (bb + alpha) - ab * ab AS det FROM m, (SELECT CAST(unnest([0.1, 1.0, 10.0, 100.0]) AS DOUBLE) AS alpha)),
+c AS (SELECT k, alpha, my, ma, mb, (ay * (bb + alpha) - cy * ab) / det AS wa, (cy * (aa + alpha) - ay * ab) / det AS wb FROM p),
+e AS (
+  SELECT alpha, k, sqrt(avg(pow(y - my - wa * (a - ma) - wb * (b - mb), 2))) AS rmse,
+    avg(abs(y - my - wa * (a - ma) - wb * (b - mb))) AS mae,
+    1 - avg(pow(y - my - wa * (a - ma) - wb * (b - mb), 2)) / var_pop(y) AS r2
+  FROM f JOIN c ON fold = k GROUP BY 1, 2
+),
+s AS (SELECT alpha, avg(rmse) AS rmse, avg(mae) AS mae, avg(r2) AS r2 FROM e GROUP BY 1)
+SELECT alpha, round(rmse, 6) AS cv_rmse, round(mae, 6) AS cv_mae, round(r2, 6) AS cv_r2, row_number() OVER (ORDER BY rmse, alpha) = 1 AS best FROM s""",
+)(_ridge_folds)
+
 # --- clustering: the whole embedding -------------------------------------------------------------
 _DIMS = 64
 _COLUMNS = [f"e{i}" for i in range(_DIMS)]
