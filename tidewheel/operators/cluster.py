@@ -14,6 +14,7 @@ from ..functions.graph import components, materialise, union_find
 from ..functions.linear import gram_of
 from ..functions.neighbours import nearest
 from ..functions.quantiles import exact_quantiles
+from ..plans.workers import ship
 from .columns import column_groups, q
 from .transforms import fit_scaler
 
@@ -212,6 +213,7 @@ def dbscan(points: DataFrame, eps: float | None = None, min_samples: int = 5) ->
     and, for points that are not core, the fewer than ``min_samples`` core points they reach. Of dense cells only those
     are compared point by point that their first points do not settle. Clusters are components, run until nothing changes.
     """
+    ship(points.sparkSession)
     points = points.select(F.col("id").cast("long").alias("id"), "v")
     if points.isEmpty():
         return points.select("id", F.lit(-1).cast("long").alias("cluster"))
