@@ -92,3 +92,23 @@ def test_missing_components_link_with_nothing(spark):
     rows = [(i, [0.0, float("nan")]) for i in range(6)] + [(10 + i, [0.0, 0.0]) for i in range(6)]
     got = {r["id"]: r["cluster"] for r in U.dbscan(spark.createDataFrame(rows, "id long, v array<double>"), 1.0, 3).collect()}
     assert got == {i: -1 for i in range(6)} | {10 + i: 10 for i in range(6)}
+
+
+def test_silhouette_of_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(U, "TILE", 20)
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(0, 1, (40, 3)), rng.normal(3, 1, (25, 3)), [[9.0, 9, 9]], np.zeros((4, 3))])
+    label = np.array([0] * 40 + [5] * 25 + [7] + [8] * 4)
+    rows = [(i, [float(v) for v in r], int(c)) for i, (r, c) in enumerate(zip(x, label, strict=True))] + [(99, [float("nan")] * 3, 0), (98, [0.0] * 3, None)]
+    got = {r["id"]: r for r in U.silhouette_rows(spark.createDataFrame(rows, "id long, v array<double>, cluster int")).collect()}
+    assert set(got) == set(range(len(x)))
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    for i, c in enumerate(label):
+        own, outer = (label == c).sum() - 1, min(d[i, label == o].mean() for o in {0, 5, 7, 8} - {int(c)})
+        inner = d[i, label == c].sum() / own if own else None
+        assert got[i]["outer"] == pytest.approx(outer)
+        assert got[i]["inner"] == (None if inner is None else pytest.approx(inner))
+        assert got[i]["silhouette"] == pytest.approx(0 if inner is None else (outer - inner) / max(inner, outer))
+    one = U.silhouette_rows(spark.createDataFrame(rows[:5], "id long, v array<double>, cluster int")).collect()
+    assert {(r["outer"], r["silhouette"]) for r in one} == {(None, 0.0)}
+    assert U.silhouette_rows(spark.createDataFrame([], "id long, v array<double>, cluster int")).count() == 0

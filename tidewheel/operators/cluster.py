@@ -42,6 +42,49 @@ def silhouette(df: DataFrame, prediction: str = "prediction") -> float:
     return ClusteringEvaluator(predictionCol=prediction).evaluate(df.withColumn(prediction, q(prediction).cast("double")))
 
 
+def silhouette_rows(points: DataFrame) -> DataFrame:
+    """(id, cluster, inner, outer, silhouette) of points (id, v, cluster), ids distinct, with Euclidean distances.
+
+    ``inner`` is the mean distance to the others of a point's cluster, ``outer`` the least mean distance to another
+    cluster. A cluster of one point has no ``inner`` and silhouette 0; so has every point (without ``outer``) where
+    there is one cluster only. Points without a cluster or with missing or non-finite components are left out.
+
+    Exact, so every pair is compared from either side, block by block: work is the square of the points. A tile
+    returns one sum for each point and cluster it meets, which Spark adds up by point.
+    """
+    ship(points.sparkSession)
+    finite = F.forall("v", lambda x: x.isNotNull() & (F.abs(x) < float("inf")))
+    named = points.select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v"), F.col("cluster").cast("long").alias("cluster"))
+    rows = materialise(named.filter(F.col("cluster").isNotNull() & finite), "points")
+    blocks = max(1, -(-rows.count() // TILE))
+    part = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    sides = rows.select(part.alias("i"), every.alias("j"), F.lit(0).alias("side"), "*").unionByName(rows.select(every.alias("i"), part.alias("j"), F.lit(1).alias("side"), "*"))
+
+    def sums(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b, x, y = _sides(pdf)
+        if not len(a) or not len(b):
+            return pd.DataFrame({"id": np.zeros(0, np.int64), "cluster": np.zeros(0, np.int64), "other": np.zeros(0, np.int64), "s": np.zeros(0)})
+        others, of = np.unique(b.cluster.to_numpy(), return_inverse=True)
+        member = np.eye(len(others))[of]
+        total = np.zeros((len(a), len(others)))
+        step = max(1, 2**22 // (len(y) * x.shape[1]))  # differences, as sums of squares lose near points
+        for i in range(0, len(x), step):
+            total[i : i + step] = np.sqrt(((x[i : i + step, None] - y[None]) ** 2).sum(2)) @ member
+        k = len(others)
+        return pd.DataFrame({"id": a.id.to_numpy().repeat(k), "cluster": a.cluster.to_numpy().repeat(k), "other": np.tile(others, len(a)), "s": total.ravel()})
+
+    found = sides.groupBy("i", "j").applyInPandas(sums, "id long, cluster long, other long, s double").groupBy("id", "cluster", "other").agg(F.sum("s").alias("s"))
+    sizes = rows.groupBy(F.col("cluster").alias("other")).agg(F.count(F.lit(1)).alias("n"))
+    own = F.col("other") == F.col("cluster")
+    means = found.join(sizes, "other").groupBy("id", "cluster").agg(
+        F.max(F.when(own & (F.col("n") > 1), F.col("s") / (F.col("n") - 1))).alias("inner"), F.min(F.when(~own, F.col("s") / F.col("n"))).alias("outer")
+    )
+    most = F.greatest("inner", "outer")
+    known = F.col("inner").isNotNull() & F.col("outer").isNotNull() & (most > 0)
+    return means.withColumn("silhouette", F.when(known, (F.col("outer") - F.col("inner")) / F.when(most > 0, most)).otherwise(0.0))
+
+
 def scatter_scores(df: DataFrame, cols: list[str], cluster: str = "prediction") -> dict[str, float]:
     """Calinski-Harabasz and Davies-Bouldin from centroids and dispersions by cluster; two aggregations."""
     points = df.select(q(cluster).alias("c"), *[q(c).alias(f"x{i}") for i, c in enumerate(cols)])  # own names, whatever the table's are

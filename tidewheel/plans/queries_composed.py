@@ -309,6 +309,19 @@ SELECT round((SELECT ss FROM b) / ((SELECT count(*) FROM k) - 1) / ((SELECT sum(
   round((SELECT avg(x) FROM r), 6) AS davies_bouldin""",
     _scores,
 )
+_with_sql(
+    "silhouette_rows",
+    """WITH e AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+k AS (SELECT label, count(*) AS n FROM e GROUP BY 1),
+d AS (SELECT a.id, a.label, b.label AS other, sum(list_distance(a.v, b.v)) AS s FROM e a JOIN e b ON a.id <> b.id GROUP BY 1, 2, 3),
+m AS (
+  SELECT id, d.label AS cluster, max(CASE WHEN other = d.label THEN s / (n - 1) END) AS a, min(CASE WHEN other <> d.label THEN s / n END) AS b
+  FROM d JOIN k ON k.label = other GROUP BY 1, 2
+)
+SELECT id, CAST(cluster AS BIGINT) AS cluster, round(a, 6) AS "inner", round(b, 6) AS "outer",
+  round(coalesce((b - a) / nullif(greatest(a, b), 0), 0), 6) AS silhouette FROM m""",
+    lambda df: rounded(U.silhouette_rows(df.select("id", F.array(*_COLUMNS).alias("v"), F.col("label").alias("cluster")))),
+)
 _with_sql("prepare_matrix", f"WITH {_LONG}, {_Z} SELECT id, CAST(i AS INTEGER) AS component, round(v, 6) AS value FROM z", lambda df: _unpacked(U.prepare_matrix(df, _COLUMNS)[0]))
 _with_sql(
     "pca_moments",  # the sum of all variances and of their squares, which need no eigenvalue
