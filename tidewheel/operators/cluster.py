@@ -144,11 +144,12 @@ def _tiles(points: DataFrame, reach: float, asks: Column | None = None) -> tuple
     p = _projection(dims)
     here = [f"c{a}" for a in range(p.shape[1])]
     axes = [sum((F.get("v", F.lit(i)) * F.lit(float(p[i, a])) for i in range(dims)), F.lit(0.0)) for a in range(p.shape[1])]
-    cells = points.select(
+    cut = points.select(
         *points.columns,
         (asks if asks is not None else F.lit(True)).alias("asks"),
         *[F.floor(x / F.lit(float(reach) * (1 + 1e-9))).cast("long").alias(c) for c, x in zip(here, axes, strict=True)],
     )
+    cells = materialise(cut, "cells")  # projected once, for the counts and both sides
 
     def around(df: DataFrame) -> DataFrame:
         for c in here:
@@ -238,8 +239,8 @@ def _links_of_cells(dense: DataFrame, limit: float, side: float) -> tuple[DataFr
         return pd.DataFrame({"id": a.id.to_numpy()[found]})
 
     if dense.isEmpty():
-        none = dense.sparkSession.createDataFrame([], "a long, b long")
-        return none, none.select(F.col("a").alias("id"))
+        none = dense.sparkSession.range(0)
+        return none.select(F.col("id").alias("a"), F.col("id").alias("b")), none
     tiles, keys = _tiles(dense.select("id", "v"), limit)
     links = materialise(tiles.groupBy(*keys).applyInPandas(linked, "a long, b long").filter("a <> b"), "links")
     root = components(links).withColumnRenamed("node", "id")
@@ -291,7 +292,7 @@ def dbscan(points: DataFrame, eps: float | None = None, min_samples: int = 5) ->
     gridded, dense, side = _dense_cells(points, limit, min_samples)
     tiles, keys = _tiles(gridded, limit, F.col("node").isNull())
     counts = tiles.select(*keys, "side", "id", "v").groupBy(*keys).applyInPandas(tally, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
-    core = counts.filter(F.col("n") >= min_samples).select("id", F.lit(True).alias("counted"))
+    core = materialise(counts.filter(F.col("n") >= min_samples).select("id", F.lit(True).alias("counted")), "core")
     links, unsettled = _links_of_cells(dense, limit, side)
     state = gridded.join(core, "id", "left").join(unsettled.select(F.col("id").alias("node"), F.lit(True).alias("again")), "node", "left")
     state = state.select("id", "v", F.coalesce("node", "id").alias("node"), (F.col("node").isNotNull() | F.col("counted").isNotNull()).alias("core"), (F.col("node").isNull() | F.col("again").isNotNull()).alias("ask"))
