@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.ml.clustering import BisectingKMeans, KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +15,7 @@ from ..functions.graph import components, materialise, union_find
 from ..functions.linear import gram_of
 from ..functions.neighbours import nearest
 from ..functions.quantiles import exact_quantiles
+from ..functions.summaries import clustering_features, squares, ward_labels
 from ..plans.workers import ship
 from .columns import column_groups, q
 from .transforms import fit_scaler
@@ -369,33 +371,35 @@ def order_statistic(df: DataFrame, c: str, rank: int, most: int = 10_000) -> flo
         df, rank = df.filter(of == b), rank - before
 
 
-def ward_labels(centres: np.ndarray, sizes: np.ndarray, k: int) -> np.ndarray:
-    """Cluster of each centre after weighted Ward merges down to ``k``; at most about a thousand centres."""
-    m, n = centres.astype(float).copy(), sizes.astype(float).copy()
-    label = np.arange(len(m))
-    alive = list(range(len(m)))
-    while len(alive) > max(k, 1):
-        x, w = m[alive], n[alive]
-        d = ((x[:, None] - x[None]) ** 2).sum(2) * (w[:, None] * w[None]) / (w[:, None] + w[None])
-        np.fill_diagonal(d, np.inf)
-        i, j = sorted(np.unravel_index(np.argmin(d), d.shape))
-        a, b = alive[i], alive[j]
-        m[a] = (m[a] * n[a] + m[b] * n[b]) / (n[a] + n[b])
-        n[a] += n[b]
-        label[label == b] = a
-        alive.pop(j)
-    return np.searchsorted(np.array(alive), label)
-
-
-def hierarchical(df: DataFrame, k: int, micro: int = 200, seed: int = 42) -> DataFrame:
-    """``df`` with prediction: k-means micro-clusters on Spark, weighted Ward merges of their centres on the driver."""
-    n = df.count()
-    model = KMeans(k=max(k, min(micro, n)), seed=seed, maxIter=20).fit(df)
-    sizes = np.array(model.summary.clusterSizes, float)
-    centres = np.array(model.clusterCenters())
-    label = ward_labels(centres, np.maximum(sizes[: len(centres)], 1e-9), k)
-    table = df.sparkSession.createDataFrame([(i, int(x)) for i, x in enumerate(label)], "micro int, prediction int")
-    return model.transform(df).withColumnRenamed("prediction", "micro").join(F.broadcast(table), "micro").drop("micro")  # a row a micro-cluster
+def hierarchical(df: DataFrame, k: int, leaves: int = 1000) -> DataFrame:
+    """``df`` with prediction, a cluster of Ward's merges down to ``k``, the largest first.
+
+    The merges are those of all points where at most ``leaves`` of them are distinct, else those of clustering features
+    (``clustering_features``), which Spark folds; the driver holds the features only. Every row takes the cluster of its
+    nearest feature. Rows whose vector is null or has missing or non-finite components have no prediction; with fewer
+    distinct points than ``k`` each is a cluster.
+    """
+    held = clustering_features(df.select(vector_to_array("features").alias("v")), leaves).collect()  # at most ``leaves`` rows
+    if not held:
+        return df.withColumn("prediction", F.lit(None).cast("int"))
+    sizes, centres = np.array([r["n"] for r in held]), np.array([r["mean"] for r in held])
+    found = ward_labels(centres, sizes, k)
+    rows_of = np.bincount(found, sizes)
+    first = np.array([min(map(tuple, centres[found == c])) for c in range(len(rows_of))])
+    order = np.lexsort([*first.T[::-1], -rows_of])  # the last key counts first
+    label = np.argsort(order)[found]
+
+    @F.pandas_udf("int")
+    def nearest_leaf(v: pd.Series) -> pd.Series:
+        out = np.full(len(v), -1)
+        there = np.array([x is not None and len(x) == centres.shape[1] and np.isfinite(np.asarray(x, float)).all() for x in v], bool)
+        at = np.flatnonzero(there)
+        for i in range(0, len(at), 4096):
+            x = np.stack(v.iloc[at[i : i + 4096]].to_list()).astype(float)
+            out[at[i : i + 4096]] = label[squares(x, centres).argmin(1)]
+        return pd.Series(out)
+
+    return df.withColumn("prediction", nearest_leaf(vector_to_array("features"))).withColumn("prediction", F.expr("nullif(prediction, -1)"))
 
 
 def bisecting(df: DataFrame, k: int, seed: int = 42) -> DataFrame:

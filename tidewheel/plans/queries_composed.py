@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.graph import fresh_path
+from ..functions.summaries import clustering_features
 from ..operators import cluster as U
 from ..operators import estimators as M
 from ..operators import profile as A
@@ -332,6 +333,16 @@ SELECT round(sum(CASE WHEN i = j THEN r END), 5) AS total, round(sum(r * r), 5)
 )
 
 
+def _feature_moments(features: DataFrame) -> DataFrame:
+    long = features.select("n", "ss", F.posexplode("mean").alias("component", "m"))
+    inner = F.sum(F.when(F.col("component") == 0, F.col("ss")))
+    means = long.groupBy("component").agg(
+        F.sum("n").alias("n"), F.try_divide(F.sum(F.col("n") * F.col("m")), F.sum("n")).alias("mean"), F.sum(F.col("n") * F.col("m") * F.col("m")).alias("q"), inner.alias("ss")
+    )
+    squares = F.coalesce("ss", F.lit(0.0)) + F.col("q") - F.col("n") * F.col("mean") * F.col("mean")
+    return means.agg(F.max("n").alias("n"), F.round(F.sum(F.col("mean") * (F.col("component") + 1)), 6).alias("weighted_means"), F.round(F.sum(squares), 5).alias("squares"))
+
+
 def _unpacked(df: DataFrame) -> DataFrame:
     return df.select("id", F.posexplode(F.array(*_COLUMNS)).alias("component", "value")).select("id", "component", F.round("value", 6).alias("value"))
 
@@ -340,6 +351,12 @@ register("kmeans_sweep", _EMBEDDED)(lambda df: U.kmeans_sweep(U.prepare_matrix(d
 register("kmeans_sizes", _EMBEDDED)(lambda df: U.kmeans_fit(U.prepare_matrix(df, _COLUMNS)[0], 3)[1])
 _with_sql("kmeans_rows", "SELECT count(*) AS n FROM embeddings", lambda df: U.kmeans_fit(U.prepare_matrix(df, _COLUMNS)[0], 3)[1].agg(F.sum("n").alias("n")))
 register("dbscan", _EMBEDDED)(lambda df: U.dbscan(df.select("id", F.array(*_COLUMNS).alias("v"))))
+_with_sql(
+    "clustering_features",  # features of far fewer leaves than points still hold all counts, means and squares
+    f"""WITH {_LONG}, m AS (SELECT i, count(*) AS n, avg(v) AS m, sum((v - a) ** 2) AS s FROM x JOIN (SELECT i AS j, avg(v) AS a FROM x GROUP BY 1) t ON i = j GROUP BY 1)
+SELECT max(n) AS n, round(sum(m * (i + 1)), 6) AS weighted_means, round(sum(s), 5) AS squares FROM m""",
+    lambda df: _feature_moments(clustering_features(df.select(F.array(*_COLUMNS).alias("v")), 64)),
+)
 register("hierarchical_sizes", _EMBEDDED)(lambda df: U.cluster_sizes(U.hierarchical(U.prepare_matrix(df, _COLUMNS)[0], 4), "prediction"))
 register("pca_report", _EMBEDDED)(lambda df: U.pca_report(df, _COLUMNS))
 register("pca_project", _EMBEDDED)(lambda df: U.pca_project(df, _COLUMNS).select("id", "pc1", "pc2"))
