@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..functions.distinct import distinct_counts
 from ..functions.linear import gram, inverse_factors
 from ..functions.quantiles import exact_quantiles
 from .columns import column_groups, one_row, q
@@ -22,16 +23,18 @@ def unpivot_row(one: DataFrame, cells: list[tuple[tuple, list[Column]]], names:
     return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
-def profile(df: DataFrame) -> DataFrame:
-    """(column, type, n, missing, distinct) for every column, and a row ``*`` of rows, null cells and duplicate rows."""
-    cols = df.columns
-    one = df.agg(F.count(F.lit(1)).alias("rows"), *[F.count(q(c)).alias(f"n{i}") for i, c in enumerate(cols)], *[F.count_distinct(q(c)).alias(f"d{i}") for i, c in enumerate(cols)])
-    kinds = dict(df.dtypes)
-    by = unpivot_row(one, [((c, kinds[c]), [F.col(f"n{i}"), F.col("rows") - F.col(f"n{i}"), F.col(f"d{i}")]) for i, c in enumerate(cols)], ["column", "type", "n", "missing", "distinct"])
-    repeats = df.groupBy(*[q(c) for c in cols]).agg(F.count(F.lit(1)).alias("__k")).agg(F.coalesce(F.sum(F.col("__k") - 1), F.lit(0)).alias("duplicates"), F.coalesce(F.sum("__k"), F.lit(0)).alias("rows"))
-    cells = by.agg(F.sum("missing").alias("missing"))
-    whole = repeats.crossJoin(cells).select(F.lit("*").alias("column"), F.lit("table").alias("type"), F.col("rows").alias("n"), "missing", F.col("duplicates").alias("distinct"))  # one row each
-    return by.unionByName(whole)
+def profile(df: DataFrame, exact: bool = True) -> DataFrame:
+    """(column, type, n, missing, distinct) for every column, and a row ``*`` of rows, null cells and duplicate rows.
+
+    One pass for all of it (``distinct_counts``); not exact, distinct values and duplicates are estimates from sketches.
+    """
+    cols, kinds = df.columns, dict(df.dtypes)
+    one = distinct_counts(df, cols, exact)
+    gone = lambda i: F.col("rows") - F.col(f"n{i}")
+    repeats = F.greatest(F.col("rows") - F.col("distinct_rows"), F.lit(0))
+    whole = (("*", "table"), [F.col("rows"), sum((gone(i) for i in range(len(cols))), F.lit(0)), repeats])
+    cells = [((c, kinds[c]), [F.col(f"n{i}"), gone(i), F.col(f"d{i}")]) for i, c in enumerate(cols)]
+    return unpivot_row(one, [*cells, whole], ["column", "type", "n", "missing", "distinct"])
 
 
 def describe(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
@@ -53,9 +56,10 @@ def value_counts(df: DataFrame, col: str, top: int | None = 10) -> DataFrame:
     return out.orderBy(F.desc("n"), "value").limit(top) if top else out
 
 
-def cardinality_report(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
+def cardinality_report(df: DataFrame, cols: list[str] | None = None, exact: bool = True) -> DataFrame:
+    """(column, distinct, share of the rows) of text columns; estimates where not ``exact``."""
     cols = cols if cols is not None else column_groups(df).string
-    one = df.agg(F.count(F.lit(1)).alias("rows"), *[F.count_distinct(q(c)).alias(f"d{i}") for i, c in enumerate(cols)])
+    one = distinct_counts(df.select(*[q(c) for c in cols]), cols, exact) if cols else df.limit(0)
     return unpivot_row(one, [((c,), [F.col(f"d{i}"), F.try_divide(F.col(f"d{i}"), F.col("rows"))]) for i, c in enumerate(cols)], ["column", "distinct", "share"])
 
 

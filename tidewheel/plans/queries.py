@@ -134,6 +134,18 @@ SELECT 'qty' AS "column", 'double' AS type, count(qty) AS n, count(*) - count(qt
 UNION ALL SELECT 'tax', 'double', count(tax), count(*) - count(tax), count(DISTINCT tax) FROM s
 UNION ALL SELECT 'flag', 'string', count(flag), count(*) - count(flag), count(DISTINCT flag) FROM s
 UNION ALL SELECT '*', 'table', count(*), 3 * count(*) - count(qty) - count(tax) - count(flag), count(*) - (SELECT count(*) FROM (SELECT DISTINCT qty, tax, flag FROM s)) FROM s""")(lambda df: A.profile(df.select("qty", "tax", "flag")))
+#: Columns of lineitem with their types in Spark; one is null where the line has a discount.
+_WIDE = {"l_orderkey": "bigint", "l_partkey": "bigint", "l_suppkey": "bigint", "l_quantity": "double", "l_extendedprice": "double", "undiscounted": "double", "l_returnflag": "string"}
+_WIDE_SQL = """SELECT l_orderkey, l_partkey, l_suppkey, CAST(l_quantity AS DOUBLE) AS l_quantity, CAST(l_extendedprice AS DOUBLE) AS l_extendedprice,
+  CASE WHEN l_discount = 0 THEN CAST(l_tax AS DOUBLE) END AS undiscounted, l_returnflag FROM {lineitem}"""
+register(
+    "profile_wide",  # every column of a table and whole rows, in one pass
+    _WIDE_SQL,
+    "\n"
+    + "\nUNION ALL ".join(f"""SELECT '{c}' AS "column", '{t}' AS type, count({c}) AS n, count(*) - count({c}) AS missing, count(DISTINCT {c}) AS "distinct" FROM base""" for c, t in _WIDE.items())
+    + f"""
+UNION ALL SELECT '*', 'table', count(*), {len(_WIDE)} * count(*) - {" - ".join(f"count({c})" for c in _WIDE)}, count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM base)) FROM base""",
+)(A.profile)
 _D = lambda c: f"""SELECT '{c}' AS "column", count({c}) AS count, round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std, round(min({c}), 4) AS min, round(quantile_cont({c}, 0.25), 4) AS q25, round(quantile_cont({c}, 0.5), 4) AS q50, round(quantile_cont({c}, 0.75), 4) AS q75, round(max({c}), 4) AS max FROM base"""
 register("describe", LINES, " UNION ALL ".join(map(_D, ("qty", "price", "disc", "tax"))))(lambda df: rounded(A.describe(df, ["qty", "price", "disc", "tax"]), 4))
 register("value_counts", TEXTS, "SELECT word AS value, count(*) AS n, round(count(*) / (SELECT count(word) FROM base), 8) AS share FROM base WHERE word IS NOT NULL GROUP BY word ORDER BY n DESC, value LIMIT 10")(lambda df: rounded(A.value_counts(df, "word"), 8))
