@@ -10,7 +10,7 @@ from ..operators.columns import q
 
 
 
-def _hashable(df: DataFrame, c: str) -> Column:
+def hashable(df: DataFrame, c: str) -> Column:
     """The column, nested ones as JSON: a hash leaves nulls out, so that nested ones would not show."""
     nested = isinstance(df.schema[c].dataType, (T.ArrayType, T.MapType, T.StructType))
     return F.to_json(F.struct(q(c))) if nested else q(c)
@@ -31,13 +31,13 @@ def distinct_counts(df: DataFrame, cols: list[str], exact: bool = True) -> DataF
     10^12 share them with a chance of 10^-15; numbers, dates and stamps never do). -0.0 is 0.0 and all NaN are one value.
     Not exact: sketches of two per cent, one pass and no shuffle but of sketches. An empty table has zeros.
     """
-    whole = hash_pair(*[_hashable(df, c) for c in df.columns])
+    whole = hash_pair(*[hashable(df, c) for c in df.columns])
     if not exact:
         near = lambda e: F.approx_count_distinct(e, 0.02)
-        by = [e for i, c in enumerate(cols) for e in (F.count(q(c)).alias(f"n{i}"), near(_hashable(df, c)).alias(f"d{i}"))]
+        by = [e for i, c in enumerate(cols) for e in (F.count(q(c)).alias(f"n{i}"), near(hashable(df, c)).alias(f"d{i}"))]
         return df.agg(F.count(F.lit(1)).alias("rows"), near(whole[0]).alias("distinct_rows"), *by)
     cell = lambda i, pair: F.struct(F.lit(i).cast("int").alias("i"), pair[0].alias("h"), pair[1].alias("g"))
-    cells = [cell(-1, whole), *[F.when(q(c).isNotNull(), cell(i, hash_pair(_hashable(df, c)))) for i, c in enumerate(cols)]]
+    cells = [cell(-1, whole), *[F.when(q(c).isNotNull(), cell(i, hash_pair(hashable(df, c)))) for i, c in enumerate(cols)]]
     held = df.select(F.explode(F.array(*cells)).alias("cell")).filter("cell is not null").select("cell.*")
     by = held.groupBy("i", "h", "g").agg(F.count(F.lit(1)).alias("k")).groupBy("i").agg(F.sum("k").alias("n"), F.count(F.lit(1)).alias("d"))
     at = lambda i, c: F.coalesce(F.max(F.when(F.col("i") == i, F.col(c))), F.lit(0))

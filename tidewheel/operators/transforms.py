@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..functions.distinct import hash_pair, hashable
 from ..functions.quantiles import exact_quantiles
 from ..functions.graph import materialise
 from ..functions.neighbours import nearest
@@ -157,15 +158,17 @@ def _ranked(df: DataFrame, target: str, key: list[str], seed: int) -> DataFrame:
     """``df`` with __r, the md5-ordered position within its class, and __n, the class size.
 
     Classes are cut by the first hash byte, ranked in those buckets and offset by bucket counts, so that
-    a class of most rows is not sorted in one task.
+    a class of most rows is not sorted in one task. Rows of equal keys follow a hash of all their columns, so that every
+    evaluation ranks them alike: such a row is in the train or in the test set, never in both or neither.
     """
-    rows = df.withColumn("__h", keyed_order(key, seed)).withColumn("__b", F.substring("__h", 1, 2))
+    ties = hash_pair(*[hashable(df, c) for c in df.columns])
+    rows = df.withColumns({"__h": keyed_order(key, seed), "__t": ties[0], "__u": ties[1]}).withColumn("__b", F.substring("__h", 1, 2))
     counts = rows.groupBy(q(target).alias("__y"), F.col("__b").alias("__c")).agg(F.count(F.lit(1)).alias("__k"))
     w = Window.partitionBy("__y").orderBy("__c")
     counts = counts.select("__y", "__c", (F.sum("__k").over(w) - F.col("__k")).alias("__before"), F.sum("__k").over(Window.partitionBy("__y")).alias("__n"))
-    local = rows.withColumn("__i", F.row_number().over(Window.partitionBy(q(target), "__b").orderBy("__h", *[q(c) for c in key])))
+    local = rows.withColumn("__i", F.row_number().over(Window.partitionBy(q(target), "__b").orderBy("__h", *[q(c) for c in key], "__t", "__u")))
     joined = local.join(counts, q(target).eqNullSafe(F.col("__y")) & (F.col("__b") == F.col("__c")))
-    return joined.withColumn("__r", F.col("__i") + F.col("__before")).drop("__h", "__b", "__y", "__c", "__before", "__i")
+    return joined.withColumn("__r", F.col("__i") + F.col("__before")).drop("__h", "__t", "__u", "__b", "__y", "__c", "__before", "__i")
 
 
 def random_split(df: DataFrame, key: list[str], test_share: float = 0.2, seed: int = 42, stratify: str | None = None) -> tuple[DataFrame, DataFrame]:
