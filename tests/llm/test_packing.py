@@ -10,6 +10,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from tidewheel.llm import packing
 from tidewheel.llm.packing import WordTokenizer, nnls, pack, patterns, plan_packing
 
 P = pytest.importorskip("public_tokenizers")
@@ -37,6 +38,35 @@ def _shared():
     return _held[0]
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet="aAB s't\n'_1.relvmdÉßº\x1c\xa0Ⱥ😀<|", max_size=8), max_size=12))
+def test_texts_of_a_block_keep_apart(texts):
+    t = _shared()
+    ids, sizes = t.encode(texts)
+    want = [t.encoder.encode(x, add_special_tokens=False).ids for x in texts]
+    assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == [x for w in want for x in w]
+
+
+def test_every_character_beside_letters_digits_and_apostrophes(tokenizer):
+    texts = [f"It{chr(c)}s 'll{chr(c)}{chr(c)}1{chr(c)}'re{chr(c)}'" for c in range(1, 0x400)]
+    texts += ["it's 'stop x''s _'s 'rex 'Ve <|endoftext|>a"]
+    ids, sizes = tokenizer.encode(texts)
+    at = np.cumsum([0, *sizes])
+    for t, a, b in zip(texts, at, at[1:], strict=False):
+        assert ids[a:b].tolist() == tokenizer.encoder.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def test_each_word_of_a_block_is_looked_up_once(monkeypatch):
+    asked = []
+    find = packing._Memory.find
+    monkeypatch.setattr(packing._Memory, "find", lambda self, keys: asked.extend(keys) or find(self, keys))
+    t = WordTokenizer(PATH)
+    texts = [" ".join(f"{a}{'.,;!'[k % 4]}{b}" for k in range(50)) for a in ("one", "two", "it's") for b in ("Red", "blue", "7")]
+    ids, _ = t.encode(texts)
+    assert ids.tolist() == [x for text in texts for x in t.encoder.encode(text, add_special_tokens=False).ids]
+    assert len(asked) == len(set(asked)) == 11
+
+
 def test_pieces_and_places(docs, rows, tokenizer):
     limit = 64
     got = pack(docs, PATH, limit).collect()

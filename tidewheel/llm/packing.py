@@ -31,19 +31,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.workers import map_arrow
+from .bytetext import chunks, column_bytes
 from .shared import materialise
 
-#: Words as the tokenizer's own splitting makes them of lower-cased text below U+0300.
-WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
-#: Texts with these take the plain path: characters that Python and the tokenizer class or normalise
-#: differently, and special tokens.
-UNUSUAL = re.compile("[\x1c-\x1f\x85\xb2\xb3\xb9\xbc-\xbe\u0130\u0300-\U0010ffff]|<\\|(?:start|end)oftext\\|>")
+#: Characters that Python and the tokenizer class or normalise differently, or beyond the tables below; a text with one
+#: or with a special token takes the plain path.
+UNUSUAL = re.compile("[\x1c-\x1f\x85\xb2\xb3\xb9\xbc-\xbe\u0130\u023a\u023e\u0300-\U0010ffff]")
+SPECIAL = re.compile(rb"<\|(?:start|end)oftext\|>")
 #: White space of the tokenizer below U+0300.
 PARTS = re.compile(r"[^ \t\n\x0b\x0c\r]+")
+#: Kinds of characters below U+0300 in the tokenizer's own splitting: words are runs of letters, single digits, and runs of others.
+SPACE, LETTER, DIGIT, OTHER, STRANGE = range(5)
+#: Endings that are words of their own after an apostrophe.
+ENDINGS = [b"s", b"t", b"re", b"ve", b"m", b"ll", b"d"]
 
-#: Length classes for the patterns, most pieces of a pattern, and words and parts of texts that a worker remembers.
+
+def _kind(c: str) -> int:
+    if UNUSUAL.match(c):
+        return STRANGE
+    return SPACE if c.isspace() else DIGIT if re.match(r"\d", c) else LETTER if re.match(r"[^\W\d_]", c) else OTHER
+
+
+#: By code point: its kind, and its lower-cased one; then the same by byte of text.
+KINDS = np.array([_kind(chr(c)) for c in range(0x300)], np.uint8)
+LOWER = np.array([ord(chr(c).lower()) if KINDS[c] != STRANGE else c for c in range(0x300)], np.int32)
+BYTE_KINDS = np.concatenate([KINDS[:128], np.full(128, STRANGE, np.uint8)])
+BYTE_LOWER = np.concatenate([LOWER[:128], np.arange(128, 256)]).astype(np.uint8)
+
+#: Length classes for the patterns, most pieces of a pattern, words that a worker remembers, and bytes of text split at a time.
 CLASSES, MOST_PIECES = 64, 4
-MEMORY_WORDS, MEMORY_PARTS = 400_000, 400_000
+MEMORY_WORDS = 400_000
+SPLIT_BYTES = 8 << 20
 LONG = np.int64
 
 
@@ -81,83 +99,137 @@ class _Memory:
         return self.ids[np.arange(total) + np.repeat(self.begin[which] - (ends - sizes), sizes)], ends
 
 
+def _classes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of UTF-8 text lower-cased, and the kind of the character that each belongs to."""
+    low, kinds = BYTE_LOWER[data], BYTE_KINDS[data]
+    lead = np.flatnonzero(data >= 0xC0)
+    if len(lead):
+        first = data[lead].astype(np.int32)
+        two = first < 0xCC  # two bytes, below U+0300; longer characters stay strange
+        lead = lead[two]
+        code = (first[two] & 31) << 6 | data[lead + 1] & 63
+        kinds[lead] = kinds[lead + 1] = KINDS[code]
+        low[lead], low[lead + 1] = 0xC0 | LOWER[code] >> 6, 0x80 | LOWER[code] & 63
+    return low, kinds
+
+
+def split_words(low: np.ndarray, kinds: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The tokenizer's own words of texts without strange characters, in a row, and how many each text has."""
+    if not len(low):
+        return pa.array([], pa.string()), np.zeros(len(offsets) - 1, LONG)
+    starts = np.ones(len(low), bool)
+    np.not_equal(kinds[1:], kinds[:-1], out=starts[1:])
+    starts |= kinds == DIGIT
+    heads = np.zeros(len(low) + 3, bool)  # where texts begin, with an end to look at
+    heads[offsets] = True
+    starts |= heads[: len(low)]
+    # an apostrophe alone before letters takes a known ending with it
+    at = np.flatnonzero(low == ord("'"))
+    at = at[at + 1 < len(low)]
+    at = at[starts[at] & (kinds[at + 1] == LETTER) & ~heads[at + 1]]
+    after = np.concatenate([low, np.zeros(2, np.uint8)])
+    for ending in ENDINGS:
+        n = len(ending)
+        hit = after[at + 1] == ending[0]
+        if n == 2:
+            hit &= (after[at + 2] == ending[1]) & ~heads[at + 2]
+        here = at[hit]
+        starts[here + 1] = False
+        end = here + 1 + n
+        starts[end[end < len(low)]] = True
+    begins = np.flatnonzero(starts)
+    wanted = kinds[begins] != SPACE
+    sizes = np.diff(begins, append=len(low))[wanted]
+    ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    words = pa.StringArray.from_buffers(len(sizes), pa.py_buffer(ends), pa.py_buffer(low[kinds != SPACE]))
+    return words, np.diff(np.searchsorted(begins[wanted], offsets))
+
+
 class WordTokenizer:
     """Ids of texts under a word-level BPE tokenizer (white space dropped, lower-cased, word ends marked).
 
-    Texts are split at white space and each distinct part is looked up; new parts are split into the
-    tokenizer's own words, and new words are encoded, many in one call: the marked word ends tell where each
-    one's ids end. Parts and words are remembered up to a bound, then forgotten together. Texts with
-    unusual characters have their parts encoded one by one as they are.
+    Texts are lower-cased and split into the tokenizer's own words as arrays of bytes, and each distinct word of
+    a block of texts is looked up once. New words are encoded, many in one call: the marked word ends tell where each
+    one's ids end. Words are remembered up to a bound, then forgotten together. Texts with
+    unusual characters have their parts between white space encoded one by one as they are.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.encoder = Tokenizer.from_file(path)
+        # for words: nothing to normalise and nothing to split but the blanks between them
+        self.word_encoder = Tokenizer(self.encoder.model)
+        self.word_encoder.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.encoder.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
-        self.words, self.parts = _Memory(), _Memory()
+        self.forget()
 
     def forget(self) -> None:
         self.words, self.parts = _Memory(), _Memory()
 
-    def _learn_apart(self, memory: _Memory, keys: list[str], texts: list[str]) -> None:
-        got = [self.encoder.encode(t, add_special_tokens=False).ids for t in texts]
+    def _learn_apart(self, memory: _Memory, keys: list[str]) -> None:
+        got = [self.encoder.encode(t, add_special_tokens=False).ids for t in keys]
         memory.add(keys, np.array([x for g in got for x in g], np.uint32), np.array([len(g) for g in got], LONG))
 
     def _learn_words(self, words: list[str]) -> None:
-        for k in range(0, len(words), 5_000):
-            some = words[k : k + 5_000]
-            flat = np.array(self.encoder.encode(" ".join(some), add_special_tokens=False).ids, np.uint32)
+        for k in range(0, len(words), 500):
+            some = words[k : k + 500]
+            flat = np.array(self.word_encoder.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
             ends = np.flatnonzero(self.ends[flat]) + 1
             if len(ends) == len(some) and (not len(flat) or ends[-1] == len(flat)):
                 self.words.add(some, flat, np.diff(ends, prepend=0))
             else:
-                self._learn_apart(self.words, some, some)
+                self._learn_apart(self.words, some)
 
-    def _learn_parts(self, parts: list[str]) -> None:
+    def _encode_usual(self, low: np.ndarray, kinds: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        words, many = split_words(low, kinds, offsets)
+        coded = words.dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.words.known) > MEMORY_WORDS:
             self.words = _Memory()
-        split = [WORDS.findall(p) for p in parts]
-        flat = [w for words in split for w in words]
-        which = self.words.find(flat)
-        if (which < 0).any():
-            self._learn_words(list(dict.fromkeys(itertools.compress(flat, which < 0))))
-            which = self.words.find(flat)
-        ids, ends = self.words.gather(which)
-        at = np.concatenate([[0], ends])[np.cumsum([0, *map(len, split)])]
-        self.parts.add(parts, ids, np.diff(at))
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in a row, and the number of each text."""
-        if len(self.parts.known) > MEMORY_PARTS:
+        which, known = self.words.find(distinct), len(self.words.known)
+        new = which < 0
+        self._learn_words(list(itertools.compress(distinct, new)))
+        which[new] = np.arange(known, len(self.words.known))  # learnt in their order
+        ids, ends = self.words.gather(which[coded.indices.to_numpy()])
+        return ids, np.diff(np.concatenate([[0], ends])[np.cumsum([0, *many])])
+
+    def _encode_apart(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.parts.known) > MEMORY_WORDS:
             self.parts = _Memory()
-        split: list[list[str]] = []
-        for t in texts:
-            if UNUSUAL.search(t):
-                # keys with a leading blank: parts, encoded as they are
-                parts = [" " + w for w in PARTS.findall(t)]
-                new = [w for w in dict.fromkeys(parts) if w not in self.parts.known]
-                self._learn_apart(self.parts, new, [w[1:] for w in new])
-                split.append(parts)
-            else:
-                split.append(t.lower().split())
+        split = [PARTS.findall(t) for t in texts]
         flat = [w for parts in split for w in parts]
-        which = self.parts.find(flat)
-        if (which < 0).any():
-            self._learn_parts(list(dict.fromkeys(itertools.compress(flat, which < 0))))
-            which = self._refill(which, flat)
-        ids, ends = self.parts.gather(which)
-        at = np.concatenate([[0], ends])[np.cumsum([0, *map(len, split)])]
-        return ids, np.diff(at)
+        self._learn_apart(self.parts, [w for w in dict.fromkeys(flat) if w not in self.parts.known])
+        ids, ends = self.parts.gather(self.parts.find(flat))
+        return ids, np.diff(np.concatenate([[0], ends])[np.cumsum([0, *map(len, split)])])
+
+    def encode_bytes(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in a row, and the number of each text; texts are ranges of UTF-8 bytes."""
+        low, kinds = _classes(data)
+        odd = [np.flatnonzero(kinds == STRANGE), np.array([m.start() for m in SPECIAL.finditer(data)], LONG)]
+        apart = np.zeros(len(offsets) - 1, bool)
+        apart[np.searchsorted(offsets, np.concatenate(odd), side="right") - 1] = True
+        if not apart.any():
+            return self._encode_usual(low, kinds, offsets)
+        raw, lengths = data.tobytes(), np.diff(offsets)
+        usual = np.repeat(~apart, lengths)
+        parts = (
+            self._encode_usual(low[usual], kinds[usual], np.concatenate([[0], np.cumsum(lengths[~apart])])),
+            self._encode_apart([raw[offsets[i] : offsets[i + 1]].decode() for i in np.flatnonzero(apart).tolist()]),
+        )
+        sizes = np.zeros(len(apart), LONG)
+        sizes[~apart], sizes[apart] = parts[0][1], parts[1][1]
+        of_apart = np.repeat(apart, sizes)
+        ids = np.empty(len(of_apart), np.uint32)
+        ids[~of_apart], ids[of_apart] = parts[0][0], parts[1][0]
+        return ids, sizes
 
-    def _refill(self, which: np.ndarray, flat: list[str]) -> np.ndarray:
-        """``which`` with the parts found that were unknown before."""
-        unknown = which < 0
-        which[unknown] = self.parts.find(list(itertools.compress(flat, unknown)))
-        return which
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in a row, and the number of each text."""
+        return self.encode_bytes(*column_bytes(pa.array(texts, pa.string())))
 
 
 @functools.cache
@@ -174,26 +246,23 @@ def _cut(path: str, limit: int, end_id: int):
         seen = np.zeros(limit + 1, LONG)
         part = TaskContext.get().partitionId()
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
+            data, offsets = column_bytes(batch.column(1))
             names = batch.column(0).to_pylist()
-            at = 0
-            while at < len(texts):
-                room, to = 0, at
-                while to < len(texts) and (to == at or room + len(texts[to]) < 1_000_000):
-                    room += len(texts[to])
-                    to += 1
-                ids, sizes = tokenizer.encode(texts[at:to])
+            for at, to in chunks(offsets, SPLIT_BYTES):
+                ids, sizes = tokenizer.encode_bytes(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at])
+                # every text's ids, then its end
+                ends = np.cumsum(sizes + 1)
+                whole = np.full(len(ids) + len(sizes), end_id, "<u4")
+                inside = np.ones(len(whole), bool)
+                inside[ends - 1] = False
+                whole[inside] = ids
                 out: tuple[list, ...] = ([], [], [], [], [], [])
-                begin = 0
-                for name, n in zip(names[at:to], sizes.tolist(), strict=True):
-                    whole = np.append(ids[begin : begin + n], np.uint32(end_id)).astype("<u4")
-                    begin += n
-                    for k, s in enumerate(range(0, n + 1, limit)):
-                        piece = whole[s : s + limit]
-                        for c, v in zip(out, (name, k, s, len(piece), zlib.crc32(piece.tobytes()), int(seen[len(piece)])), strict=True):
+                for name, begin, end in zip(names[at:to], (ends - sizes - 1).tolist(), ends.tolist(), strict=True):
+                    for k, s in enumerate(range(begin, end, limit)):
+                        piece = whole[s : min(s + limit, end)]
+                        for c, v in zip(out, (name, k, s - begin, len(piece), zlib.crc32(piece), int(seen[len(piece)])), strict=True):
                             c.append(v)
                         seen[len(piece)] += 1
-                at = to
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), *(pa.array(c, pa.int64()) for c in out[2:5]), pa.array([part] * len(out[0]), pa.int32()), pa.array(out[5], pa.int64())],
                     names=["doc_id", "piece", "start", "length", "ids_crc32", "part", "rank"],
