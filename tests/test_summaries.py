@@ -83,3 +83,9 @@ def test_gaps_few_points_and_empty_tables(spark):
     assert none.count() == 0 and none.schema["prediction"].dataType.simpleString() == "int"
     clash = U.hierarchical(points(spark, x, 1).withColumn("part", U.F.lit("p")).withColumn("prediction", U.F.lit("old")), 2)
     assert sorted((r["id"], r["prediction"]) for r in clash.collect() if r["prediction"] is not None) == [(0, 0), (2, 1), (4, 0)]
+
+
+def test_partitions_without_rows_fold_to_nothing(spark):
+    df = spark.range(0, 40, 1, 8).filter("id < 10").select(U.F.array(U.F.col("id").cast("double"), U.F.lit(1.0)).alias("v"))  # rows in two of eight
+    held = S.clustering_features(df, 64).collect()
+    assert sorted((r["n"], *r["mean"], r["ss"]) for r in held) == [(1, float(i), 1.0, 0.0) for i in range(10)]
