@@ -52,3 +52,13 @@ def test_fewer_points_than_asked_and_missing_components(spark, monkeypatch):
     assert found(N.nearest(df, df, 9, True)) == want
     assert N.nearest(df, df.filter("id > 99"), 3).count() == 0
     assert N.nearest(df.filter("id > 99"), df, 3).count() == 0
+
+
+def test_queries_in_turns_find_the_same(spark, monkeypatch):
+    monkeypatch.setattr(N, "BLOCK", 32)
+    seen = []
+    monkeypatch.setattr(N, "rounds_for", lambda copies, rows: seen.append((copies, rows)) or 3)
+    rng = np.random.default_rng(8)
+    x, ids = rng.normal(size=(300, 5)), rng.permutation(300)
+    assert found(N.nearest(frame(spark, x, ids), frame(spark, x, ids), 3, True)) == plain(x, ids, x, ids, 3, True)
+    assert len(seen) == 2
