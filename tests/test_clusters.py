@@ -112,3 +112,27 @@ def test_silhouette_of_all_pairs(spark, monkeypatch):
     one = U.silhouette_rows(spark.createDataFrame(rows[:5], "id long, v array<double>, cluster int")).collect()
     assert {(r["outer"], r["silhouette"]) for r in one} == {(None, 0.0)}
     assert U.silhouette_rows(spark.createDataFrame([], "id long, v array<double>, cluster int")).count() == 0
+
+
+def test_rounds_give_the_rows_of_one_and_shuffle_few_copies(spark, monkeypatch):
+    from tidewheel.functions import graph
+
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(400, 4))
+    df = frame(spark, x).withColumn("cluster", U.F.col("id") % 3)
+
+    def rows():
+        near = {r["id"]: r["cluster"] for r in U.dbscan(frame(spark, x), 0.9, 4).collect()}
+        return near, U.auto_eps(frame(spark, x), 5), {r["id"]: (r["inner"], r["outer"]) for r in U.silhouette_rows(df).collect()}
+
+    def twice(copies, rows):
+        dealt.append((copies, rows, split(copies, rows, 500)))
+        return dealt[-1][2]
+
+    whole, dealt, split = rows(), [], graph.rounds_for
+    monkeypatch.setattr(U, "TILE", 50)
+    monkeypatch.setattr(U, "rounds_for", twice)
+    got = rows()
+    assert got[0] == whole[0] == plain_dbscan(x, np.arange(400), 0.9, 4) and got[1] == pytest.approx(whole[1], rel=1e-12)
+    assert all(got[2][i] == pytest.approx(w) for i, w in whole[2].items()) and len(got[2]) == 400
+    assert max(n for _, _, n in dealt) > 3 and all(c / n <= max(2 * r, 500) for c, r, n in dealt)
